@@ -48,7 +48,7 @@ def css_imports(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(fixed.CSS_IMPORT_PATTERN), F.lit(1))
 
 
-def _token_refs(token: Column) -> Column:
+def token_refs(token: Column) -> Column:
     """References of one tag or style block as (kind, ref) entries."""
     name = markup.tag_name(token)
     none = F.array().cast("array<struct<kind:string,ref:string>>")
@@ -79,6 +79,11 @@ def _token_refs(token: Column) -> Column:
     return F.concat(own, inline)
 
 
+def is_proxied(entry: Column) -> Column:
+    """Image references that go through the resizing endpoint."""
+    return entry["kind"].isin("img", "srcset") & F.contains(entry["ref"], F.lit(fixed.IMAGE_PROXY))
+
+
 def asset_refs(pages: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     """All same-site asset references: (page_id, kind, ref, url), one row per kind, ref and page.
 
@@ -90,7 +95,7 @@ def asset_refs(pages: DataFrame, kinds: list[str] | None = None) -> DataFrame:
         urls.base_parts(F.col("url")).alias("base"),
     )
     base = F.col("base")
-    entries = F.array_distinct(F.flatten(F.transform("tokens", _token_refs)))
+    entries = F.array_distinct(F.flatten(F.transform("tokens", token_refs)))
     wanted = F.filter(
         entries,
         lambda e: is_reference(e["ref"]) & (e["kind"].isin(kinds) if kinds else F.lit(True)),
@@ -98,10 +103,9 @@ def asset_refs(pages: DataFrame, kinds: list[str] | None = None) -> DataFrame:
 
     def located(entry: Column) -> Column:
         ref = entry["ref"]
-        proxied = entry["kind"].isin("img", "srcset") & F.contains(ref, F.lit(fixed.IMAGE_PROXY))
         # A proxy reference without an inner URL is left alone by the page rewrite.
         target = F.when(
-            proxied,
+            is_proxied(entry),
             F.when(
                 urls.proxied_target(ref) != "",
                 F.concat(urls.base_site(base), urls.proxied_target(ref)),

@@ -20,12 +20,28 @@ from pagelattice.session import cut_lineage
 TokenRule = Callable[[Column], Column]
 
 
-def rewrite_tokens(html: Column, *rules: TokenRule) -> Column:
-    """Apply token rules one after the other; each step is bound once per token."""
-    parts = markup.tokens(html)
-    for rule in rules:
-        parts = F.transform(parts, rule)
-    return markup.reassemble(markup.between_tokens(html), parts)
+class _Cut:
+    """Pages cut into tokens, rewritten step by step.
+
+    Every step is its own projection. Catalyst merges them again, but resolves each one alone.
+    """
+
+    def __init__(self, pages: DataFrame):
+        self.df = pages.withColumns(
+            {"_parts": markup.tokens(F.col("html")), "_gaps": markup.between_tokens(F.col("html"))}
+        )
+
+    def each(self, *rules: TokenRule) -> _Cut:
+        for rule in rules:
+            self.df = self.df.withColumn("_parts", F.transform("_parts", rule))
+        return self
+
+    def step(self, name: str, value: Column) -> _Cut:
+        self.df = self.df.withColumn(name, value)
+        return self
+
+    def html(self) -> Column:
+        return markup.reassemble(F.col("_gaps"), F.col("_parts"))
 
 
 def drop_scripts_rule(token: Column) -> Column:
@@ -93,147 +109,172 @@ def append_reveal_style(html: Column) -> Column:
     )
 
 
-def rewrite_links_rule(parts: Column, page_path: Column) -> TokenRule:
-    """Same-site page links become relative paths of their offline files."""
-
-    def rule(token: Column) -> Column:
-        def relink(href: Column) -> Column:
-            return let(
-                urls.resolve(href, parts),
-                lambda u: F.when(
-                    urls.same_site(u, urls.base_authority(parts)),
-                    let(
-                        urls.local_path(u),
-                        lambda p: F.when(
-                            p.isNotNull(),
-                            markup.set_attribute(token, "href", urls.relative_path(p, page_path)),
-                        ).otherwise(token),
-                    ),
-                ).otherwise(token),
-            )
-
-        has_href = (markup.tag_name(token) == "a") & (markup.raw_attribute(token, "href") != "")
-        changed = let(
-            markup.attribute(token, "href"),
-            lambda href: F.when(crawlable(href), relink(href)).otherwise(token),
-        )
-        return F.when(has_href, changed).otherwise(token)
+def _relink(cut: _Cut) -> _Cut:
+    """Same-site page links become relative paths of their offline files.
 
-    return rule
+    Arrays aligned with the tokens carry the link of each token through the steps, so the work
+    grows with the number of tokens.
+    """
+    base, page = F.col("_base"), F.col("_path")
+
+    def href(token: Column) -> Column:
+        value = let(markup.attribute(token, "href"), lambda h: F.when(crawlable(h), h))
+        linked = (markup.tag_name(token) == "a") & (markup.raw_attribute(token, "href") != "")
+        return F.when(linked, value)
+
+    def target(url: Column) -> Column:
+        return F.when(urls.same_site(url, urls.base_authority(base)), urls.local_path(url))
+
+    cut.step("_new", F.transform("_parts", href))
+    cut.step("_new", urls.resolve_all(F.col("_new"), base))
+    cut.step("_new", F.transform("_new", target))
+    cut.step("_new", F.transform("_new", lambda file: urls.relative_path(file, page)))
+    rewritten = F.zip_with(
+        "_parts",
+        "_new",
+        lambda token, new: F.when(new.isNull(), token).otherwise(
+            markup.set_attribute(token, "href", new)
+        ),
+    )
+    return cut.step("_parts", rewritten)
 
 
-def rewrite_assets_rule(parts: Column, page_path: Column, held: Column) -> TokenRule:
-    """Asset attributes point to held files, or to the full URL of what is not held.
+def _new_refs(df: DataFrame) -> DataFrame:
+    """``df`` plus ``_refs``, a map from each asset reference of the page to its new value.
 
-    ``held`` maps the asset URLs of the page that are held to their local paths.
+    Held assets become relative paths, other same-site assets full URLs. What an image-proxy
+    reference wraps becomes a relative path, held or not.
     """
+    base, page, held = F.col("_base"), F.col("_path"), F.col("_held")
+    found = F.array_distinct(F.flatten(F.transform(markup.asset_tokens(F.col("html")), extract.token_refs)))
+    df = df.withColumn("_entries", found)
+    plain = F.filter(F.array_distinct(F.transform("_entries", lambda e: e["ref"])), is_reference)
+    proxied = F.filter(
+        F.array_distinct(F.transform(F.filter("_entries", extract.is_proxied), lambda e: e["ref"])),
+        lambda r: urls.proxied_target(r) != "",
+    )
+    df = df.withColumns({"_plain": plain, "_proxied": proxied})
+    df = df.withColumn("_urls", urls.resolve_all(F.col("_plain"), base))
 
-    def moved(ref: Column) -> Column:
-        """New value of one reference, or the reference itself when it is off-site."""
+    def place(ref: Column, url: Column) -> Column:
+        local = let(
+            F.try_element_at(held, url),
+            lambda file: F.when(file.isNotNull(), urls.relative_path(file, page)).otherwise(url),
+        )
+        return F.when(urls.same_site(url, urls.base_authority(base)), local).otherwise(ref)
 
-        def place(u: Column) -> Column:
-            path = F.try_element_at(held, u)
-            local = F.when(path.isNotNull(), urls.relative_path(path, page_path)).otherwise(u)
-            return F.when(urls.same_site(u, urls.base_authority(parts)), local).otherwise(ref)
+    def unwrap(ref: Column) -> Column:
+        return urls.relative_path(F.regexp_replace(urls.proxied_target(ref), "^/+", ""), page)
 
-        return F.when(is_reference(ref), let(urls.resolve(ref, parts), place)).otherwise(ref)
+    keys = F.concat("_plain", F.transform("_proxied", lambda r: F.concat(F.lit(_PROXIED), r)))
+    values = F.concat(F.zip_with("_plain", "_urls", place), F.transform("_proxied", unwrap))
+    return df.withColumn("_refs", F.map_from_arrays(keys, values))
 
-    def unwrapped(value: Column, ref: Column) -> Column:
-        """Image-proxy references point to the image they wrap, held or not."""
-        inner = let(
-            urls.proxied_target(ref),
-            lambda t: F.when(
-                t != "", urls.relative_path(F.regexp_replace(t, "^/+", ""), page_path)
-            ).otherwise(value),
-        )
-        return F.when(F.contains(value, F.lit(fixed.IMAGE_PROXY)), inner).otherwise(moved(ref))
-
-    def with_attribute(token: Column, name: str, new: Callable[[Column], Column]) -> Column:
-        changed = let(
-            markup.attribute(token, name),
-            lambda value: let(
-                new(value),
-                lambda n: F.when(n == value, token).otherwise(markup.set_attribute(token, name, n)),
-            ),
-        )
-        return F.when(markup.raw_attribute(token, name) != "", changed).otherwise(token)
-
-    def replaced(text: Column, refs: Column) -> Column:
-        """Every occurrence of every reference replaced, in the order found."""
-        return F.aggregate(
-            F.filter(F.array_distinct(refs), is_reference),
-            text,
-            lambda acc, r: F.replace(acc, r, moved(r)),
-        )
 
-    def rule(token: Column) -> Column:
-        name = markup.tag_name(token)
-        linked = markup.has_rel(
-            token, lambda r: (r == "stylesheet") | F.contains(F.lower(r), F.lit("icon"))
-        )
-        own = (
-            F.when((name == "link") & linked, with_attribute(token, "href", moved))
-            .when(name == "img", with_attribute(token, "src", lambda v: unwrapped(v, v)))
-            .when(
-                name == "source",
-                let(
-                    with_attribute(token, "src", moved),
-                    lambda t: with_attribute(
-                        t, "srcset", lambda v: let(urls.first_srcset(v), lambda r: unwrapped(v, r))
-                    ),
-                ),
-            )
-            .when(name == "style", replaced(token, extract.css_imports(token)))
-            .otherwise(token)
+# Marks the entries of proxied references; no reference starts with a line break.
+_PROXIED = "\n"
+
+
+def _moved(ref: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.col("_refs"), ref), ref)
+
+
+def _unwrapped(value: Column, ref: Column) -> Column:
+    """New value of an image attribute whose first URL is ``ref``."""
+    inner = F.try_element_at(F.col("_refs"), F.concat(F.lit(_PROXIED), ref))
+    return F.when(F.contains(value, F.lit(fixed.IMAGE_PROXY)), F.coalesce(inner, value)).otherwise(
+        _moved(ref)
+    )
+
+
+def _with_attribute(token: Column, name: str, new: Callable[[Column], Column]) -> Column:
+    """Token whose attribute, when present, got the value ``new`` makes of it."""
+
+    def change(value: Column) -> Column:
+        return let(
+            new(value),
+            lambda n: F.when(n == value, token).otherwise(markup.set_attribute(token, name, n)),
         )
 
-        def inline(t: Column) -> Column:
-            return F.when(
-                _may_have_style(t),
-                with_attribute(t, "style", lambda s: replaced(s, extract.css_urls(s))),
-            ).otherwise(t)
+    return let(
+        markup.raw_attribute(token, name),
+        lambda raw: F.when(raw == "", token).otherwise(let(markup.unquote_value(raw), change)),
+    )
 
-        return let(own, inline)
 
-    return rule
+def _replaced(text: Column, refs: Column) -> Column:
+    """Every occurrence of every reference replaced, in the order found."""
+    return F.aggregate(
+        F.filter(F.array_distinct(refs), is_reference),
+        text,
+        lambda acc, r: F.replace(acc, r, _moved(r)),
+    )
+
+
+def _main_reference_rule(token: Column) -> Column:
+    name = markup.tag_name(token)
+    linked = markup.has_rel(token, lambda r: (r == "stylesheet") | F.contains(F.lower(r), F.lit("icon")))
+    return (
+        F.when((name == "link") & linked, _with_attribute(token, "href", _moved))
+        .when(name == "img", _with_attribute(token, "src", lambda v: _unwrapped(v, v)))
+        .when(name == "source", _with_attribute(token, "src", _moved))
+        .when(name == "style", _replaced(token, extract.css_imports(token)))
+        .otherwise(token)
+    )
+
+
+def _srcset_rule(token: Column) -> Column:
+    return F.when(
+        markup.tag_name(token) == "source",
+        _with_attribute(token, "srcset", lambda v: _unwrapped(v, urls.first_srcset(v))),
+    ).otherwise(token)
+
+
+def _inline_style_rule(token: Column) -> Column:
+    return F.when(
+        _may_have_style(token),
+        _with_attribute(token, "style", lambda s: _replaced(s, extract.css_urls(s))),
+    ).otherwise(token)
+
+
+_ASSET_RULES = (_main_reference_rule, _srcset_rule, _inline_style_rule)
 
 
 # --- page jobs ------------------------------------------------------------------------------
 
 
-def _each(pages: DataFrame, html: Column) -> DataFrame:
-    return pages.select("page_id", "url", html.alias("html"))
+def _by_rules(pages: DataFrame, *rules: TokenRule) -> DataFrame:
+    cut = _Cut(pages.select("page_id", "url", "html")).each(*rules)
+    return cut.df.select("page_id", "url", cut.html().alias("html"))
 
 
 def drop_scripts(pages: DataFrame) -> DataFrame:
-    return _each(pages, rewrite_tokens(F.col("html"), drop_scripts_rule))
+    return _by_rules(pages, drop_scripts_rule)
 
 
 def drop_preloads(pages: DataFrame) -> DataFrame:
-    return _each(pages, rewrite_tokens(F.col("html"), drop_preloads_rule))
+    return _by_rules(pages, drop_preloads_rule)
 
 
 def drop_attributes(pages: DataFrame) -> DataFrame:
-    return _each(pages, rewrite_tokens(F.col("html"), drop_attributes_rule))
+    return _by_rules(pages, drop_attributes_rule)
 
 
 def reveal_hidden(pages: DataFrame) -> DataFrame:
-    return _each(pages, append_reveal_style(rewrite_tokens(F.col("html"), reveal_hidden_rule)))
+    shown = _by_rules(pages, reveal_hidden_rule)
+    return shown.withColumn("html", append_reveal_style(F.col("html")))
 
 
 def _placed(pages: DataFrame) -> DataFrame:
     """Pages with the pieces that link rewriting needs, computed once per page."""
-    return pages.withColumns(
+    return pages.select("page_id", "url", "html").withColumns(
         {"_base": urls.base_parts(F.col("url")), "_path": urls.local_path(F.col("url"))}
     )
 
 
 def rewrite_links(pages: DataFrame) -> DataFrame:
-    placed = _placed(pages)
-    rule = rewrite_links_rule(F.col("_base"), F.col("_path"))
-    return placed.select(
-        "page_id", "url", "_base", "_path", rewrite_tokens(F.col("html"), rule).alias("html")
-    ).select("page_id", "url", "html")
+    cut = _relink(_Cut(_placed(pages)))
+    return cut.df.select("page_id", "url", cut.html().alias("html"))
 
 
 def held_assets_by_page(pages: DataFrame, paths: DataFrame) -> DataFrame:
@@ -253,31 +294,26 @@ def _with_held(pages: DataFrame, paths: DataFrame) -> DataFrame:
     # Tables bucketed on page_id join here without moving the pages.
     none = F.create_map().cast("map<string,string>")
     joined = _placed(pages).join(held_assets_by_page(pages, paths), "page_id", "left")
-    return joined.withColumn("_held", F.coalesce("_held", none))
+    return _new_refs(joined.withColumn("_held", F.coalesce("_held", none)))
 
 
 def rewrite_assets(pages: DataFrame, paths: DataFrame) -> DataFrame:
     """Asset references of each page replaced; ``paths`` is (url, local_path), one row per URL."""
-    rule = rewrite_assets_rule(F.col("_base"), F.col("_path"), F.col("_held"))
-    return _with_held(pages, paths).select(
-        "page_id", "url", rewrite_tokens(F.col("html"), rule).alias("html")
-    )
+    cut = _Cut(_with_held(pages, paths)).each(*_ASSET_RULES)
+    return cut.df.select("page_id", "url", cut.html().alias("html"))
 
 
 def clean_pages(pages: DataFrame, paths: DataFrame) -> DataFrame:
     """All page rewrites in one pass: (page_id, url, local_path, html)."""
-    base, path = F.col("_base"), F.col("_path")
-    html = rewrite_tokens(
-        F.col("html"),
-        drop_scripts_rule,
-        drop_preloads_rule,
-        rewrite_assets_rule(base, path, F.col("_held")),
-        drop_attributes_rule,
-        reveal_hidden_rule,
-        rewrite_links_rule(base, path),
-    )
-    return _with_held(pages, paths).select(
-        "page_id", "url", path.alias("local_path"), append_reveal_style(html).alias("html")
+    cut = _Cut(_with_held(pages, paths))
+    cut.each(drop_scripts_rule, drop_preloads_rule, *_ASSET_RULES)
+    cut.each(drop_attributes_rule, reveal_hidden_rule)
+    cut = _relink(cut)
+    return cut.df.select(
+        "page_id",
+        "url",
+        F.col("_path").alias("local_path"),
+        append_reveal_style(cut.html()).alias("html"),
     )
 
 
@@ -295,7 +331,7 @@ def css_replacements(sheets: DataFrame, assets: DataFrame) -> DataFrame:
         "url",
         urls.local_path(F.col("url")).alias("local_path"),
         # Only font bodies are carried into the join.
-        F.when(urls.font_mime(urls.path(F.col("url"))).isNotNull(), F.base64("body")).alias("font"),
+        F.when(urls.font_mime(urls.path(F.col("url"))).isNotNull(), F.translate(F.base64("body"), "\r\n", "")).alias("font"),
     )
     joined = skew_join(refs, held, "url", "inner")
     mime = urls.font_mime(F.col("local_path"))

@@ -576,8 +576,7 @@ def _seed(spark, sf):
 def _graph_rules(spark, sf):
     """Rules of the synthetic site, derived with its pages."""
     site = d.pages(spark, sf).select(F.lit("s.example.com").alias("host")).distinct()
-    rules = F.expr("array(struct(0 AS rule_order, true AS allow, '/p/10' AS path), struct(1, false, '/p/1'))")
-    return site.select("host", F.inline(rules))
+    return site.select("host", F.inline(d.fixed_rules((True, "/p/30"), (False, "/p/3"))))
 
 
 @query

@@ -61,11 +61,18 @@ def hosts_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select(host).distinct()
 
 
-def robots_rules_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = F.expr(
-        "array(struct(0 AS rule_order, true AS allow, '/fr/8' AS path),"
-        " struct(1, false, '/fr'), struct(2, false, '/en/1'))"
+def fixed_rules(*rules: tuple[bool, str]) -> Column:
+    """The same few rules for every host row."""
+    return F.array(
+        *[
+            F.struct(F.lit(i).alias("rule_order"), F.lit(allow).alias("allow"), F.lit(path).alias("path"))
+            for i, (allow, path) in enumerate(rules)
+        ]
     )
+
+
+def robots_rules_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = fixed_rules((True, "/fr/8"), (False, "/fr"), (False, "/en/1"))
     return hosts_v(spark, sf_dir).select("host", F.inline(rules))
 
 

@@ -560,4 +560,24 @@ WHERE (p LIKE '/fr%' AND p NOT LIKE '/fr/8%') OR p LIKE '/en/1%'""",
         _BFS.replace("{limit}", "64").replace("{ok}", "") + " SELECT url, min(depth) AS depth FROM walk GROUP BY url",
         "edges_v",
     ),
+    "crawl_order_with_rules": _with(
+        _BFS.replace("{limit}", "64").replace(
+            "{ok}", "AND (w.url NOT LIKE '%/p/3%' OR w.url LIKE '%/p/30%')"
+        )
+        + " SELECT url, min(depth) AS depth, url NOT LIKE '%/p/3%' OR url LIKE '%/p/30%' AS allowed FROM walk GROUP BY url",
+        "edges_v",
+    ),
+    "crawl_sites": _with(
+        r"""
+, e AS (SELECT DISTINCT regexp_replace(src, '[?#].*', '') AS src, dst FROM links_v),
+ok AS (SELECT url, NOT ((p LIKE '/fr%' AND p NOT LIKE '/fr/8%') OR p LIKE '/en/1%') AS allowed FROM (
+ SELECT url, regexp_extract(url, '^https?://[^/?#]*(.*)', 1) AS p FROM (
+  SELECT dst AS url FROM e UNION SELECT regexp_replace(url, '[?#].*', '') FROM pages))),
+walk AS (
+ SELECT DISTINCT regexp_replace(url, '[?#].*', '') AS url, CAST(0 AS BIGINT) AS depth FROM pages
+ UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.url JOIN ok o ON o.url = w.url
+ WHERE w.depth < 2 AND o.allowed)
+SELECT walk.url, min(depth) AS depth FROM walk JOIN ok ON ok.url = walk.url WHERE ok.allowed GROUP BY walk.url""",
+        "links_v",
+    ),
 }
