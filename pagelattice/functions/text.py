@@ -12,7 +12,7 @@ def strip_text(text: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """First five and last three characters."""
-    return F.concat(F.left(text, F.lit(5)), F.lit("..."), F.right(text, F.lit(3)))
+    return F.concat(F.substring(text, 1, 5), F.lit("..."), F.substring(text, -3, 3))
 
 
 def decode_body(body: Column) -> Column:

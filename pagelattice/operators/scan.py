@@ -18,6 +18,9 @@ _FINDING = "struct<kind:string,type:string,value:string,value_sha256:string,star
 # A literal that every match of a pattern contains: texts without it skip the pattern.
 _GUARDS = {"google_api": "AIza", "slack_token": "xox", "private_key": "PRIVATE KEY-----"}
 
+# A look-ahead at the only characters a match can start with lets the search pass over the rest.
+_STARTS = {"aws_key": "(?=A)", "generic_secret": "(?i)(?=[apst])"}
+
 # Same matches as the plain pattern, found in linear time: a try starts only where a run of
 # address characters starts (or where the last match ended), not at each of its characters.
 _RUN = "[a-zA-Z0-9._%+-]"
@@ -49,7 +52,9 @@ def _finding(
 
 def emails(text: Column) -> Column:
     """Addresses in the order found, image names left out."""
-    return F.filter(F.regexp_extract_all(text, F.lit(_LINEAR_EMAIL), F.lit(0)), is_address)
+    found = F.filter(F.regexp_extract_all(text, F.lit(_LINEAR_EMAIL), F.lit(0)), is_address)
+    none = F.array().cast("array<string>")
+    return F.when(F.contains(text, F.lit("@")), found).otherwise(none)
 
 
 def email_findings(text: Column) -> Column:
@@ -61,6 +66,7 @@ def _mask(match: Column) -> Column:
 
 
 def _pattern_findings(text: Column, name: str, pattern: str) -> Column:
+    pattern = _STARTS.get(name, "") + pattern
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     if name in _GUARDS:
         found = F.when(F.contains(text, F.lit(_GUARDS[name])), found).otherwise(
@@ -74,7 +80,7 @@ def _pattern_findings(text: Column, name: str, pattern: str) -> Column:
         def context(i: Column) -> tuple[Column, Column]:
             # No match is shorter than 15 characters, so two of them with the text between
             # always fill the 20 characters of context.
-            last, first = lambda x: F.right(x, F.lit(20)), lambda x: F.left(x, F.lit(20))
+            last, first = lambda x: F.substring(x, -20, 20), lambda x: F.substring(x, 1, 20)
             before = F.concat(
                 piece(matches, i - 2, _mask), piece(gaps, i - 1, last),
                 piece(matches, i - 1, _mask), piece(gaps, i, last),

@@ -17,6 +17,9 @@ RECOMMENDED_CONF = {
     # Lets AQE hash instead of sort when every partition of the narrow side is small, which
     # spares sorting whole pages in the page-with-references join.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # Expressions here are large; recording the caller of each Column operation doubles the
+    # time to build them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
