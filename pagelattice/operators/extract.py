@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagelattice.functions import fixed, markup, urls
+from pagelattice.functions.binding import let
 from pagelattice.operators.filters import crawlable, is_reference
 
 
@@ -50,47 +51,59 @@ def css_imports(text: Column) -> Column:
 
 def token_refs(token: Column) -> Column:
     """References of one tag or style block as (kind, ref) entries."""
-    name = markup.tag_name(token)
     none = F.array().cast("array<struct<kind:string,ref:string>>")
-    sheet = F.when(
-        markup.has_rel(token, lambda r: r == "stylesheet"),
-        _entries("stylesheet", _one(markup.attribute(token, "href"))),
-    ).otherwise(none)
-    icon = F.when(
-        markup.has_rel(token, lambda r: F.contains(F.lower(r), F.lit("icon"))),
-        _entries("icon", _one(markup.attribute(token, "href"))),
-    ).otherwise(none)
-    own = (
-        F.when(name == "link", F.concat(sheet, icon))
-        .when(name == "img", _entries("img", _one(markup.attribute(token, "src"))))
-        .when(
-            name == "source",
-            F.concat(
-                _entries("source", _one(markup.attribute(token, "src"))),
-                _entries("srcset", _one(urls.first_srcset(markup.attribute(token, "srcset")))),
+
+    def of_link(href: Column) -> Column:
+        return let(
+            F.split(markup.attribute(token, "rel"), r"\s+"),
+            lambda rel: F.concat(
+                F.when(F.array_contains(rel, "stylesheet"), _entries("stylesheet", _one(href))).otherwise(none),
+                F.when(
+                    F.exists(rel, lambda r: F.contains(F.lower(r), F.lit("icon"))),
+                    _entries("icon", _one(href)),
+                ).otherwise(none),
             ),
         )
-        .when(name == "style", _entries("import", css_imports(token)))
-        .otherwise(none)
-    )
-    inline = F.when(
-        name != "style", _entries("inline", css_urls(markup.attribute(token, "style")))
-    ).otherwise(none)
-    return F.concat(own, inline)
+
+    def of_source(src: Column) -> Column:
+        srcset = urls.first_srcset(markup.attribute(token, "srcset"))
+        return F.concat(_entries("source", _one(src)), _entries("srcset", _one(srcset)))
+
+    def of_element(name: Column) -> Column:
+        main = F.when(name == "link", markup.raw_attribute(token, "href")).when(
+            name.isin("img", "source"), markup.raw_attribute(token, "src")
+        )
+        own = let(
+            markup.unquote_value(F.coalesce(main, F.lit(""))),
+            lambda value: F.when(name == "link", of_link(value))
+            .when(name == "img", _entries("img", _one(value)))
+            .when(name == "source", of_source(value))
+            .otherwise(none),
+        )
+        inline = _entries("inline", css_urls(markup.attribute(token, "style")))
+        imports = _entries("import", css_imports(token))
+        return F.when(name == "style", imports).otherwise(F.concat(own, inline))
+
+    return let(markup.tag_name(token), of_element)
 
 
-def is_proxied(entry: Column) -> Column:
+def is_proxied(kind: Column, ref: Column) -> Column:
     """Image references that go through the resizing endpoint."""
-    return entry["kind"].isin("img", "srcset") & F.contains(entry["ref"], F.lit(fixed.IMAGE_PROXY))
+    return kind.isin("img", "srcset") & F.contains(ref, F.lit(fixed.IMAGE_PROXY))
 
 
-def asset_refs(pages: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+def asset_refs(
+    pages: DataFrame, kinds: list[str] | None = None, keep: dict[str, Column] | None = None
+) -> DataFrame:
     """All same-site asset references: (page_id, kind, ref, url), one row per kind, ref and page.
 
-    Image-proxy references are replaced by the image they wrap.
+    Image-proxy references are replaced by the image they wrap. ``keep`` names expressions over
+    the page that each row should carry.
     """
+    keep = keep or {}
     found = pages.select(
         "page_id",
+        *[value.alias(name) for name, value in keep.items()],
         markup.asset_tokens(F.col("html")).alias("tokens"),
         urls.base_parts(F.col("url")).alias("base"),
     )
@@ -102,23 +115,22 @@ def asset_refs(pages: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     )
 
     def located(entry: Column) -> Column:
-        ref = entry["ref"]
+        kind, ref = entry["kind"], entry["ref"]
         # A proxy reference without an inner URL is left alone by the page rewrite.
-        target = F.when(
-            is_proxied(entry),
-            F.when(
-                urls.proxied_target(ref) != "",
-                F.concat(urls.base_site(base), urls.proxied_target(ref)),
-            ),
-        ).otherwise(urls.resolve(ref, base))
-        return F.struct(entry["kind"].alias("kind"), ref.alias("ref"), target.alias("url"))
+        image = let(
+            urls.proxied_target(ref), lambda t: F.when(t != "", F.concat(urls.base_site(base), t))
+        )
+        target = F.when(is_proxied(kind, ref), image).otherwise(urls.resolve(ref, base))
+        return F.struct(kind.alias("kind"), ref.alias("ref"), target.alias("url"))
 
     kept = F.filter(
         F.transform(wanted, located),
         lambda e: e["url"].isNotNull() & urls.same_site(e["url"], urls.base_authority(base)),
     )
-    exploded = found.select("page_id", F.explode_outer(kept).alias("e"))
-    return exploded.where(F.col("e").isNotNull()).select("page_id", "e.kind", "e.ref", "e.url")
+    exploded = found.select("page_id", *keep, F.explode_outer(kept).alias("e"))
+    return exploded.where(F.col("e").isNotNull()).select(
+        "page_id", *keep, "e.kind", "e.ref", "e.url"
+    )
 
 
 def extract_stylesheets(pages: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pagelattice.functions import fixed, markup, urls
 from pagelattice.functions.binding import let
 from pagelattice.operators import extract
 from pagelattice.operators.filters import crawlable, is_reference
+from pagelattice.operators.joins import resolve_asset_paths
 from pagelattice.operators.skew import skew_join
 from pagelattice.session import cut_lineage
 
@@ -139,38 +140,6 @@ def _relink(cut: _Cut) -> _Cut:
     return cut.step("_parts", rewritten)
 
 
-def _new_refs(df: DataFrame) -> DataFrame:
-    """``df`` plus ``_refs``, a map from each asset reference of the page to its new value.
-
-    Held assets become relative paths, other same-site assets full URLs. What an image-proxy
-    reference wraps becomes a relative path, held or not.
-    """
-    base, page, held = F.col("_base"), F.col("_path"), F.col("_held")
-    found = F.array_distinct(F.flatten(F.transform(markup.asset_tokens(F.col("html")), extract.token_refs)))
-    df = df.withColumn("_entries", found)
-    plain = F.filter(F.array_distinct(F.transform("_entries", lambda e: e["ref"])), is_reference)
-    proxied = F.filter(
-        F.array_distinct(F.transform(F.filter("_entries", extract.is_proxied), lambda e: e["ref"])),
-        lambda r: urls.proxied_target(r) != "",
-    )
-    df = df.withColumns({"_plain": plain, "_proxied": proxied})
-    df = df.withColumn("_urls", urls.resolve_all(F.col("_plain"), base))
-
-    def place(ref: Column, url: Column) -> Column:
-        local = let(
-            F.try_element_at(held, url),
-            lambda file: F.when(file.isNotNull(), urls.relative_path(file, page)).otherwise(url),
-        )
-        return F.when(urls.same_site(url, urls.base_authority(base)), local).otherwise(ref)
-
-    def unwrap(ref: Column) -> Column:
-        return urls.relative_path(F.regexp_replace(urls.proxied_target(ref), "^/+", ""), page)
-
-    keys = F.concat("_plain", F.transform("_proxied", lambda r: F.concat(F.lit(_PROXIED), r)))
-    values = F.concat(F.zip_with("_plain", "_urls", place), F.transform("_proxied", unwrap))
-    return df.withColumn("_refs", F.map_from_arrays(keys, values))
-
-
 # Marks the entries of proxied references; no reference starts with a line break.
 _PROXIED = "\n"
 
@@ -277,35 +246,46 @@ def rewrite_links(pages: DataFrame) -> DataFrame:
     return cut.df.select("page_id", "url", cut.html().alias("html"))
 
 
-def held_assets_by_page(pages: DataFrame, paths: DataFrame) -> DataFrame:
-    """For each page a map of its held assets: URL to local path.
+def new_refs_by_page(pages: DataFrame, paths: DataFrame) -> DataFrame:
+    """For each page a map from its asset references to their new values: (page_id, _refs).
+
+    Held assets become relative paths, other same-site assets full URLs. What an image-proxy
+    reference wraps becomes a relative path, held or not.
 
     Only the narrow reference table takes part in the look-up; it is stored first, because it is
     read for its heavy keys and for the join. A style sheet shared by a third of all pages is one
     heavy key and is spread over all tasks. The final grouping is bounded by one page.
     """
-    refs = cut_lineage(extract.asset_refs(pages).select("page_id", "url").distinct())
-    joined = skew_join(refs, paths.select("url", "local_path"), "url", "inner")
-    entry = F.struct("url", "local_path")
-    return joined.groupBy("page_id").agg(F.map_from_entries(F.collect_set(entry)).alias("_held"))
+    page_path = urls.local_path(F.col("url"))
+    refs = cut_lineage(extract.asset_refs(pages, keep={"page_path": page_path}))
+    moved = resolve_asset_paths(refs, paths)
+    proxied = extract.is_proxied(F.col("kind"), F.col("ref"))
+    wrapped = urls.relative_path(
+        F.regexp_replace(urls.proxied_target(F.col("ref")), "^/+", ""), F.col("page_path")
+    )
+    entry = F.struct(
+        F.when(proxied, F.concat(F.lit(_PROXIED), F.col("ref"))).otherwise(F.col("ref")).alias("ref"),
+        F.when(proxied, wrapped).otherwise(F.col("new_ref")).alias("new_ref"),
+    )
+    return moved.groupBy("page_id").agg(F.map_from_entries(F.collect_set(entry)).alias("_refs"))
 
 
-def _with_held(pages: DataFrame, paths: DataFrame) -> DataFrame:
+def _with_refs(pages: DataFrame, paths: DataFrame) -> DataFrame:
     # Tables bucketed on page_id join here without moving the pages.
     none = F.create_map().cast("map<string,string>")
-    joined = _placed(pages).join(held_assets_by_page(pages, paths), "page_id", "left")
-    return _new_refs(joined.withColumn("_held", F.coalesce("_held", none)))
+    joined = _placed(pages).join(new_refs_by_page(pages, paths), "page_id", "left")
+    return joined.withColumn("_refs", F.coalesce("_refs", none))
 
 
 def rewrite_assets(pages: DataFrame, paths: DataFrame) -> DataFrame:
     """Asset references of each page replaced; ``paths`` is (url, local_path), one row per URL."""
-    cut = _Cut(_with_held(pages, paths)).each(*_ASSET_RULES)
+    cut = _Cut(_with_refs(pages, paths)).each(*_ASSET_RULES)
     return cut.df.select("page_id", "url", cut.html().alias("html"))
 
 
 def clean_pages(pages: DataFrame, paths: DataFrame) -> DataFrame:
     """All page rewrites in one pass: (page_id, url, local_path, html)."""
-    cut = _Cut(_with_held(pages, paths))
+    cut = _Cut(_with_refs(pages, paths))
     cut.each(drop_scripts_rule, drop_preloads_rule, *_ASSET_RULES)
     cut.each(drop_attributes_rule, reveal_hidden_rule)
     cut = _relink(cut)
