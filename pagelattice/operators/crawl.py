@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagelattice.functions import urls
 from pagelattice.operators.robots import allowed_by, rules_by_host
-from pagelattice.operators.skew import heavy_keys, skew_join
-from pagelattice.session import cut_lineage
+from pagelattice.operators.skew import heavy_keys, repeated, salted, skew_join
+from pagelattice.session import cut_lineage, laid_out_by
 
 
 def page_edges(links: DataFrame) -> DataFrame:
@@ -17,12 +17,6 @@ def page_edges(links: DataFrame) -> DataFrame:
     return links.select(urls.captured_key(F.col("src")).alias("src"), "dst")
 
 
-def _spread_sources(edges: DataFrame, heavy: list[str], spread: int) -> DataFrame:
-    """Edges with a salt that splits sources with very many targets."""
-    salt = F.pmod(F.xxhash64("dst"), F.lit(spread)).cast("int")
-    return edges.withColumn("_salt", F.when(F.col("src").isin(heavy), salt).otherwise(0))
-
-
 def crawl_frontier(
     edges: DataFrame,
     seeds: DataFrame,
@@ -36,15 +30,12 @@ def crawl_frontier(
     level is checkpointed, so a lost executor costs at most one level. Levels hold distinct
     URLs, so a page linked from everywhere is one row after the first combine.
     """
-    spark = edges.sparkSession
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Laid out by source once; every level then moves only its own frontier.
     stored = cut_lineage(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
     heavy = heavy_keys(stored, "src")
-    graph = cut_lineage(
-        _spread_sources(stored, heavy, spread).repartition(spread, "src", "_salt")
-    )
     by_host = cut_lineage(rules_by_host(rules)) if rules is not None else None
+    hot_hosts = {}
+    if by_host is not None:
+        hot_hosts = heavy_keys(stored.select(urls.authority(F.col("dst")).alias("host")), "host")
 
     def judged(candidates: DataFrame, depth: int) -> DataFrame:
         """Distinct URLs with the verdict of their host's rules; each URL is judged once."""
@@ -57,23 +48,18 @@ def crawl_frontier(
             verdict = joined.select("url", allowed_by(F.col("rules"), F.col("url")).alias("allowed"))
         return verdict.select("url", F.lit(depth).alias("depth"), "allowed")
 
-    hot_hosts: list[str] = []
-    if by_host is not None:
-        hot_hosts = heavy_keys(stored.select(urls.authority(F.col("dst")).alias("host")), "host")
-    level = cut_lineage(judged(seeds, 0))
-    levels = [level]
-    copies = F.when(F.col("src").isin(heavy), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    while max_depth is None or len(levels) <= max_depth:
-        frontier = level.where("allowed").select(F.col("url").alias("src"))
-        salted = frontier.select("src", F.explode(copies).alias("_salt"))
-        reached = graph.join(salted, ["src", "_salt"]).select(F.col("dst").alias("url")).distinct()
-        seen = reduce(DataFrame.unionByName, levels).select("url")
-        level = cut_lineage(judged(reached.join(seen, "url", "left_anti"), len(levels)))
-        if level.isEmpty():
-            break
-        levels.append(level)
+    levels = [cut_lineage(judged(seeds, 0))]
+    # The edges are laid out by source once; every level then moves only its own frontier.
+    with laid_out_by(salted(stored, "src", heavy), "src", "_salt") as graph:
+        while max_depth is None or len(levels) <= max_depth:
+            frontier = levels[-1].where("allowed").select(F.col("url").alias("src"))
+            starts = repeated(frontier, "src", heavy)
+            reached = graph.join(starts, ["src", "_salt"]).select(F.col("dst").alias("url")).distinct()
+            seen = reduce(DataFrame.unionByName, levels).select("url")
+            level = cut_lineage(judged(reached.join(seen, "url", "left_anti"), len(levels)))
+            if level.isEmpty():
+                break
+            levels.append(level)
     return reduce(DataFrame.unionByName, levels)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagelattice.functions import urls
 from pagelattice.operators.filters import AssetFilter
-from pagelattice.operators.skew import skew_join
+from pagelattice.operators.skew import Heavy, skew_join
 
 
 def unvisited(links: DataFrame, visited: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def unvisited(links: DataFrame, visited: DataFrame) -> DataFrame:
     return wanted.join(seen, "key", "left_anti")
 
 
-def dangling_links(links: DataFrame, pages: DataFrame, heavy: list[str] | None = None) -> DataFrame:
+def dangling_links(links: DataFrame, pages: DataFrame, heavy: Heavy | None = None) -> DataFrame:
     """Links whose target was not captured.
 
     ``links`` is read twice when ``heavy`` is not given; pass a stored or checkpointed table.
@@ -38,7 +38,7 @@ def asset_paths(assets: DataFrame) -> DataFrame:
 
 
 def resolve_asset_paths(
-    refs: DataFrame, paths: DataFrame, heavy: list[str] | None = None
+    refs: DataFrame, paths: DataFrame, heavy: Heavy | None = None
 ) -> DataFrame:
     """``refs`` (url, page_path, …) plus ``new_ref``: the path of a held asset relative to the
     page, the asset URL itself otherwise.

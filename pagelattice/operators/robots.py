@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagelattice.functions import text as tx, urls
 from pagelattice.functions.binding import let
-from pagelattice.operators.skew import skew_join
+from pagelattice.operators.skew import Heavy, skew_join
 
 _LINE_BREAK = r"\r\n|\r|\n"
 _NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
@@ -109,7 +109,7 @@ def allowed_by(rules: Column, url: Column) -> Column:
     return F.coalesce(verdict["allow"], F.lit(True))
 
 
-def robots_allowed(df: DataFrame, rules: DataFrame, heavy: list[str] | None = None) -> DataFrame:
+def robots_allowed(df: DataFrame, rules: DataFrame, heavy: Heavy | None = None) -> DataFrame:
     """``df`` (with ``url``) plus ``allowed``. Each URL meets its host's rules in one row, so no
     URL-rule pairs are formed; hosts with very many URLs are spread over tasks."""
     keyed = df.withColumn("host", urls.authority(F.col("url")))
@@ -117,7 +117,7 @@ def robots_allowed(df: DataFrame, rules: DataFrame, heavy: list[str] | None = No
     return joined.withColumn("allowed", allowed_by(F.col("rules"), F.col("url"))).drop("rules", "host")
 
 
-def skipped_urls(df: DataFrame, rules: DataFrame, heavy: list[str] | None = None) -> DataFrame:
+def skipped_urls(df: DataFrame, rules: DataFrame, heavy: Heavy | None = None) -> DataFrame:
     verdicts = robots_allowed(df.select("url"), rules, heavy)
     return verdicts.where(~F.col("allowed")).select("url").distinct()
 

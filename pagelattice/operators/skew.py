@@ -1,17 +1,29 @@
-"""Joins that stay even when one key holds a large share of the probing rows."""
+"""Joins that stay even when a few keys hold a large share of the probing rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-# A sketch of constant size names the heavy keys, so both what reaches the driver and what is
-# replicated are bounded whatever the data.
-HEAVY_KEYS = 32
+# A sketch of constant size names the heavy keys, so what reaches the driver is bounded whatever
+# the data. Rows are never dropped by it: it only decides where they go.
+HEAVY_KEYS = 1_000
 TRACKED_KEYS = 10_000
 
+Heavy = dict[str, int]
 
-def heavy_keys(df: DataFrame, key: str, share: float = 0.01) -> list[str]:
-    """At most ``HEAVY_KEYS`` values of ``key`` that hold at least ``share`` of the rows."""
+
+def partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def heavy_keys(df: DataFrame, key: str, spread: int | None = None) -> Heavy:
+    """Keys that would fill more than one of ``spread`` even partitions, with the number of
+    partitions each should be spread over.
+
+    The numbers are rounded up to powers of two; together they are at most about three times
+    ``spread``, so the copies of the other side's rows stay few.
+    """
+    spread = spread or partitions(df)
     row = (
         df.where(F.col(key).isNotNull())
         .agg(
@@ -20,7 +32,36 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.01) -> list[str]:
         )
         .first()
     )
-    return [t["item"] for t in row["top"] or [] if t["count"] >= max(2, share * row["n"])]
+    heavy: Heavy = {}
+    for item in row["top"] or []:
+        share = item["count"] * spread / max(row["n"], 1)
+        if share > 1 and item["count"] > 1:
+            heavy[item["item"]] = 1 << (int(share)).bit_length()
+    return heavy
+
+
+def copies(key: Column, heavy: Heavy) -> Column:
+    """Number of partitions a key is spread over: one unless it is heavy."""
+    result = F.lit(1)
+    for n in sorted(set(heavy.values())):
+        result = F.when(key.isin([k for k, v in heavy.items() if v == n]), n).otherwise(result)
+    return result
+
+
+def salted(df: DataFrame, key: str, heavy: Heavy) -> DataFrame:
+    """Rows of the probing side with a salt below the number of copies of their key.
+
+    The salt follows from the row's own content, so a task that runs again after an executor was
+    lost sends every row where it went before.
+    """
+    salt = F.pmod(F.xxhash64(*df.columns), copies(F.col(key), heavy)).cast("int")
+    return df.withColumn("_salt", salt)
+
+
+def repeated(df: DataFrame, key: str, heavy: Heavy) -> DataFrame:
+    """Rows of the other side, once per salt of their key."""
+    salts = F.sequence(F.lit(0), copies(F.col(key), heavy) - 1)
+    return df.withColumn("_salt", F.explode(salts))
 
 
 def skew_join(
@@ -28,25 +69,17 @@ def skew_join(
     right: DataFrame,
     key: str,
     how: str = "left",
-    heavy: list[str] | None = None,
-    spread: int | None = None,
+    heavy: Heavy | None = None,
 ) -> DataFrame:
-    """Equi-join whose heavy left keys are spread over ``spread`` tasks.
+    """Equi-join whose heavy left keys are spread over several tasks.
 
-    ``right`` holds at most a bounded number of rows per key. Its rows for the few heavy keys
-    are repeated once per salt; every other row travels once. The result is that of the plain
-    join for any ``heavy`` list. ``heavy=None`` measures the list from ``left``.
+    ``right`` holds at most a bounded number of rows per key. Its rows for heavy keys are
+    repeated once per salt; every other row travels once. The result is that of the plain join
+    for any ``heavy``. ``heavy=None`` measures it from ``left``, which is then read twice.
     """
     if heavy is None:
         heavy = heavy_keys(left, key)
     if not heavy:
         return left.join(right, key, how)
-    spread = spread or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    is_heavy = F.col(key).isin(heavy)
-    # The salt follows from the row's own content, so a task that runs again after an executor
-    # was lost sends every row where it went before.
-    salt = F.pmod(F.xxhash64(*left.columns), F.lit(spread)).cast("int")
-    salted = left.withColumn("_salt", F.when(is_heavy, salt).otherwise(0))
-    copies = F.when(is_heavy, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.withColumn("_salt", F.explode(copies))
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    joined = salted(left, key, heavy).join(repeated(right, key, heavy), [key, "_salt"], how)
+    return joined.drop("_salt")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,3 +66,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def laid_out_by(df: DataFrame, *keys: str) -> Iterator[DataFrame]:
+    """The rows as a table bucketed on ``keys`` in the shared folder.
+
+    Joins on the keys read it in place, however often: the rows are shuffled once. The table
+    name goes when the block ends; the files stay with the other scratch data.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"laid_out_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys)
+    writer.option("path", scratch_path(spark, "laid-out")).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
