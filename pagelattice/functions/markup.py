@@ -34,6 +34,11 @@ def _tag_with(name: str, attribute: str) -> str:
     return rf"{name}{_skipping(attribute)}[\s/]+{attribute}\s*=\s*{_VALUE}"
 
 
+def _bare(value: Column) -> Column:
+    quoted = F.substring(value, 1, 1).isin('"', "'")
+    return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+
 def unquote_value(raw: Column) -> Column:
     """Attribute value without its quotes, entities decoded."""
 
@@ -43,11 +48,7 @@ def unquote_value(raw: Column) -> Column:
             decoded = F.replace(decoded, F.lit(entity), F.lit(sign))
         return F.when(F.contains(inner, F.lit("&")), decoded).otherwise(inner)
 
-    def bare(value: Column) -> Column:
-        quoted = F.left(value, F.lit(1)).isin('"', "'")
-        return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
-
-    return let(let(raw, bare), decode)
+    return let(let(raw, _bare), decode)
 
 
 def quote_value(text: Column) -> Column:
@@ -65,6 +66,16 @@ def attribute(tag: Column, name: str) -> Column:
     return unquote_value(raw_attribute(tag, name))
 
 
+def plain_attribute(tag: Column, name: str) -> Column:
+    """Attribute value without its quotes, entities as they are: enough for names and tests."""
+    return let(raw_attribute(tag, name), _bare)
+
+
+def has_attribute(tag: Column, name: str) -> Column:
+    """Whether the attribute is there with a non-empty value."""
+    return plain_attribute(tag, name) != ""
+
+
 def set_attribute(tag: Column, name: str, value: Column) -> Column:
     """Tag with the value of an attribute replaced; the text around it stays byte for byte."""
     lead = rf"(?is)^(<[a-z0-9]+{_skipping(name)}[\s/]+{name}\s*=\s*){_VALUE}"
@@ -83,7 +94,7 @@ def drop_attribute(tag: Column, name: str) -> Column:
 
 def has_rel(tag: Column, test: Callable[[Column], Column]) -> Column:
     """Whether any white-space separated token of ``rel`` passes the test."""
-    return F.exists(F.split(attribute(tag, "rel"), r"\s+"), test)
+    return F.exists(F.split(plain_attribute(tag, "rel"), r"\s+"), test)
 
 
 def attribute_values(html: Column, tag: str, name: str) -> Column:

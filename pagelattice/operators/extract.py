@@ -55,7 +55,7 @@ def token_refs(token: Column) -> Column:
 
     def of_link(href: Column) -> Column:
         return let(
-            F.split(markup.attribute(token, "rel"), r"\s+"),
+            F.split(markup.plain_attribute(token, "rel"), r"\s+"),
             lambda rel: F.concat(
                 F.when(F.array_contains(rel, "stylesheet"), _entries("stylesheet", _one(href))).otherwise(none),
                 F.when(

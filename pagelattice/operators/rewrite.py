@@ -18,23 +18,25 @@ from pagelattice.operators.joins import resolve_asset_paths
 from pagelattice.operators.skew import skew_join
 from pagelattice.session import cut_lineage
 
-TokenRule = Callable[[Column], Column]
+TokenRule = Callable[[Column, Column], Column]
 
 
 class _Cut:
     """Pages cut into tokens, rewritten step by step.
 
-    Every step is its own projection. Catalyst merges them again, but resolves each one alone.
+    A rule gets each token with its element name, which is read once. Every step is its own
+    projection; Catalyst merges them again, but resolves each one alone.
     """
 
     def __init__(self, pages: DataFrame):
         self.df = pages.withColumns(
             {"_parts": markup.tokens(F.col("html")), "_gaps": markup.between_tokens(F.col("html"))}
         )
+        self.step("_names", F.transform("_parts", markup.tag_name))
 
     def each(self, *rules: TokenRule) -> _Cut:
         for rule in rules:
-            self.df = self.df.withColumn("_parts", F.transform("_parts", rule))
+            self.step("_parts", F.zip_with("_parts", "_names", rule))
         return self
 
     def step(self, name: str, value: Column) -> _Cut:
@@ -45,34 +47,32 @@ class _Cut:
         return markup.reassemble(F.col("_gaps"), F.col("_parts"))
 
 
-def drop_scripts_rule(token: Column) -> Column:
+def drop_scripts_rule(token: Column, name: Column) -> Column:
     """Scripts with a source go, and inline ones of the usual front-end frameworks."""
     body = F.regexp_extract(token, r"(?is)^<script\b[^>]*>(.*)</script\s*>\z", 1)
     framework = let(
         body, lambda b: F.contains(b, F.lit("_next")) | F.contains(F.lower(b), F.lit("react"))
     )
-    sourced = markup.attribute(token, "src") != ""
-    gone = (markup.tag_name(token) == "script") & (sourced | framework)
+    gone = (name == "script") & (markup.has_attribute(token, "src") | framework)
     return F.when(gone, F.lit("")).otherwise(token)
 
 
-def drop_preloads_rule(token: Column) -> Column:
-    gone = (markup.tag_name(token) == "link") & markup.has_rel(token, lambda r: r == "preload")
+def drop_preloads_rule(token: Column, name: Column) -> Column:
+    gone = (name == "link") & markup.has_rel(token, lambda r: r == "preload")
     return F.when(gone, F.lit("")).otherwise(token)
 
 
-def drop_attributes_rule(token: Column) -> Column:
+def drop_attributes_rule(token: Column, name: Column) -> Column:
     """crossorigin off style sheet links, srcset off images with a source."""
-    name = markup.tag_name(token)
     sheet = (
         (name == "link")
+        & markup.has_attribute(token, "crossorigin")
         & markup.has_rel(token, lambda r: r == "stylesheet")
-        & (markup.attribute(token, "crossorigin") != "")
     )
     image = (
         (name == "img")
+        & markup.has_attribute(token, "srcset")
         & (markup.raw_attribute(token, "src") != "")
-        & (markup.attribute(token, "srcset") != "")
     )
     return (
         F.when(sheet, markup.drop_attribute(token, "crossorigin"))
@@ -86,21 +86,15 @@ def _reveal(style: Column) -> Column:
     return F.regexp_replace(opaque, r"transform\s*:\s*scale\([0-9.]+\)", "transform:scale(1)")
 
 
-def _may_have_style(token: Column) -> Column:
-    return ~markup.tag_name(token).isin("", "script", "style") & (
-        markup.raw_attribute(token, "style") != ""
-    )
+def _may_have_style(token: Column, name: Column) -> Column:
+    """A cheap test that spares most tokens the attribute pattern."""
+    return ~name.isin("", "script", "style") & F.contains(F.lower(token), F.lit("style"))
 
 
-def reveal_hidden_rule(token: Column) -> Column:
-    changed = let(
-        markup.attribute(token, "style"),
-        lambda style: let(
-            _reveal(style),
-            lambda new: F.when(new == style, token).otherwise(markup.set_attribute(token, "style", new)),
-        ),
-    )
-    return F.when(_may_have_style(token), changed).otherwise(token)
+def reveal_hidden_rule(token: Column, name: Column) -> Column:
+    return F.when(
+        _may_have_style(token, name), _with_attribute(token, "style", _reveal)
+    ).otherwise(token)
 
 
 def append_reveal_style(html: Column) -> Column:
@@ -118,15 +112,17 @@ def _relink(cut: _Cut) -> _Cut:
     """
     base, page = F.col("_base"), F.col("_path")
 
-    def href(token: Column) -> Column:
-        value = let(markup.attribute(token, "href"), lambda h: F.when(crawlable(h), h))
-        linked = (markup.tag_name(token) == "a") & (markup.raw_attribute(token, "href") != "")
-        return F.when(linked, value)
+    def href(token: Column, name: Column) -> Column:
+        def value(raw: Column) -> Column:
+            url = let(markup.unquote_value(raw), lambda h: F.when(crawlable(h), h))
+            return F.when(raw != "", url)
+
+        return F.when(name == "a", let(markup.raw_attribute(token, "href"), value))
 
     def target(url: Column) -> Column:
         return F.when(urls.same_site(url, urls.base_authority(base)), urls.local_path(url))
 
-    cut.step("_new", F.transform("_parts", href))
+    cut.step("_new", F.zip_with("_parts", "_names", href))
     cut.step("_new", urls.resolve_all(F.col("_new"), base))
     cut.step("_new", F.transform("_new", target))
     cut.step("_new", F.transform("_new", lambda file: urls.relative_path(file, page)))
@@ -180,8 +176,7 @@ def _replaced(text: Column, refs: Column) -> Column:
     )
 
 
-def _main_reference_rule(token: Column) -> Column:
-    name = markup.tag_name(token)
+def _main_reference_rule(token: Column, name: Column) -> Column:
     linked = markup.has_rel(token, lambda r: (r == "stylesheet") | F.contains(F.lower(r), F.lit("icon")))
     return (
         F.when((name == "link") & linked, _with_attribute(token, "href", _moved))
@@ -192,16 +187,16 @@ def _main_reference_rule(token: Column) -> Column:
     )
 
 
-def _srcset_rule(token: Column) -> Column:
+def _srcset_rule(token: Column, name: Column) -> Column:
     return F.when(
-        markup.tag_name(token) == "source",
+        name == "source",
         _with_attribute(token, "srcset", lambda v: _unwrapped(v, urls.first_srcset(v))),
     ).otherwise(token)
 
 
-def _inline_style_rule(token: Column) -> Column:
+def _inline_style_rule(token: Column, name: Column) -> Column:
     return F.when(
-        _may_have_style(token),
+        _may_have_style(token, name),
         _with_attribute(token, "style", lambda s: _replaced(s, extract.css_urls(s))),
     ).otherwise(token)
 

@@ -7,6 +7,8 @@ a digest and a position.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagelattice.functions import fixed, text as tx
@@ -33,7 +35,7 @@ def _none() -> Column:
 
 def _finding(
     kind: str,
-    type_: str,
+    type_: str | Column,
     value: Column,
     digest: Column | None = None,
     start: Column | None = None,
@@ -42,7 +44,7 @@ def _finding(
     absent = F.lit(None)
     return F.struct(
         F.lit(kind).alias("kind"),
-        F.lit(type_).alias("type"),
+        (F.lit(type_) if isinstance(type_, str) else type_).alias("type"),
         value.alias("value"),
         (absent if digest is None else digest).cast("string").alias("value_sha256"),
         (absent if start is None else start).cast("int").alias("start"),
@@ -65,60 +67,69 @@ def _mask(match: Column) -> Column:
     return F.repeat(F.lit("*"), F.length(match))
 
 
-def _pattern_findings(text: Column, name: str, pattern: str) -> Column:
-    pattern = _STARTS.get(name, "") + pattern
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    if name in _GUARDS:
-        found = F.when(F.contains(text, F.lit(_GUARDS[name])), found).otherwise(
-            F.array().cast("array<string>")
+def _hits(text: Column) -> Column:
+    """Patterns that match with all their matches: array of (type, pattern, matches)."""
+    none = F.array().cast("array<string>")
+    tried = []
+    for name, fixed_pattern in fixed.SECRET_PATTERNS.items():
+        pattern = _STARTS.get(name, "") + fixed_pattern
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        if name in _GUARDS:
+            found = F.when(F.contains(text, F.lit(_GUARDS[name])), found).otherwise(none)
+        tried.append(
+            F.struct(
+                F.lit(name).alias("type"), F.lit(pattern).alias("pattern"), found.alias("matches")
+            )
         )
+    return F.filter(F.array(*tried), lambda h: F.size(h["matches"]) > 0)
 
-    def entries(matches: Column, gaps: Column, starts: Column) -> Column:
-        def piece(array: Column, at: Column, side) -> Column:
-            return F.coalesce(side(F.get(array, at)), F.lit(""))
-
-        def context(i: Column) -> tuple[Column, Column]:
-            # No match is shorter than 15 characters, so two of them with the text between
-            # always fill the 20 characters of context.
-            last, first = lambda x: F.substring(x, -20, 20), lambda x: F.substring(x, 1, 20)
-            before = F.concat(
-                piece(matches, i - 2, _mask), piece(gaps, i - 1, last),
-                piece(matches, i - 1, _mask), piece(gaps, i, last),
-            )
-            after = F.concat(
-                piece(gaps, i + 1, first), piece(matches, i + 1, _mask),
-                piece(gaps, i + 2, first), piece(matches, i + 2, _mask),
-            )
-            return last(before), first(after)
-
-        def entry(pair: Column, i: Column) -> Column:
-            match, start = pair["m"], pair["s"]
-            left, right = context(i)
-            return _finding(
-                "secret",
-                name,
-                tx.redact(match),
-                F.sha2(match, 256),
-                start,
-                tx.strip_text(F.concat(left, tx.redact(match), right)),
-            )
 
-        pairs = F.zip_with(matches, starts, lambda m, s: F.struct(m.alias("m"), s.alias("s")))
-        return F.transform(pairs, entry)
+def _last(text: Column) -> Column:
+    return F.substring(text, -20, 20)
+
+
+def _first(text: Column) -> Column:
+    return F.substring(text, 1, 20)
+
 
-    def located(matches: Column) -> Column:
-        before = F.concat(F.array(F.lit("")), matches)
+def _contexts(matches: Column, gaps: Column, i: Column) -> tuple[Column, Column]:
+    """Up to 20 characters on both sides of match ``i``, other matches masked.
 
-        def with_gaps(gaps: Column) -> Column:
-            steps = F.zip_with(gaps, before, lambda g, b: F.length(g) + F.length(b))
-            starts = let(F.slice(steps, F.lit(1), F.size(matches)), tx.running_totals)
-            return let(starts, lambda s: entries(matches, gaps, s))
+    No match is shorter than 15 characters, so two of them with the text between always fill
+    the context.
+    """
+
+    def at(array: Column, place: Column, side: Callable[[Column], Column]) -> Column:
+        return F.coalesce(side(F.get(array, place)), F.lit(""))
+
+    before = F.concat(
+        at(matches, i - 2, _mask), at(gaps, i - 1, _last), at(matches, i - 1, _mask), at(gaps, i, _last)
+    )
+    after = F.concat(
+        at(gaps, i + 1, _first), at(matches, i + 1, _mask), at(gaps, i + 2, _first), at(matches, i + 2, _mask)
+    )
+    return _last(before), _first(after)
 
-        return F.when(
-            F.size(matches) > 0, let(F.split(text, pattern, -1), with_gaps)
-        ).otherwise(_none())
 
-    return let(found, located)
+def _located(type_: Column, matches: Column, gaps: Column) -> Column:
+    """Findings of one pattern from its matches and the pieces of text between them."""
+
+    def entry(pair: Column, i: Column) -> Column:
+        left, right = _contexts(matches, gaps, i)
+        value = tx.redact(pair["match"])
+        snippet = tx.strip_text(F.concat(left, value, right))
+        return _finding("secret", type_, value, F.sha2(pair["match"], 256), pair["start"], snippet)
+
+    def with_starts(starts: Column) -> Column:
+        pairs = F.zip_with(
+            matches, starts, lambda m, s: F.struct(m.alias("match"), s.alias("start"))
+        )
+        return F.transform(pairs, entry)
+
+    earlier = F.concat(F.array(F.lit("")), matches)
+    steps = F.zip_with(gaps, earlier, lambda g, e: F.length(g) + F.length(e))
+    starts = let(F.slice(steps, F.lit(1), F.size(matches)), tx.running_totals)
+    return let(starts, with_starts)
 
 
 def secret_findings(text: Column) -> Column:
@@ -127,9 +138,13 @@ def secret_findings(text: Column) -> Column:
     ``text`` must be a plain column. Positions come from the lengths of the pieces between
     matches, so a text with a great many matches still costs near linear time.
     """
-    return F.concat(
-        *[_pattern_findings(text, name, p) for name, p in fixed.SECRET_PATTERNS.items()]
+    found = F.transform(
+        _hits(text),
+        lambda h: let(
+            F.split(text, h["pattern"], -1), lambda gaps: _located(h["type"], h["matches"], gaps)
+        ),
     )
+    return F.flatten(found)
 
 
 def html_comments(text: Column) -> Column:
