@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from pagelattice.functions import fixed
+
 
 def strip_text(text: Column) -> Column:
     """Trim Unicode white space on both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(fixed.WHITE_SPACE))
 
 
 def redact(text: Column) -> Column:

@@ -209,6 +209,11 @@ def scan_js_css_comments(captures: DataFrame) -> DataFrame:
     return _explode(captures.where(script & ~F.contains(kind, F.lit("html"))), found)
 
 
+def scan_comments(captures: DataFrame) -> DataFrame:
+    """Comments of pages, scripts and style sheets, by content type."""
+    return _explode(captures, comment_findings(F.col("text"), F.col("content_type")))
+
+
 def all_findings(captures: DataFrame) -> DataFrame:
     """All kinds of findings in one long table, from one pass over the captures."""
     text, kind = F.col("text"), F.col("content_type")

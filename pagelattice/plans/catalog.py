@@ -299,7 +299,7 @@ def parse_rules(spark, sf):
 @query
 def top_comments(spark, sf):
     texts = scan.page_texts(d.pages(spark, sf)).unionByName(scan.asset_texts(d.assets_v(spark, sf)))
-    top = reports.top_comments(scan.all_findings(texts))
+    top = reports.top_comments(scan.scan_comments(texts))
     return top.withColumn("length", F.col("length").cast("bigint"))
 
 
