@@ -19,6 +19,10 @@ RECOMMENDED_CONF = {
     # Lets AQE hash instead of sort when every partition of the narrow side is small, which
     # spares sorting whole pages in the page-with-references join.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # Whole pages travel in Arrow batches only on their way into an archive; keep batches small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    # Checkpointed levels and look-up inputs go once nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Expressions here are large; recording the caller of each Column operation doubles the
     # time to build them.
     "spark.python.sql.dataFrameDebugging.enabled": "false",

@@ -36,10 +36,15 @@ def load_state(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.STATE).parquet(f"{path}/run={runs[-1]}")
 
 
+def next_run(spark: SparkSession, path: str) -> int:
+    """Number the next snapshot will get."""
+    taken = _runs(spark, path, complete=False)
+    return taken[-1] + 1 if taken else 0
+
+
 def save_state(state: DataFrame, path: str) -> int:
     """Write the whole state as the next run and return its number."""
-    taken = _runs(state.sparkSession, path, complete=False)
-    number = taken[-1] + 1 if taken else 0
+    number = next_run(state.sparkSession, path)
     columns = schemas.STATE.names
     state.select(*columns).write.mode("errorifexists").parquet(f"{path}/run={number}")
     return number

@@ -14,9 +14,15 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
-from pyspark.sql.types import Row, StructType
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceWriter,
+    WriterCommitMessage,
+)
+from pyspark.sql.types import StructType
 
 _DEFAULT_DATE = "1970-01-01T00:00:00Z"
 
@@ -56,10 +62,10 @@ def warc_records(response_rows: DataFrame) -> DataFrame:
     )
 
 
-def _record(row: Row) -> bytes:
+def _record(row: dict) -> bytes:
     """One response record. Its id follows from its content, so a repeated task repeats it."""
-    payload = bytes(row["payload"] or b"")
-    headers = "".join(f"{k}: {v}\r\n" for k, v in (row["headers"] or {}).items())
+    payload = row["payload"] or b""
+    headers = "".join(f"{k}: {v}\r\n" for k, v in (row["headers"] or []))
     block = f"HTTP/1.1 {row['status_line']}\r\n{headers}\r\n".encode() + payload
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     identity = uuid.uuid5(uuid.NAMESPACE_URL, f"{row['target_uri']} {row['warc_date']} {digest}")
@@ -82,7 +88,7 @@ class _Part(WriterCommitMessage):
     records: int
 
 
-class WarcWriter(DataSourceWriter):
+class WarcWriter(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool):
         self.path = path
         self.overwrite = overwrite
@@ -94,15 +100,18 @@ class WarcWriter(DataSourceWriter):
         system, root = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
         return system, root.rstrip("/")
 
-    def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         system, root = self._folder()
         system.create_dir(f"{root}/{self.staging}", recursive=True)
         name = f"part-{uuid.uuid4().hex}.warc.gz"
         records = 0
         with system.open_output_stream(f"{root}/{self.staging}/{name}", compression=None) as out:
-            for row in iterator:
-                out.write(gzip.compress(_record(row), mtime=0))
-                records += 1
+            for batch in iterator:
+                # Row by row out of the batch, so that one record at a time is in Python memory.
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    out.write(gzip.compress(_record(row), mtime=0))
+                records += batch.num_rows
         return _Part(name, records)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -148,7 +157,9 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
-def write_warc(response_rows: DataFrame, path: str, parts: int | None = None) -> None:
+def write_warc(
+    response_rows: DataFrame, path: str, parts: int | None = None, overwrite: bool = False
+) -> None:
     """Write records as ``.warc.gz`` parts, one per task.
 
     Payloads stay in the partitions they were read in; give ``parts`` only to force a number of
@@ -156,4 +167,5 @@ def write_warc(response_rows: DataFrame, path: str, parts: int | None = None) ->
     """
     register(response_rows.sparkSession)
     rows = response_rows.repartition(parts) if parts else response_rows
-    rows.write.format("warc").mode("append").option("path", path).save()
+    mode = "overwrite" if overwrite else "append"
+    rows.write.format("warc").mode(mode).option("path", path).save()
