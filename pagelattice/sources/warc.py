@@ -10,11 +10,13 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import (
     DataSource,
@@ -154,6 +156,8 @@ class WarcSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known. It travels by value, so workers need not have this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(WarcSource)
 
 
