@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 # A sketch of constant size names the heavy keys, so what reaches the driver is bounded whatever
-# the data. Rows are never dropped by it: it only decides where they go.
+# the data. Rows are never dropped by it: it only decides where they go. The sketches of many
+# tasks are merged in groups first, so the last step merges a fixed number of them.
 HEAVY_KEYS = 1_000
-TRACKED_KEYS = 10_000
+TRACKED_KEYS = 8_192
+MERGE_GROUPS = 256
 
 Heavy = dict[str, int]
 
@@ -24,17 +26,30 @@ def heavy_keys(df: DataFrame, key: str, spread: int | None = None) -> Heavy:
     ``spread``, so the copies of the other side's rows stay few.
     """
     spread = spread or partitions(df)
-    row = (
+    group = F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("_group")
+    partial = (
         df.where(F.col(key).isNotNull())
+        .groupBy(group)
         .agg(
-            F.expr(f"approx_top_k(`{key}`, {HEAVY_KEYS}, {TRACKED_KEYS})").alias("top"),
+            F.expr(f"approx_top_k_accumulate(`{key}`, {TRACKED_KEYS})").alias("sketch"),
             F.count(F.lit(1)).alias("n"),
         )
+    )
+    merged = f"approx_top_k_combine(sketch, {TRACKED_KEYS})"
+    # Grouped by a constant: without any rows there is then nothing to merge and no result row.
+    row = (
+        partial.groupBy(F.lit("all"))
+        .agg(
+            F.expr(f"approx_top_k_estimate({merged}, {HEAVY_KEYS})").alias("top"),
+            F.sum("n").alias("n"),
+        )
         .first()
     )
+    if row is None:
+        return {}
     heavy: Heavy = {}
-    for item in row["top"] or []:
-        share = item["count"] * spread / max(row["n"], 1)
+    for item in row["top"]:
+        share = item["count"] * spread / row["n"]
         if share > 1 and item["count"] > 1:
             heavy[item["item"]] = 1 << (int(share)).bit_length()
     return heavy

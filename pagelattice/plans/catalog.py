@@ -45,6 +45,11 @@ def _digest(df: DataFrame, *columns: str) -> DataFrame:
     return df.drop(*columns)
 
 
+def _dated(state: DataFrame) -> DataFrame:
+    """State rows with the time as text, the same in every engine."""
+    return state.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
 # --- sources and sinks ----------------------------------------------------------------------
 
 
@@ -69,7 +74,7 @@ def save_and_load_state(spark, sf):
     path = scratch_path(spark, "state")
     state_io.save_state(d.state_prev_v(spark, sf).where("last_modified is null"), path)
     state_io.save_state(d.state_prev_v(spark, sf), path)
-    return state_io.load_state(spark, path)
+    return _dated(state_io.load_state(spark, path))
 
 
 @query
@@ -279,7 +284,7 @@ def effective_delay(spark, sf):
 
 @query
 def upsert_state(spark, sf):
-    return snapshots.upsert_state(d.state_prev_v(spark, sf), _captures(spark, sf))
+    return _dated(snapshots.upsert_state(d.state_prev_v(spark, sf), _captures(spark, sf)))
 
 
 @query
@@ -617,7 +622,7 @@ def stream_state(spark, sf):
     jobs.stream_state(
         _stream(spark, sf), path, scratch_path(spark, "offsets"), F.expr(CAPTURE_TIME)
     ).awaitTermination()
-    return state_io.load_state(spark, path)
+    return _dated(state_io.load_state(spark, path))
 
 
 @query

@@ -158,15 +158,11 @@ def _with(sql: str, *views: str) -> str:
     return f"WITH RECURSIVE {heads} {sql.strip()}" if heads else sql.strip()
 
 
-def _long(column: str) -> str:
-    return f"md5({column}) AS {{0}}_md5, CAST(length({column}) AS BIGINT) AS {{0}}_len"
-
-
 def _digest(expression: str, name: str) -> str:
     return f"md5({expression}) AS {name}_md5, CAST(length({expression}) AS BIGINT) AS {name}_len"
 
 
-_STATE = "url, etag, last_modified, content_type, local_path, ts"
+_STATE = "url, etag, last_modified, content_type, local_path, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts"
 
 # Matches with their positions: text is cut at the matches, lengths are added up.
 _SECRETS = r"""
@@ -233,13 +229,6 @@ _LINKS = (
 )
 
 
-def _new_asset(path: str) -> str:
-    return (
-        f"CASE WHEN EXISTS (SELECT 1 FROM held_v k WHERE k.url = o || '/' || {path}) "
-        f"THEN up || {path} ELSE o || '/' || {path} END"
-    )
-
-
 _ASSETS = (
     "replace(replace(replace(replace(replace(replace(replace({h},"
     " 'href=\"/s/' || (page_id % 9) || '.css\"', 'href=\"' || a1 || '\"'),"
@@ -292,8 +281,7 @@ ORACLE: dict[str, str] = {
     "warc_records": "SELECT url AS target_uri, 'response' AS warc_type, '200 OK' AS status_line,"
     " CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_sha256 FROM pages",
     "filter_asset_types": _with(
-        "SELECT asset_id, url, CASE doc_k WHEN 0 THEN 'css' ELSE 'css' END AS category FROM"
-        " (SELECT *, asset_id % 6 AS doc_k FROM assets_v) WHERE doc_k IN (0, 5)",
+        "SELECT asset_id, url, 'css' AS category FROM assets_v WHERE asset_id % 6 IN (0, 5)",
         "assets_v",
     ),
     "filter_url_patterns": _with(
@@ -405,7 +393,7 @@ WHERE (p LIKE '/fr%' AND p NOT LIKE '/fr/8%') OR p LIKE '/en/1%'""",
     ),
     "upsert_state": _with(
         "SELECT url, md5(html) AS etag, CAST(NULL AS STRING) AS last_modified, 'text/html' AS content_type, local_path,"
-        " TIMESTAMP '2024-02-01 00:00:00' AS ts FROM paths_v",
+        " '2024-02-01 00:00:00' AS ts FROM paths_v",
         "paths_v",
     ),
     "dedupe_urls": r"SELECT regexp_replace(url, '\?[^#]*', '') AS key, min(url) AS url FROM pages GROUP BY 1",
@@ -543,7 +531,7 @@ WHERE (p LIKE '/fr%' AND p NOT LIKE '/fr/8%') OR p LIKE '/en/1%'""",
         "SELECT p.url, md5(html) AS etag,"
         " CASE WHEN s.etag = md5(html) THEN s.last_modified END AS last_modified, 'text/html' AS content_type,"
         " CASE WHEN s.etag = md5(html) THEN s.local_path ELSE p.local_path END AS local_path,"
-        " CASE WHEN s.etag = md5(html) THEN s.ts ELSE TIMESTAMP '2024-02-01 00:00:00' END AS ts"
+        " CASE WHEN s.etag = md5(html) THEN '2024-01-01' ELSE '2024-02-01' END || ' 00:00:00' AS ts"
         " FROM paths_v p LEFT JOIN state_prev_v s ON s.url = p.url",
         "paths_v", "state_prev_v",
     ),
