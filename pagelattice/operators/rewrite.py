@@ -306,7 +306,7 @@ def css_replacements(sheets: DataFrame, assets: DataFrame) -> DataFrame:
         "url",
         urls.local_path(F.col("url")).alias("local_path"),
         # Only font bodies are carried into the join.
-        F.when(urls.font_mime(urls.path(F.col("url"))).isNotNull(), F.translate(F.base64("body"), "\r\n", "")).alias("font"),
+        F.when(urls.font_mime(urls.path(F.col("url"))).isNotNull(), F.replace(F.base64("body"), F.lit("\r\n"), F.lit(""))).alias("font"),
     )
     joined = skew_join(refs, held, "url", "inner")
     mime = urls.font_mime(F.col("local_path"))
