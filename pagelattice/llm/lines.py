@@ -13,7 +13,8 @@ shuffle; texts are laid out once, by id, with the places asked for.
 
 A null text stays null, an empty one empty. A text all of whose chunks were seen before becomes
 empty; no row is dropped. Rows equal in id and text are one text and are changed alike. Rows of
-one id with different texts are different texts. Extra columns pass through; names that begin
+one id with different texts are different texts. Extra columns pass through, but for one
+named as the count; names that begin
 with ``_line`` are reserved. An empty table gives an empty result.
 """
 
@@ -215,4 +216,5 @@ def drop_repeated_chunks(
     )
     fields = ", ".join(f"`{f.name}` {'bigint' if f.name == '_line_places' else f.dataType.simpleString()}" for f in joined.schema)
     done = joined.mapInArrow(_cut(long_line), fields)
-    return done.select(*[F.col("_line_text").alias(c) if c == text_col else F.col(c) for c in docs.columns], F.col("_line_places").alias(count_col))
+    names = [c for c in docs.columns if c != count_col]
+    return done.select(*[F.col("_line_text").alias(c) if c == text_col else F.col(c) for c in names], F.col("_line_places").alias(count_col))

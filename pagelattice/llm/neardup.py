@@ -1,24 +1,26 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 1. One Arrow pass turns each text into its distinct word shingles: their number, a 128-bit digest of
-   the set and a MinHash signature. Texts of equal sets form a class; only classes go on.
-2. Banded signatures give buckets. A bucket is never expanded into all pairs: its members are held
-   against a hub, one of them. Members that the hub does not link stay for further rounds, with
-   twice the hubs, taken from the smallest components first, until every bucket lies in one
-   component or all its members have been hubs. So no link between different texts is lost to
-   the buckets' size.
+   the set, band keys and a signature of one byte per MinHash. Texts of equal sets form a class; only
+   classes go on.
+2. Equal band keys give buckets. A bucket is never expanded into all pairs: its members are held
+   against a hub, the member that meets most others in its buckets.
 3. A pair's signatures are compared batch by batch. After each batch the posterior probability
    (uniform prior) that the similarity reaches the threshold is bounded; a pair below the chosen
-   miss probability goes.
-4. Survivors are confirmed on their full shingle sets.
-5. Links are joined into components; each text gets the smallest id of its component.
+   miss probability goes. Survivors are confirmed on their full shingle sets; links are joined into
+   components.
+4. Buckets that still hold several components are searched for links between these, so that a hub
+   hides none: members are packed into blocks of bounded size, signatures of two blocks are compared
+   as arrays, in the task, and only pairs that pass the bounds leave it, each from the first
+   band it shares. Their confirmed links complete the components.
+5. Each text gets the smallest id of its component.
 
 Banding misses a pair exactly at 0.85 with probability 4e-7 (25 bands of 5), at 0.80 with 5e-8
 (32 bands of 4); verification misses with at most ``miss`` per batch.
 
 Null, empty and word-less texts have no shingles and no link; their component is their own id. A text
 of fewer words than a shingle is one shingle. Repeated rows fall into one class. A row without id
-never names a component unless the whole component has none. An empty table gives an empty result.
+is linked only through an equal text that has one. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,9 +35,11 @@ from pagelattice.llm import arrays
 from pagelattice.llm.common import Scratch, scratch, ship, small
 from pagelattice.llm.components import components
 
-HASHES = 128
-BATCH = 16
-MISS = 1e-6
+HASHES = 384
+BATCH = 32
+MISS = 1e-5
+#: Members of a bucket that are compared as one array.
+BLOCK = 512
 _SEEDS = np.random.default_rng(20).integers(1, 1 << 32, size=(2, HASHES), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
@@ -43,7 +47,9 @@ def least_matches(threshold: float, miss: float, hashes: int = HASHES, batch: in
     """After each batch, the fewest agreeing hashes at which P(similarity >= threshold) >= miss.
 
     With a uniform prior and m of n agreeing, that probability is P(Binomial(n + 1, threshold) <= m).
+    Hashes are kept as one byte, so that different ones agree once in 256.
     """
+    threshold += (1 - threshold) / 256
     out = []
     for n in range(batch, hashes + 1, batch):
         total, m = 0.0, -1
@@ -56,17 +62,29 @@ def least_matches(threshold: float, miss: float, hashes: int = HASHES, batch: in
     return out
 
 
-def _signatures(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def bands_of(percent: int) -> tuple[int, int]:
+    """(bands, hashes in a band)."""
+    return (25, 5) if percent >= 85 else (32, 4)
+
+
+def _signatures(values: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys and one byte of each MinHash, per set."""
     low = values.astype(np.uint32)
     high = (values >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(starts), HASHES), dtype=np.uint32)
+    signature = np.empty((len(starts), HASHES), dtype=np.uint8)
+    keys = np.zeros((len(starts), bands), dtype=np.uint64)
     a, b = np.empty_like(low), np.empty_like(low)
     for i in range(HASHES):
         np.multiply(low, _SEEDS[0, i], out=a)
         np.multiply(high, _SEEDS[1, i], out=b)
         np.add(a, b, out=a)
-        out[:, i] = np.minimum.reduceat(a, starts)
-    return out
+        least = np.minimum.reduceat(a, starts)
+        # The low byte of a minimum is mixed, since low bits of a product are weak.
+        signature[:, i] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
+        if i < bands * rows:
+            band = i // rows
+            keys[:, band] = arrays.mix(keys[:, band] * np.uint64(0xFF51AFD7ED558CCD) + least + np.uint64(band + 1))
+    return keys, signature
 
 
 def _distinct(words: arrays.Runs, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,8 +102,8 @@ def _keys(values: np.ndarray, starts: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in np.stack((one, two), axis=1)]
 
 
-def _scan(size: int, want: str):
-    """Arrow task: (``id``, ``text``) to set sizes and digests with signatures or with the sets."""
+def _scan(size: int, bands: int, rows: int):
+    """Arrow task: (``id``, ``text``) to set size, set digest, band keys and signature."""
 
     def run(batches):
         for batch in batches:
@@ -95,37 +113,93 @@ def _scan(size: int, want: str):
                 values, counts = _distinct(words, size)
                 full = np.flatnonzero(counts)
                 starts = (np.cumsum(counts) - counts)[full]
-                keys, extra = np.full(high - low, None, dtype=object), np.full(high - low, None, dtype=object)
+                columns = [np.full(high - low, None, dtype=object) for _ in range(3)]
                 if len(full):
-                    keys[full] = _keys(values, starts)
-                    if want == "sig":
-                        extra[full] = [x.tobytes() for x in _signatures(values, starts)]
-                    else:
-                        extra[full] = [values[s : s + n].tobytes() for s, n in zip(starts, counts[full])]
+                    keys, signature = _signatures(values, starts, bands, rows)
+                    columns[0][full] = _keys(values, starts)
+                    columns[1][full] = [x.tobytes() for x in keys]
+                    columns[2][full] = [x.tobytes() for x in signature]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id")[low:high], pa.array(counts), pa.array(keys, pa.binary()), pa.array(extra, pa.binary())],
-                    names=["id", "n", "key", want],
+                    [batch.column("id")[low:high], pa.array(counts), *[pa.array(c, pa.binary()) for c in columns]],
+                    names=["id", "n", "key", "bands", "sig"],
                 )
 
     return run
 
 
-def _plausible(threshold: float, miss: float):
+def _sets(size: int):
+    """Arrow task: (``id``, ``text``) to set digest and set."""
+
+    def run(batches):
+        for batch in batches:
+            raw, bounds = arrays.flat(batch.column("text"))
+            for low, high in arrays.slices(bounds):
+                values, counts = _distinct(arrays.Runs(raw, bounds[low : high + 1], arrays.INK), size)
+                full = np.flatnonzero(counts)
+                starts = (np.cumsum(counts) - counts)[full]
+                keys = _keys(values, starts) if len(full) else []
+                sets = [values[s : s + n].tobytes() for s, n in zip(starts, counts[full])]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id")[low:high].take(pa.array(full)), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["id", "key", "set"]
+                )
+
+    return run
+
+
+def _alive(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows (``i`` of ``a``, ``j`` of ``b``) that no batch of hashes rules out."""
+    matches = np.zeros(len(i), dtype=np.int64)
+    for step, need in enumerate(least):
+        part = slice(step * BATCH, (step + 1) * BATCH)
+        matches = matches + (a[i, part] == b[j, part]).sum(axis=1)
+        keep = matches >= need
+        i, j, matches = i[keep], j[keep], matches[keep]
+    return i, j
+
+
+def _plausible(percent: int, miss: float):
     """Arrow task: keeps the pairs whose signatures do not rule the threshold out."""
-    least = least_matches(threshold, miss)
+    least = least_matches(percent / 100, miss)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("sig_u", "sig_v"))
+                row = np.arange(batch.num_rows)
+                yield batch.select(["u", "v"]).take(pa.array(_alive(a, b, row, row, least)[0]))
+
+    return run
+
+
+def _between(percent: int, miss: float):
+    """Arrow task: of two blocks of a bucket, the plausible pairs of different components."""
+    least = least_matches(percent / 100, miss)
+
+    def block(batch, row, side):
+        read = lambda name, kind: np.frombuffer(b"".join(batch.column(f"{name}_{side}")[row].as_py()), kind)
+        node, component, sizes = (np.array(batch.column(f"{name}_{side}")[row].as_py(), np.int64) for name in ("nodes", "components", "sizes"))
+        return node, component, read("sigs", np.uint8).reshape(len(node), HASHES), read("bands", np.uint64).reshape(len(node), -1), sizes
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a = np.frombuffer(b"".join(batch.column("sig_u").to_pylist()), np.uint32).reshape(-1, HASHES)
-            b = np.frombuffer(b"".join(batch.column("sig_v").to_pylist()), np.uint32).reshape(-1, HASHES)
-            alive, matches = np.arange(len(a)), np.zeros(len(a), dtype=np.int64)
-            for step, need in enumerate(least):
-                part = slice(step * BATCH, (step + 1) * BATCH)
-                matches[alive] += (a[alive, part] == b[alive, part]).sum(axis=1)
-                alive = alive[matches[alive] >= need]
-            yield batch.select(["u", "v"]).take(pa.array(alive))
+            us, vs = [], []
+            for row in range(batch.num_rows):
+                node_a, comp_a, sig_a, bands_a, n_a = block(batch, row, "a")
+                node_b, comp_b, sig_b, bands_b, n_b = block(batch, row, "b")
+                band, same = batch.column("band")[row].as_py(), batch.column("same")[row].as_py()
+                for at in range(len(node_a)):
+                    fits = (comp_b != comp_a[at]) & (100 * np.minimum(n_b, n_a[at]) >= percent * np.maximum(n_b, n_a[at]))
+                    if same:
+                        fits[: at + 1] = False
+                    j = np.flatnonzero(fits)
+                    i = np.full(len(j), at)
+                    i, j = _alive(sig_a, sig_b, i, j, least)
+                    if len(j):
+                        j = j[(bands_b[j] == bands_a[at]).argmax(axis=1) == band]
+                        us.append(np.full(len(j), node_a[at]))
+                        vs.append(node_b[j])
+            u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
     return run
 
@@ -146,26 +220,17 @@ def _confirmed(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, miss: float, tables: Scratch) -> DataFrame:
-    """The pairs (``u``, ``v``) of classes that are links."""
-    side = lambda s: classes.select(F.col("key").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("n").alias(f"n_{s}"))
-    held = (
-        pairs.join(side("u"), "u")
-        .join(side("v"), "v")
-        .where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
-        .select("u", "v", "sig_u", "sig_v")
-        .mapInArrow(_plausible(percent / 100, miss), "u binary, v binary")
-    )
-    held = tables.store(held, "plausible")
-    wanted = held.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(classes.select("key", "rep"), "key")
-    wanted = tables.store(wanted.select("rep", "key"), "wanted")
+def _exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, tables: Scratch) -> DataFrame:
+    """The stored pairs (``u``, ``v``) of classes that are links by their full sets."""
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    wanted = tables.store(nodes.join(classes.select("node", "key", "rep"), "node"), "wanted")
     texts = docs.join(small(wanted.select(F.col("rep").alias("id")).distinct(), wanted.count()), "id", "left_semi")
-    sets = texts.mapInArrow(_scan(size, "set"), "id bigint, n bigint, key binary, set binary")
-    sets = sets.where("key is not null").join(wanted.select(F.col("rep").alias("id"), "key"), ["id", "key"])
-    sets = tables.store(sets.select("key", "set").dropDuplicates(["key"]), "sets")
-    side = lambda s: sets.select(F.col("key").alias(s), F.col("set").alias(f"set_{s}"))
-    links = held.join(side("u"), "u").join(side("v"), "v").select("u", "v", "set_u", "set_v")
-    return tables.store(links.mapInArrow(_confirmed(percent), "u binary, v binary"), "links")
+    sets = texts.mapInArrow(_sets(size), "id bigint, key binary, set binary")
+    sets = sets.join(wanted.withColumnRenamed("rep", "id"), ["id", "key"]).dropDuplicates(["node"]).select("node", "set")
+    sets = tables.store(sets, "sets")
+    side = lambda s: sets.select(F.col("node").alias(s), F.col("set").alias(f"set_{s}"))
+    held = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "set_u", "set_v")
+    return tables.store(held.mapInArrow(_confirmed(percent), "u bigint, v bigint"), "links")
 
 
 def near_duplicates(
@@ -177,61 +242,54 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = 5 if percent >= 85 else 4
-    bands = HASHES // rows
+    bands, rows = bands_of(percent)
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     with scratch(spark) as tables:
-        scanned = tables.store(
-            docs.mapInArrow(_scan(shingle, "sig"), "id bigint, n bigint, key binary, sig binary"), "signatures"
-        )
+        scanned = docs.mapInArrow(_scan(shingle, bands, rows), "id bigint, n bigint, key binary, bands binary, sig binary")
+        scanned = tables.store(scanned, "signatures")
         members = tables.store(scanned.select("id", "n", "key"), "members", keep=True)
-        classes = scanned.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-        classes = tables.store(classes.where("rep is not null"), "classes")
-        parts = [
-            F.xxhash64(F.lit(i), F.expr(f"substring(sig, {4 * rows * i + 1}, {4 * rows})")) for i in range(bands)
-        ]
-        banded = classes.select("key", F.explode(F.array(*parts)).alias("bucket"))
-        shared = banded.groupBy("bucket").agg(F.min("key").alias("hub"), F.max("key").alias("other")).where("hub < other")
-        shared = tables.store(shared.select("bucket", "hub"), "buckets")
-        buckets = tables.store(banded.join(shared, "bucket").select("bucket", "key", "hub"), "bucket_members")
-        pairs = buckets.where("key <> hub").select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct()
-        links = _verified(pairs, classes, docs, shingle, percent, miss, tables)
-        rest, hubs = buckets.where("key <> hub").select("bucket", "key"), 1
+        classes = scanned.where("key is not null").groupBy("key").agg(
+            F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")
+        )
+        # Numbered once and stored: the numbers name the classes from here on.
+        classes = tables.store(classes.where("rep is not null").withColumn("node", F.monotonically_increasing_id()), "classes")
+        cut = [F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.expr(f"substring(bands, {8 * i + 1}, 8)")).alias("bucket")) for i in range(bands)]
+        banded = classes.select("node", F.inline(F.array(*cut)))
+        sizes = tables.store(banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+        met = tables.store(banded.join(sizes, "bucket"), "met")
+        scores = met.groupBy("node").agg(F.sum("size").alias("score"))
+        met = tables.store(met.join(scores, "node"), "scored")
+        hubs = tables.store(met.groupBy("bucket").agg(F.max_by("node", "score").alias("hub")), "hubs")
+        pairs = met.join(hubs, "bucket").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+        side = lambda s: classes.select(F.col("node").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("n").alias(f"n_{s}"))
+        held = pairs.join(side("u"), "u").join(side("v"), "v").where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
+        held = held.select("u", "v", "sig_u", "sig_v").mapInArrow(_plausible(percent, miss), "u bigint, v bigint")
+        links = _exact(tables.store(held, "plausible"), classes, docs, shingle, percent, tables)
         whole = components(links, tables)
-        while True:
-            hubs *= 2
-            named = buckets.select("bucket", "key").join(
-                whole.select(F.col("node").alias("key"), "component"), "key", "left"
-            ).withColumn("component", F.coalesce("component", "key"))
-            split = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-            split = tables.store(split.select("bucket"), "split")
-            open_ = tables.store(named.join(split, "bucket", "left_semi"), "open")
-            # A member that was a hub of its bucket has been held against all others there.
-            left = rest.join(split, "bucket", "left_semi").join(open_, ["bucket", "key"])
-            sizes = open_.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-            left = tables.store(left.join(sizes, ["bucket", "component"]), "left")
-            ranked = left.selectExpr(
-                "*", "row_number() over (partition by bucket order by size, component, key) as place"
-            ).where(F.col("place") <= hubs)
-            chosen = tables.store(ranked.select("bucket", F.col("key").alias("hub"), F.col("component").alias("hub_component")), "hubs")
-            pairs = (
-                left.join(chosen, "bucket")
-                .where("component <> hub_component")
-                .select(F.greatest("key", "hub").alias("u"), F.least("key", "hub").alias("v"))
-                .distinct()
-            )
-            pairs = tables.store(pairs, "pairs")
-            if pairs.isEmpty():
-                break
-            more = _verified(pairs, classes, docs, shingle, percent, miss, tables)
-            rest = tables.store(
-                left.select("bucket", "key").join(chosen.select("bucket", F.col("hub").alias("key")), ["bucket", "key"], "left_anti"), "rest"
-            )
-            if not more.isEmpty():
-                links = tables.store(links.union(more), "links")
-                whole = components(links, tables)
-        named = members.join(whole.select(F.col("node").alias("key"), "component"), "key", "left")
-        named = tables.store(named.select("id", "n", F.coalesce("component", "key").alias("component")), "named", keep=True)
+        # Buckets of several components.
+        named = met.join(whole.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left").select(
+            "bucket", "band", "size", "node", F.coalesce("component", "node").alias("component")
+        )
+        named = tables.store(named, "named_members")
+        split = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+        open_ = named.join(tables.store(split.select("bucket"), "split"), "bucket", "left_semi")
+        open_ = open_.join(classes.select("node", "n", "bands", "sig"), "node").withColumn("block", F.expr(f"pmod(xxhash64(node), cast(ceil(size / {BLOCK}) as int))"))
+        blocks = open_.groupBy("bucket", "band", "block").agg(
+            F.array_sort(F.collect_list(F.struct("node", "component", "sig", "bands", "n"))).alias("all")
+        )
+        blocks = tables.store(
+            blocks.select("bucket", "band", "block", *[F.col(f"all.{c}").alias(d) for c, d in zip(("node", "component", "sig", "bands", "n"), ("nodes", "components", "sigs", "bands", "sizes"))]),
+            "blocks",
+        )
+        half = lambda s: blocks.select("bucket", F.col("block").alias(f"block_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("nodes", "components", "sigs", "bands", "sizes")])
+        both = half("a").join(half("b").join(blocks.select("bucket", "band").distinct(), "bucket"), "bucket").where("block_a <= block_b")
+        both = both.withColumn("same", F.expr("block_a = block_b"))
+        found = tables.store(both.mapInArrow(_between(percent, miss), "u bigint, v bigint").distinct(), "between")
+        more = _exact(found, classes, docs, shingle, percent, tables)
+        whole = components(links.union(more), tables)
+        member_nodes = classes.select("key", "node").join(whole, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+        named = members.join(member_nodes, "key", "left").select("id", "n", "key", "component")
+        named = tables.store(named, "named", keep=True)
     lowest = named.where("component is not null").groupBy("component").agg(F.min("id").alias("low"))
     return named.join(lowest, "component", "left").select(
         F.col("id").alias(id_col),

@@ -12,7 +12,7 @@ to parts by a row number, parts are counted, and a row's place is the part's sta
 within the part. No task gets a cell or a shard whole.
 
 A null text has no bytes; null keys share one place of the ring. Repeated rows are placed one by one.
-An empty table gives an empty result. Other columns pass through; names beginning with ``_ring``
+An empty table gives an empty result. Other columns pass through, but for ``shard`` and ``slot``; names beginning with ``_ring``
 are reserved.
 """
 
@@ -104,7 +104,7 @@ def assign(docs: DataFrame, shards: int, key_col: str = "doc_id", bits: int = RI
     taken_by = F.filter("_ring_takes", lambda t: (t["lo"] <= place) & (place < t["hi"]))[0]
     placed = ranked.withColumn("_ring_take", taken_by).withColumn("_ring_place", place)
     return placed.select(
-        *docs.columns,
+        *[c for c in docs.columns if c not in ("shard", "slot")],
         F.col("_ring_take.shard").alias("shard"),
         (F.col("_ring_place") + F.col("_ring_take.base")).alias("slot"),
     )
