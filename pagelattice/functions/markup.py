@@ -2,27 +2,33 @@
 
 A page is read in one left-to-right pass of one pattern. Comments, scripts and style bodies are
 consumed as whole tokens, so tags named inside them are never mistaken for tags of the page.
-Quantifiers over quoted attributes are possessive: no backtracking on long or broken tags.
+Quantifiers over quoted attributes are possessive, and what is never closed ends with the text, so
+every try consumes what it reads: no character is read again for each broken tag before it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
 
 from pagelattice.functions.binding import let
 
-_REST_OF_TAG = r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+'|["'])[^>"']*+)*+>"""
+_REST_OF_TAG = r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+'|["'])[^>"']*+)*+(?:>|\z)"""
 # The leading "<" is shared by all alternatives, so other characters are passed over quickly.
-_COMMENT = r"!--.*?-->"
-_SCRIPT = rf"script\b{_REST_OF_TAG}.*?</script\s*>"
-_STYLE = rf"style\b{_REST_OF_TAG}.*?</style\s*>"
+_COMMENT = r"!--.*?(?:-->|\z)"
+_SCRIPT = rf"script\b{_REST_OF_TAG}.*?(?:</script\s*>|\z)"
+_STYLE = rf"style\b{_REST_OF_TAG}.*?(?:</style\s*>|\z)"
+_OTHER = rf"[a-z]{_REST_OF_TAG}"
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s>"']+)"""
 
 
-# Entities decoded in attribute values; '&amp;' comes last so that nothing is decoded twice.
-_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+# Characters by name, from the standard library's HTML 4 table, and by the numbers that HTML reads
+# as Windows-1252.
+_NAMED = {name: chr(point) for name, point in name2codepoint.items()} | {"apos": "'"}
+_RENUMBERED = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
 
 
 def _skipping(name: str) -> str:
@@ -39,16 +45,44 @@ def _bare(value: Column) -> Column:
     return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
 
 
-def unquote_value(raw: Column) -> Column:
-    """Attribute value without its quotes, entities decoded."""
+def _table(entries: dict) -> Column:
+    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
+
+
+def _numbered(point: Column) -> Column:
+    """The character of a code point, as HTML reads it."""
+    sign = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+    unusable = (point == 0) | (point > 0x10FFFF) | point.between(0xD800, 0xDFFF)
+    usual = F.when(unusable, F.lit("\ufffd")).otherwise(sign)
+    return F.when(point.between(0x80, 0x9F), F.element_at(_table(_RENUMBERED), point.cast("int"))).otherwise(usual)
+
+
+def decode_references(text: Column) -> Column:
+    """Character references by number and by name, each decoded once; unknown names stay."""
+
+    def decoded(piece: Column) -> Column:
+        def sign(ref: Column) -> Column:
+            hexed = F.lower(F.substring(ref, 2, 1)) == "x"
+            number = F.when(hexed, F.conv(F.substring(ref, 3, 8), 16, 10)).otherwise(F.substring(ref, 2, 8)).try_cast("bigint")
+            return F.when(F.startswith(ref, F.lit("#")), let(number, _numbered)).otherwise(F.try_element_at(_table(_NAMED), ref))
 
-    def decode(inner: Column) -> Column:
-        decoded = inner
-        for entity, sign in _ENTITIES:
-            decoded = F.replace(decoded, F.lit(entity), F.lit(sign))
-        return F.when(F.contains(inner, F.lit("&")), decoded).otherwise(inner)
+        name = F.regexp_extract(piece, rf"(?s)^{_REFERENCE}", 0)
+        rest = lambda n: F.substring(piece, F.length(n) + 1, F.length(piece))
+        return let(
+            name,
+            lambda n: F.when(n == "", piece).otherwise(
+                F.concat(F.coalesce(sign(F.substring(n, F.lit(2), F.length(n) - 2)), n), rest(n))
+            ),
+        )
 
-    return let(let(raw, _bare), decode)
+    # Every piece but the first begins with a reference.
+    pieces = F.split(text, rf"(?={_REFERENCE})", -1)
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, decoded), "")).otherwise(text)
+
+
+def unquote_value(raw: Column) -> Column:
+    """Attribute value without its quotes, character references decoded."""
+    return let(let(raw, _bare), decode_references)
 
 
 def quote_value(text: Column) -> Column:
@@ -99,16 +133,16 @@ def has_rel(tag: Column, test: Callable[[Column], Column]) -> Column:
 
 def attribute_values(html: Column, tag: str, name: str) -> Column:
     """Values of one attribute over all tags of one kind, in page order."""
-    pattern = rf"(?is)<(?:{_COMMENT}|{_SCRIPT}|{_STYLE}|{_tag_with(tag, name)})"
+    pattern = rf"(?is)<(?:{_COMMENT}|{_SCRIPT}|{_STYLE}|{_tag_with(tag, name)}|{_OTHER})"
     raw = F.filter(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda r: r != "")
     return F.transform(raw, unquote_value)
 
 
-_TOKENS = rf"(?is)<(?:{_COMMENT}|{_SCRIPT}|{_STYLE}|[a-z]{_REST_OF_TAG})"
+_TOKENS = rf"(?is)<(?:{_COMMENT}|{_SCRIPT}|{_STYLE}|/head\s*>|{_OTHER})"
 _ASSET_TOKENS = (
     rf"(?is)<(?:{_COMMENT}|{_SCRIPT}|({_STYLE}"
     rf"|(?:link|img|source)\b{_REST_OF_TAG}"
-    rf"|[a-z][a-z0-9]*{_skipping('style')}[\s/]+style\s*={_REST_OF_TAG}))"
+    rf"|[a-z][a-z0-9]*{_skipping('style')}[\s/]+style\s*={_REST_OF_TAG})|{_OTHER})"
 )
 
 
@@ -123,10 +157,6 @@ def tag_name(token: Column) -> Column:
     return F.lower(F.regexp_extract(token, r"^<([A-Za-z][A-Za-z0-9]*)", 1))
 
 
-def comments(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r"(?s)<!--(.*?)-->"), F.lit(1))
-
-
 def tokens(html: Column) -> Column:
     """All comments, script and style blocks and opening tags, in page order."""
     return F.regexp_extract_all(html, F.lit(_TOKENS), F.lit(0))

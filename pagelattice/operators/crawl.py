@@ -33,7 +33,7 @@ def crawl_frontier(
     stored = cut_lineage(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
     heavy = heavy_keys(stored, "src")
     by_host = cut_lineage(rules_by_host(rules)) if rules is not None else None
-    hot_hosts = {}
+    hot_hosts = None
     if by_host is not None:
         hot_hosts = heavy_keys(stored.select(urls.authority(F.col("dst")).alias("host")), "host")
 

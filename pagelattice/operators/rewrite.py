@@ -49,7 +49,7 @@ class _Cut:
 
 def drop_scripts_rule(token: Column, name: Column) -> Column:
     """Scripts with a source go, and inline ones of the usual front-end frameworks."""
-    body = F.regexp_extract(token, r"(?is)^<script\b[^>]*>(.*)</script\s*>\z", 1)
+    body = F.regexp_extract(token, r"(?is)^<script\b[^>]*>(.*)\z", 1)
     framework = let(
         body, lambda b: F.contains(b, F.lit("_next")) | F.contains(F.lower(b), F.lit("react"))
     )
@@ -97,11 +97,18 @@ def reveal_hidden_rule(token: Column, name: Column) -> Column:
     ).otherwise(token)
 
 
-def append_reveal_style(html: Column) -> Column:
-    """The fixed style block at the end of the head."""
-    return F.regexp_replace(
-        html, F.lit(r"(?is)\A(.*?)(</head\s*>)"), F.lit("$1" + fixed.REVEAL_STYLE.replace("$", r"\$") + "$2")
-    )
+def _append_reveal_style(cut: _Cut) -> Column:
+    """The page with the fixed style block at the end of its head.
+
+    The end of the head is a token of its own, so one named in a comment or script is none. Where it
+    is not written, the head ends before the body, or with the text.
+    """
+    style = F.lit(fixed.REVEAL_STYLE)
+    ends = F.array_position(F.transform("_parts", lambda t: F.lower(F.left(t, F.lit(6))) == "</head"), F.lit(True))
+    head, body = F.array_contains("_names", "head"), F.array_position("_names", F.lit("body"))
+    cut.step("_end", F.when(ends > 0, ends).when(head & (body > 0), body).when(head, F.lit(-1)).otherwise(F.lit(0)))
+    cut.step("_parts", F.transform("_parts", lambda t, i: F.when(i + 1 == F.col("_end"), F.concat(style, t)).otherwise(t)))
+    return F.when(F.col("_end") == -1, F.concat(cut.html(), style)).otherwise(cut.html())
 
 
 def _relink(cut: _Cut) -> _Cut:
@@ -225,8 +232,9 @@ def drop_attributes(pages: DataFrame) -> DataFrame:
 
 
 def reveal_hidden(pages: DataFrame) -> DataFrame:
-    shown = _by_rules(pages, reveal_hidden_rule)
-    return shown.withColumn("html", append_reveal_style(F.col("html")))
+    cut = _Cut(pages.select("page_id", "url", "html")).each(reveal_hidden_rule)
+    html = _append_reveal_style(cut)
+    return cut.df.select("page_id", "url", html.alias("html"))
 
 
 def _placed(pages: DataFrame) -> DataFrame:
@@ -284,12 +292,8 @@ def clean_pages(pages: DataFrame, paths: DataFrame) -> DataFrame:
     cut.each(drop_scripts_rule, drop_preloads_rule, *_ASSET_RULES)
     cut.each(drop_attributes_rule, reveal_hidden_rule)
     cut = _relink(cut)
-    return cut.df.select(
-        "page_id",
-        "url",
-        F.col("_path").alias("local_path"),
-        append_reveal_style(cut.html()).alias("html"),
-    )
+    html = _append_reveal_style(cut)
+    return cut.df.select("page_id", "url", F.col("_path").alias("local_path"), html.alias("html"))
 
 
 # --- style sheets ---------------------------------------------------------------------------
@@ -299,14 +303,16 @@ def css_replacements(sheets: DataFrame, assets: DataFrame) -> DataFrame:
     """New value of every held reference of every sheet: (css_url, ref, local_path, new_ref).
 
     Fonts become data URIs, everything else a path relative to the sheet. ``assets`` is
-    (url, body), one row per URL. References are stored first, as they are read twice.
+    (url, body). References are stored first, as they are read twice.
     """
     refs = cut_lineage(extract.extract_css_urls(sheets))
-    held = assets.select(
+    # Only font bodies are carried into the join, one per URL; of several captures the greatest body.
+    is_font = urls.font_mime(urls.path(F.col("url"))).isNotNull()
+    held = assets.groupBy("url").agg(F.max(F.when(is_font, F.col("body"))).alias("font"))
+    held = held.select(
         "url",
         urls.local_path(F.col("url")).alias("local_path"),
-        # Only font bodies are carried into the join.
-        F.when(urls.font_mime(urls.path(F.col("url"))).isNotNull(), F.replace(F.base64("body"), F.lit("\r\n"), F.lit(""))).alias("font"),
+        F.replace(F.base64("font"), F.lit("\r\n"), F.lit("")).alias("font"),
     )
     joined = skew_join(refs, held, "url", "inner")
     mime = urls.font_mime(F.col("local_path"))
@@ -333,8 +339,10 @@ def rewrite_css(sheets: DataFrame, assets: DataFrame) -> DataFrame:
     """
     changes = (
         css_replacements(sheets, assets)
+        .groupBy("css_url", "ref")
+        .agg(F.any_value("new_ref").alias("new_ref"))
         .groupBy(F.col("css_url").alias("url"))
-        .agg(F.map_from_entries(F.collect_set(F.struct("ref", "new_ref"))).alias("_new"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("ref", "new_ref"))).alias("_new"))
     )
     joined = sheets.select("url", "body").join(changes, "url", "left")
     ordered = F.array_distinct(extract.css_urls(F.col("body")))

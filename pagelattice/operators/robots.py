@@ -8,7 +8,8 @@ from pagelattice.functions import text as tx, urls
 from pagelattice.functions.binding import let
 from pagelattice.operators.skew import Heavy, skew_join
 
-_LINE_BREAK = r"\r\n|\r|\n"
+# All that ends a line of text, not only of files.
+_LINE_BREAK = r"\r\n|[\r\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 _NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
 
 
@@ -118,8 +119,9 @@ def robots_allowed(df: DataFrame, rules: DataFrame, heavy: Heavy | None = None)
 
 
 def skipped_urls(df: DataFrame, rules: DataFrame, heavy: Heavy | None = None) -> DataFrame:
-    verdicts = robots_allowed(df.select("url"), rules, heavy)
-    return verdicts.where(~F.col("allowed")).select("url").distinct()
+    """Distinct refused URLs. URLs are made distinct first, so a repeated one meets its rules once."""
+    verdicts = robots_allowed(df.select("url").distinct(), rules, heavy)
+    return verdicts.where(~F.col("allowed")).select("url")
 
 
 def _field_values(body: Column, field: str) -> Column:

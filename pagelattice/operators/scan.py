@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BinaryType
 
-from pagelattice.functions import fixed, text as tx
+from pagelattice.functions import fixed, text as tx, urls
 from pagelattice.functions.binding import let
 from pagelattice.operators.filters import is_address, is_code_remark, is_html_remark
 
@@ -147,15 +148,20 @@ def secret_findings(text: Column) -> Column:
     return F.flatten(found)
 
 
+def _closed(text: Column, end: str) -> Column:
+    """The text up to the last ``end``: no opening in it is searched to the text's end in vain."""
+    return F.left(text, F.length(text) - F.length(F.substring_index(text, end, -1)))
+
+
 def html_comments(text: Column) -> Column:
-    raw = F.regexp_extract_all(text, F.lit(r"(?s)<!--(.*?)-->"), F.lit(1))
+    raw = F.regexp_extract_all(_closed(text, "-->"), F.lit(r"(?s)<!--(.*?)-->"), F.lit(1))
     return F.filter(F.transform(raw, tx.strip_text), is_html_remark)
 
 
 def code_comments(text: Column) -> Column:
     """Line comments, then block comments, duplicates kept, long ones cut."""
-    line = F.regexp_extract_all(text, F.lit(r"(?d)//(.*?)\n"), F.lit(1))
-    block = F.regexp_extract_all(text, F.lit(r"(?s)/\*(.*?)\*/"), F.lit(1))
+    line = F.regexp_extract_all(_closed(text, "\n"), F.lit(r"(?d)//(.*?)\n"), F.lit(1))
+    block = F.regexp_extract_all(_closed(text, "*/"), F.lit(r"(?s)/\*(.*?)\*/"), F.lit(1))
     kept = F.filter(F.transform(F.concat(line, block), tx.strip_text), is_code_remark)
     return F.transform(
         kept,
@@ -185,8 +191,13 @@ def page_texts(pages: DataFrame) -> DataFrame:
 
 
 def asset_texts(assets: DataFrame) -> DataFrame:
-    """Text assets as scanner input; the content type decides which comments are read."""
-    return assets.select(F.col("url").alias("source"), F.col("body").alias("text"), "content_type")
+    """Text assets as scanner input; the content type decides which comments are read.
+
+    Images, fonts and media are left out before their bodies are read. Binary bodies are decoded.
+    """
+    text = urls.asset_category(F.col("url"), F.col("content_type")).isin("js", "css", "doc", "other")
+    body = tx.decode_body(F.col("body")) if isinstance(assets.schema["body"].dataType, BinaryType) else F.col("body")
+    return assets.where(text).select(F.col("url").alias("source"), body.alias("text"), "content_type")
 
 
 def scan_emails(captures: DataFrame) -> DataFrame:

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-# A sketch of constant size names the heavy keys, so what reaches the driver is bounded whatever
-# the data. Rows are never dropped by it: it only decides where they go. The sketches of many
-# tasks are merged in groups first, so the last step merges a fixed number of them.
-HEAVY_KEYS = 1_000
-TRACKED_KEYS = 8_192
-MERGE_GROUPS = 256
+from pagelattice.session import cut_lineage
 
-Heavy = dict[str, int]
+#: (key, ``_copies``): keys that are spread, with the number of tasks each is spread over.
+Heavy = DataFrame
 
 
 def partitions(df: DataFrame) -> int:
@@ -19,64 +15,41 @@ def partitions(df: DataFrame) -> int:
 
 
 def heavy_keys(df: DataFrame, key: str, spread: int | None = None) -> Heavy:
-    """Keys that would fill more than one of ``spread`` even partitions, with the number of
-    partitions each should be spread over.
+    """Keys that would fill more than one of ``spread`` even partitions: (key, ``_copies``).
 
-    The numbers are rounded up to powers of two; together they are at most about three times
-    ``spread``, so the copies of the other side's rows stay few.
+    Counts are exact and combined before the shuffle. Keys above the mean of a partition are fewer
+    than ``spread`` whatever the data, and their copies together at most three times ``spread``.
     """
     spread = spread or partitions(df)
-    group = F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("_group")
-    partial = (
-        df.where(F.col(key).isNotNull())
-        .groupBy(group)
-        .agg(
-            F.expr(f"approx_top_k_accumulate(`{key}`, {TRACKED_KEYS})").alias("sketch"),
-            F.count(F.lit(1)).alias("n"),
-        )
-    )
-    merged = f"approx_top_k_combine(sketch, {TRACKED_KEYS})"
-    # Grouped by a constant: without any rows there is then nothing to merge and no result row.
-    row = (
-        partial.groupBy(F.lit("all"))
-        .agg(
-            F.expr(f"approx_top_k_estimate({merged}, {HEAVY_KEYS})").alias("top"),
-            F.sum("n").alias("n"),
-        )
-        .first()
-    )
-    if row is None:
-        return {}
-    heavy: Heavy = {}
-    for item in row["top"]:
-        share = item["count"] * spread / row["n"]
-        if share > 1 and item["count"] > 1:
-            heavy[item["item"]] = 1 << (int(share)).bit_length()
-    return heavy
-
-
-def copies(key: Column, heavy: Heavy) -> Column:
-    """Number of partitions a key is spread over: one unless it is heavy."""
-    result = F.lit(1)
-    for n in sorted(set(heavy.values())):
-        result = F.when(key.isin([k for k, v in heavy.items() if v == n]), n).otherwise(result)
-    return result
+    keyed = df.where(F.col(key).isNotNull()).select(key)
+    total = keyed.count()
+    counts = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) & (F.col("_n") * spread > total))
+    share = F.floor(F.col("_n") * spread / max(total, 1))
+    return cut_lineage(counts.select(key, F.pow(2, F.floor(F.log2(share)) + 1).cast("int").alias("_copies")))
+
+
+def _with_copies(df: DataFrame, key: str, heavy: Heavy) -> DataFrame:
+    """Broadcast on purpose: ``heavy`` has fewer rows than a shuffle has partitions."""
+    named = F.broadcast(heavy.select(F.col(heavy.columns[0]).alias("_heavy"), "_copies"))
+    return df.join(named, F.col(key) == F.col("_heavy"), "left").drop("_heavy").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
 
 
 def salted(df: DataFrame, key: str, heavy: Heavy) -> DataFrame:
     """Rows of the probing side with a salt below the number of copies of their key.
 
-    The salt follows from the row's own content, so a task that runs again after an executor was
-    lost sends every row where it went before.
+    The salt follows from the partition a row is read in and from its own content, so a task that
+    runs again after an executor was lost sends every row where it went before, and equal rows of
+    different partitions part. Maps and variants cannot be hashed and are left out.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), copies(F.col(key), heavy)).cast("int")
-    return df.withColumn("_salt", salt)
+    plain = [f.name for f in df.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *plain), "_copies").cast("int")
+    return _with_copies(df, key, heavy).withColumn("_salt", salt).drop("_copies")
 
 
 def repeated(df: DataFrame, key: str, heavy: Heavy) -> DataFrame:
     """Rows of the other side, once per salt of their key."""
-    salts = F.sequence(F.lit(0), copies(F.col(key), heavy) - 1)
-    return df.withColumn("_salt", F.explode(salts))
+    salts = F.sequence(F.lit(0), F.col("_copies") - 1)
+    return _with_copies(df, key, heavy).withColumn("_salt", F.explode(salts)).drop("_copies")
 
 
 def skew_join(
@@ -90,11 +63,11 @@ def skew_join(
 
     ``right`` holds at most a bounded number of rows per key. Its rows for heavy keys are
     repeated once per salt; every other row travels once. The result is that of the plain join
-    for any ``heavy``. ``heavy=None`` measures it from ``left``, which is then read twice.
+    for any ``heavy``. ``heavy=None`` measures it from ``left``, which is then read more often.
     """
     if heavy is None:
         heavy = heavy_keys(left, key)
-    if not heavy:
+    if heavy.isEmpty():
         return left.join(right, key, how)
     joined = salted(left, key, heavy).join(repeated(right, key, heavy), [key, "_salt"], how)
     return joined.drop("_salt")

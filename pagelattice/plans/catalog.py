@@ -200,8 +200,10 @@ def _captures(spark, sf):
 
 @query
 def snapshot_diff(spark, sf):
-    current = _captures(spark, sf).where(~F.endswith(F.col("url"), F.lit("7")))
-    return snapshots.snapshot_diff(current, d.state_prev_v(spark, sf))
+    """All pages against the state, which also knows a URL per page that is gone since."""
+    before = d.state_prev_v(spark, sf)
+    gone = before.withColumn("url", F.concat("url", F.lit("#gone")))
+    return snapshots.snapshot_diff(_captures(spark, sf), before.unionByName(gone))
 
 
 @query
@@ -387,9 +389,7 @@ def local_path(spark, sf):
 
 @query
 def image_proxy_path(spark, sf):
-    return d.hrefs_v(spark, sf).where("form = 13").select(
-        "page_id", urls.image_proxy_path(F.col("href")).alias("path")
-    )
+    return d.hrefs_v(spark, sf).select("page_id", "form", urls.image_proxy_path(F.col("href")).alias("path"))
 
 
 @query
@@ -598,11 +598,11 @@ def crawl_order_with_rules(spark, sf):
 
 @query
 def crawl_sites(spark, sf):
-    """All captured sites traversed together from their captured pages, two levels deep."""
+    """All captured sites traversed together from their captured pages."""
     page = d.pages(spark, sf)
     links = extract.extract_links(page)
     seeds = page.select(urls.captured_key(F.col("url")).alias("url"))
-    order = crawl.crawl_order(crawl.page_edges(links), seeds, d.robots_rules_v(spark, sf), max_depth=2)
+    order = crawl.crawl_order(crawl.page_edges(links), seeds, d.robots_rules_v(spark, sf))
     return order.withColumn("depth", F.col("depth").cast("bigint"))
 
 

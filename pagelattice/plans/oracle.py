@@ -196,7 +196,7 @@ _COUNTS = r"""
   WHERE NOT regexp_matches(lower(email), '\.png|\.jpg|\.gif|\.svg|\.webp'))
  UNION ALL SELECT 'comment', 'HTML', source, comment FROM html_comments_v
  UNION ALL SELECT 'comment', 'JS/CSS', source, comment FROM code_comments_v)"""
-_ALL_TEXTS = ", all_v AS (SELECT source, text FROM texts_v UNION ALL SELECT url, body FROM assets_v)"
+_ALL_TEXTS = ", all_v AS (SELECT source, text FROM texts_v UNION ALL SELECT url, body FROM assets_v WHERE asset_id % 6 NOT IN (2, 3))"
 _ALL_VIEWS = ("texts_v", "assets_v", "patterns_v", "html_comments_v", "code_comments_v")
 
 _BFS = r"""
@@ -324,8 +324,8 @@ FROM (SELECT page_id, url, regexp_extract(url, '^https?://[^/?#]*(.*)', 1) AS p
     "snapshot_diff": _with(
         "SELECT coalesce(n.url, s.url) AS url, CASE WHEN s.url IS NULL THEN 'new' WHEN n.url IS NULL THEN 'removed'"
         " WHEN n.etag = s.etag THEN 'unchanged' ELSE 'changed' END AS status"
-        " FROM (SELECT url, md5(html) AS etag FROM pages WHERE url NOT LIKE '%7') n"
-        " FULL OUTER JOIN state_prev_v s ON s.url = n.url",
+        " FROM (SELECT url, md5(html) AS etag FROM pages) n"
+        " FULL OUTER JOIN (SELECT url, etag FROM state_prev_v UNION ALL SELECT url || '#gone', etag FROM state_prev_v) s ON s.url = n.url",
         "state_prev_v",
     ),
     "changed_captures": "SELECT url, md5(html) AS etag FROM pages WHERE page_id % 5 = 0 OR page_id % 3 = 0",
@@ -453,7 +453,9 @@ SELECT url, CASE WHEN p IN ('', '/') THEN 'index.html' WHEN regexp_matches(p, '(
  WHEN p LIKE '%/' THEN ltrim(p, '/') || 'index.html' ELSE ltrim(p, '/') || '.html' END AS local_path FROM q""",
         "links_v",
     ),
-    "image_proxy_path": "SELECT page_id, 'i/' || page_id || '_w64.png' AS path FROM pages",
+    "image_proxy_path": _with(
+        "SELECT page_id, form, CASE WHEN form = 13 THEN 'i/' || page_id || '_w64.png' END AS path FROM hrefs_v", "hrefs_v"
+    ),
     "unwrap_image_proxy": _with(
         "SELECT page_id, form, CASE WHEN form = 13 THEN 'https://s.example.com/i/' || page_id || '.png' ELSE href END AS url FROM hrefs_v",
         "hrefs_v",
@@ -545,11 +547,11 @@ WHERE (p LIKE '/fr%' AND p NOT LIKE '/fr/8%') OR p LIKE '/en/1%'""",
     ),
     "stream_dedupe": r"SELECT DISTINCT regexp_replace(url, '[?#].*', '') AS key FROM pages",
     "crawl_order": _with(
-        _BFS.replace("{limit}", "64").replace("{ok}", "") + " SELECT url, min(depth) AS depth FROM walk GROUP BY url",
+        _BFS.replace("{limit}", "(SELECT count(*) FROM pages)").replace("{ok}", "") + " SELECT url, min(depth) AS depth FROM walk GROUP BY url",
         "edges_v",
     ),
     "crawl_order_with_rules": _with(
-        _BFS.replace("{limit}", "64").replace(
+        _BFS.replace("{limit}", "(SELECT count(*) FROM pages)").replace(
             "{ok}", "AND (w.url NOT LIKE '%/p/3%' OR w.url LIKE '%/p/30%')"
         )
         + " SELECT url, min(depth) AS depth, url NOT LIKE '%/p/3%' OR url LIKE '%/p/30%' AS allowed FROM walk GROUP BY url",
@@ -564,7 +566,7 @@ ok AS (SELECT url, NOT ((p LIKE '/fr%' AND p NOT LIKE '/fr/8%') OR p LIKE '/en/1
 walk AS (
  SELECT DISTINCT regexp_replace(url, '[?#].*', '') AS url, CAST(0 AS BIGINT) AS depth FROM pages
  UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.url JOIN ok o ON o.url = w.url
- WHERE w.depth < 2 AND o.allowed)
+ WHERE w.depth < (SELECT count(*) FROM pages) AND o.allowed)
 SELECT walk.url, min(depth) AS depth FROM walk JOIN ok ON ok.url = walk.url WHERE ok.allowed GROUP BY walk.url""",
         "links_v",
     ),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -42,21 +41,18 @@ def build_session(app_name: str, master: str | None = None, **conf: str) -> Spar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, from ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a temporary folder of this machine.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors can reach: ``spark.checkpoint.dir``, else one below the warehouse."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the executors")
-    fallback = tempfile.mkdtemp(prefix="pagelattice-")
-    spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+    below = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    spark.sparkContext.setCheckpointDir(below)
+    return below
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -76,15 +72,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def laid_out_by(df: DataFrame, *keys: str) -> Iterator[DataFrame]:
     """The rows as a table bucketed on ``keys`` in the shared folder.
 
-    Joins on the keys read it in place, however often: the rows are shuffled once. The table
-    name goes when the block ends; the files stay with the other scratch data.
+    Joins on the keys read it in place, however often: the rows are shuffled once. Table and files
+    go when the block ends.
     """
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"laid_out_{uuid.uuid4().hex}"
+    path = scratch_path(spark, "laid-out")
     writer = df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys)
-    writer.option("path", scratch_path(spark, "laid-out")).saveAsTable(name)
+    writer.option("path", path).saveAsTable(name)
     try:
         yield spark.table(name)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete_path(spark, path)

@@ -19,11 +19,21 @@ def side(spark):
     return spark.createDataFrame([("hot", "h")] + [(f"k{i}", str(i)) for i in range(0, 500, 2)], "k string, v string")
 
 
+def copies(spark, **keys):
+    return spark.createDataFrame(list(keys.items()), "k string, _copies int")
+
+
 def test_heavy_keys_are_few_and_weighted(spark):
-    heavy = skew.heavy_keys(skewed(spark), "k", spread=64)
+    heavy = {r.k: r._copies for r in skew.heavy_keys(skewed(spark), "k", spread=64).collect()}
     assert heavy["hot"] == 32 and len(heavy) < 20
-    assert skew.heavy_keys(spark.range(1000).select(F.col("id").cast("string").alias("k")), "k", spread=8) == {}
-    assert skew.heavy_keys(spark.createDataFrame([], "k string"), "k") == {}
+    assert skew.heavy_keys(spark.range(1000).select(F.col("id").cast("string").alias("k")), "k", spread=8).isEmpty()
+    assert skew.heavy_keys(spark.createDataFrame([], "k string"), "k").isEmpty()
+
+
+def test_every_heavy_key_is_found(spark):
+    many = spark.range(20_000).select(F.format_string("k%d", F.col("id") % 2000).alias("k"))
+    heavy = skew.heavy_keys(many, "k", spread=20_000)
+    assert heavy.count() == 2000 and heavy.where("_copies <> 16").isEmpty()
 
 
 def test_skew_join_equals_plain_join(spark):
@@ -31,7 +41,7 @@ def test_skew_join_equals_plain_join(spark):
     for how in ["left", "inner", "left_anti", "left_semi"]:
         columns = ["id", "k"] if how.startswith("left_") else ["id", "k", "v"]
         plain = left.join(right, "k", how).select(*columns)
-        spread = skew.skew_join(left, right, "k", how, {"hot": 16, "k2": 4, "absent": 2}).select(*columns)
+        spread = skew.skew_join(left, right, "k", how, copies(spark, hot=16, k2=4, absent=2)).select(*columns)
         measured = skew.skew_join(left, right, "k", how).select(*columns)
         expected = sorted(map(repr, plain.collect()))
         assert sorted(map(repr, spread.collect())) == expected
@@ -39,11 +49,18 @@ def test_skew_join_equals_plain_join(spark):
 
 
 def test_hot_key_really_spreads(spark):
-    rows = skew.salted(skewed(spark), "k", {"hot": 16}).where("k = 'hot'")
+    rows = skew.salted(skewed(spark), "k", copies(spark, hot=16)).where("k = 'hot'")
     sizes = [r["count"] for r in rows.groupBy("_salt").count().collect()]
     assert len(sizes) == 16 and max(sizes) < 3 * min(sizes)
 
 
+def test_equal_rows_and_maps_spread(spark):
+    same = spark.range(0, 20_000, 1, 64).select(F.lit("hot").alias("k"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    sizes = [r["count"] for r in skew.salted(same, "k", copies(spark, hot=16)).groupBy("_salt").count().collect()]
+    assert len(sizes) > 12 and max(sizes) < 5_000
+    assert skew.skew_join(same, side(spark), "k", "left").where("v = 'h'").count() == 20_000
+
+
 def test_unvisited_and_dangling(spark):
     links = spark.createDataFrame(
         [("s", "http://h/a?x"), ("s", "http://h/a"), ("t", "http://h/b"), ("t", "http://h"), ("u", "http://h/_next/image?url=1")],
@@ -51,7 +68,7 @@ def test_unvisited_and_dangling(spark):
     )
     pages = spark.createDataFrame([("http://h/b?q#f",), ("http://h/",)], "url string")
     assert sorted(r.key for r in joins.unvisited(links, pages.where("url = 'http://h/'")).collect()) == ["http://h/_next/image?url=1", "http://h/a", "http://h/b"]
-    got = sorted(tuple(r) for r in joins.dangling_links(links, pages, {}).collect())
+    got = sorted(tuple(r) for r in joins.dangling_links(links, pages).collect())
     assert [g[1] for g in got] == ["http://h/a", "http://h/a?x", "http://h", "http://h/_next/image?url=1"]
 
 

@@ -1,5 +1,6 @@
 """Reading and rewriting of pages, on awkward markup."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagelattice.functions import fixed
@@ -124,3 +125,47 @@ def test_rewrite_css(spark):
     font = "data:font/woff2;base64," + base64.b64encode(b"FONT" * 40).decode()
     assert got["http://h.x/c/s.css"] == f"a{{x:url({font})}} b{{y:url('../i.png')}} c{{z:url(/gone.png)}} d{{url({font})}}"
     assert got["http://h.x/e.css"] == "b{}"
+
+
+def test_character_references(spark, column):
+    import html
+
+    values = ["a&#47;b", "&#038;x", "&#x2F;&#X2f;", "caf&eacute;&nbsp;x", "&amp;lt;", "&#128;&#0;&#x110000;&#xD800;", "&nosuch;&", "&;&#;", "&apos;&quot;", "plain"]
+    from pagelattice.functions import markup
+
+    got = column("v string", [(v,) for v in values], markup.decode_references(F.col("v")))
+    assert got == [html.unescape(v) for v in values]
+
+
+@pytest.mark.parametrize("opening", ["<script>", "<style>", "<!-- ", "<a b ", "x <b y ", "/* a ", "// a ", "<a href='", '<a b="'])
+def test_unclosed_markup_takes_linear_time(spark, opening):
+    import time
+
+    from pagelattice.operators import extract, rewrite, scan
+
+    page = spark.createDataFrame([(1, "http://h.x/", opening * (1_000_000 // len(opening)))], "page_id long, url string, html string")
+    captures = page.select(F.col("url").alias("source"), F.col("html").alias("text"), F.lit("text/css").alias("content_type"))
+    start = time.time()
+    extract.extract_links(page).collect()
+    extract.asset_refs(page).collect()
+    rewrite.drop_scripts(page).collect()
+    scan.scan_js_css_comments(captures).collect()
+    scan.scan_html_comments(captures).collect()
+    assert time.time() - start < 60
+
+
+def test_reveal_style_place(spark):
+    from pagelattice.functions import fixed
+    from pagelattice.operators import rewrite
+
+    pages = [
+        "<html><head><!-- </head> --><script>var a='</head>'</script></head><body></body></html>",
+        "<html><head><title>x</title><body>y</body></html>",
+        "<p>no head</p>",
+    ]
+    frame = spark.createDataFrame([(i, "http://h.x/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.html for r in rewrite.reveal_hidden(frame).collect()}
+    style = fixed.REVEAL_STYLE
+    assert got[0] == pages[0].replace("</script></head>", f"</script>{style}</head>")
+    assert got[1] == pages[1].replace("<body>", f"{style}<body>")
+    assert got[2] == pages[2]
