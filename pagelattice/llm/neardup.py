@@ -286,11 +286,20 @@ def near_duplicates(
         both = both.withColumn("same", F.expr("block_a = block_b"))
         found = tables.store(both.mapInArrow(_between(percent, miss), "u bigint, v bigint").distinct(), "between")
         more = _exact(found, classes, docs, shingle, percent, tables)
-        whole = components(links.union(more), tables)
-        member_nodes = classes.select("key", "node").join(whole, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+        # The new links tie whole components together.
+        whole = tables.store(whole, "components")
+        place = lambda s: small(whole.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}")), n_whole)
+        n_whole = whole.count()
+        tied = more.join(place("u"), "u", "left").join(place("v"), "v", "left").select(F.coalesce("c_u", "u").alias("u"), F.coalesce("c_v", "v").alias("v"))
+        tied = tables.store(components(tied, tables), "tied")
+        higher = small(tied.select(F.col("node").alias("t_node"), F.col("component").alias("higher")))
+        member_nodes = classes.select("key", "node").join(small(whole, n_whole), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        member_nodes = member_nodes.join(higher, F.col("component") == F.col("t_node"), "left").select("key", F.coalesce("higher", "component").alias("component"))
         named = members.join(member_nodes, "key", "left").select("id", "n", "key", "component")
         named = tables.store(named, "named", keep=True)
-    lowest = named.where("component is not null").groupBy("component").agg(F.min("id").alias("low"))
+        # Stored, so that the join below may split a large component over tasks.
+        lowest = named.where("component is not null").groupBy("component").agg(F.min("id").alias("low"))
+        lowest = tables.store(lowest, "lowest", keep=True)
     return named.join(lowest, "component", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
