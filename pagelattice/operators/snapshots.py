@@ -23,6 +23,18 @@ def page_captures(pages: DataFrame, ts: Column) -> DataFrame:
     )
 
 
+def asset_captures(assets: DataFrame, ts: Column) -> DataFrame:
+    """State rows of captured assets (url, content_type, body)."""
+    return assets.select(
+        "url",
+        F.md5(F.col("body").cast("binary")).alias("etag"),
+        F.lit(None).cast("string").alias("last_modified"),
+        "content_type",
+        urls.local_path(F.col("url")).alias("local_path"),
+        ts.cast("timestamp").alias("ts"),
+    )
+
+
 def latest_per_url(captures: DataFrame) -> DataFrame:
     """One row per URL, the last write. Copies of one URL are combined before the shuffle."""
     rest = [c for c in schemas.STATE.names if c != "url"]

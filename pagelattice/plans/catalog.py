@@ -638,3 +638,33 @@ def stream_dedupe(spark, sf):
     out = scratch_path(spark, "captures")
     jobs.stream_dedupe(_stream(spark, sf), out, scratch_path(spark, "offsets")).awaitTermination()
     return spark.read.parquet(out).select("key")
+
+
+# --- the whole run --------------------------------------------------------------------------
+
+
+def _mirror(spark, sf, **options):
+    """A run over all pages and assets, after one that left ``state_prev_v``."""
+    from pagelattice.plans.mirror import Options, mirror
+
+    out = scratch_path(spark, "mirror")
+    state_io.save_state(d.state_prev_v(spark, sf), f"{out}/state")
+    robots_text = d.hosts_v(spark, sf).select("host", F.lit("").alias("body"))
+    pages, assets = d.pages(spark, sf), d.assets_v(spark, sf).select("url", "content_type", "body")
+    tables = mirror(pages, assets, robots_text, pages.select("url"), out, F.expr(CAPTURE_TIME), Options(**options))
+    return out, tables
+
+
+@query
+def mirror_state(spark, sf):
+    """State after the run: pages and assets, those unchanged with their old time."""
+    return _dated(_mirror(spark, sf)[1]["state"]).select("url", "etag", "content_type", "ts")
+
+
+@query
+def mirror_archive(spark, sf):
+    """Addresses in the archive of the run: new and changed pages and assets."""
+    out, _ = _mirror(spark, sf, export_warc=True)
+    lines = spark.read.option("pathGlobFilter", "*.warc.gz").option("recursiveFileLookup", "true").text(f"{out}/warc")
+    field = F.regexp_extract("value", r"^WARC-Target-URI: (.*)", 1)
+    return lines.select(field.alias("target_uri")).where(F.col("target_uri") != "")

@@ -20,7 +20,7 @@ from pagelattice.operators import (
 )
 from pagelattice.operators.filters import AssetFilter
 from pagelattice.operators.skew import heavy_keys, skew_join
-from pagelattice.session import cut_lineage
+from pagelattice.session import cut_lineage, laid_out_by
 from pagelattice.sources import state as state_io, warc
 
 
@@ -61,8 +61,8 @@ def mirror(
     """Mirror every site reachable from ``seeds`` (url) and return the tables written to ``out``.
 
     ``pages`` is (page_id, url, html), ``assets`` (url, content_type, body) with one row per URL,
-    ``robots_text`` (host, body). Pages that did not change since the last run keep their links
-    but are neither rewritten nor scanned again.
+    ``robots_text`` (host, body). Pages and assets that did not change since the last run keep their
+    links and places but are neither rewritten, scanned nor archived again.
     """
     spark = pages.sparkSession
     state_path = f"{out}/state"
@@ -91,19 +91,33 @@ def mirror(
     work = pages.select("page_id", "url", "html").join(chosen.select("page_id"), "page_id", "left_semi")
 
     held = kept_assets(assets, options.asset_filter)
+    fresh_assets = snapshots.asset_captures(held, ts)
+    if state is not None:
+        fresh_assets = snapshots.changed_captures(fresh_assets, state)
+    fresh_assets = cut_lineage(fresh_assets)
+    new_held = held.join(fresh_assets.select("url"), "url", "left_semi")
+    captured = fresh.unionByName(fresh_assets)
+    # Page text moves once more, into a table laid out by the key of the rewrite; rewrite, scan and
+    # archive read it in place.
+    with laid_out_by(work, "page_id") as work:
+        return _written(spark, work, visited, met, held, new_held, captured, robots_text, seeds, out, state, options)
+
+
+def _written(spark, work, visited, met, held, new_held, captured, robots_text, seeds, out, state, options):
+    state_path = f"{out}/state"
     paths = joins.asset_paths(held)
     is_sheet = F.contains(F.col("content_type"), F.lit("css"))
     tables = {
         "crawl": met,
         "pages": rewrite.clean_pages(work, paths),
-        "css": rewrite.rewrite_css(held.where(is_sheet).select("url", "body"), held.select("url", "body")),
+        "css": rewrite.rewrite_css(new_held.where(is_sheet).select("url", "body"), held.select("url", "body")),
         "sitemap": reports.sitemap(visited.select("url")),
         "listing": reports.crawl_listing(visited, paths, met.where(~F.col("allowed"))),
         "delays": robots.effective_delay(robots.crawl_delay(robots_text), options.base_delay),
         "robots_report": robots.robots_report(robots_text),
     }
     if options.recon:
-        texts = scan.page_texts(work).unionByName(scan.asset_texts(held))
+        texts = scan.page_texts(work).unionByName(scan.asset_texts(new_held))
         tables["findings"] = scan.all_findings(texts)
     if options.seed_paths:
         sites = seeds.select(urls.origin(F.col("url")).alias("site"))
@@ -118,10 +132,11 @@ def mirror(
         table.write.mode("overwrite").parquet(target)
         written[name] = spark.read.parquet(target)
     if options.export_warc:
-        warc.write_warc(warc.responses(work), f"{out}/warc/run={run}", overwrite=True)
+        responses = warc.responses(work).unionByName(warc.responses(new_held, body="body"))
+        warc.write_warc(responses, f"{out}/warc/run={run}", overwrite=True)
     if state is not None:
         # The state comes last: a run that failed half-way is simply done again.
-        state_io.save_state(snapshots.upsert_state(state, fresh), state_path)
+        state_io.save_state(snapshots.upsert_state(state, captured), state_path)
         written["state"] = state_io.load_state(spark, state_path)
     if options.recon:
         written["summary"] = reports.findings_summary(written["findings"])

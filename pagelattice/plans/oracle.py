@@ -570,4 +570,14 @@ walk AS (
 SELECT walk.url, min(depth) AS depth FROM walk JOIN ok ON ok.url = walk.url WHERE ok.allowed GROUP BY walk.url""",
         "links_v",
     ),
+    "mirror_state": _with(
+        "SELECT url, md5(html) AS etag, 'text/html' AS content_type, CASE WHEN page_id % 5 = 0 OR page_id % 3 = 0"
+        " THEN '2024-02-01 00:00:00' ELSE '2024-01-01 00:00:00' END AS ts FROM pages"
+        " UNION ALL SELECT url, md5(body), content_type, '2024-02-01 00:00:00' FROM assets_v",
+        "assets_v",
+    ),
+    "mirror_archive": _with(
+        "SELECT url AS target_uri FROM pages WHERE page_id % 5 = 0 OR page_id % 3 = 0 UNION ALL SELECT url FROM assets_v",
+        "assets_v",
+    ),
 }

@@ -52,13 +52,16 @@ def test_two_runs(spark, tmp_path):
     assert first["summary"].collect()[0].asDict() == {"secrets": 0, "emails": 1, "comments": 2}
     assert {r.host: r.delay for r in first["delays"].collect()} == {"a.x": 2.0, "b.x": 0.3}
     assert {r.url for r in first["wanted_assets"].collect()} == {"http://a.x/n.css", "http://b.x/n.css", "http://b.x/i.png"}
-    assert first["state"].count() == 4
+    assert first["state"].count() == 6
     records = b"".join(gzip.open(f).read() for f in glob.glob(f"{out}/warc/run=0/*.warc.gz"))
-    assert records.count(b"WARC/1.0\r\n") == 4
+    assert records.count(b"WARC/1.0\r\n") == 6 and b"WARC-Target-URI: http://a.x/i.png\r\n" in records
 
     changed = [p if p[0] != 3 else (3, p[1], "<p>new text") for p in PAGES]
     second = run(spark, out, changed, "2024-02-01 00:00:00")
     assert [(r.page_id, r.html) for r in second["pages"].collect()] == [(3, "<p>new text")]
+    assert second["css"].count() == 0
+    records = b"".join(gzip.open(f).read() for f in glob.glob(f"{out}/warc/run=1/*.warc.gz"))
+    assert records.count(b"WARC/1.0\r\n") == 1
     stamps = {r.url: str(r.ts) for r in second["state"].collect()}
     assert stamps["http://a.x/deep/q"].startswith("2024-02") and stamps["http://a.x/"].startswith("2024-01")
     assert second["crawl"].count() == 6
@@ -71,5 +74,5 @@ def test_without_robots_and_state(spark, tmp_path):
         assert {r.page_id for r in tables["pages"].collect()} == {1, 2, 5}
         assert "state" not in tables
         records = b"".join(gzip.open(f).read() for f in glob.glob(f"{out}/warc/run=0/*.warc.gz"))
-        assert records.count(b"WARC/1.0\r\n") == 3
+        assert records.count(b"WARC/1.0\r\n") == 5
         assert "http://a.x/private/x" in {r.url for r in tables["sitemap"].collect()}
