@@ -10,6 +10,7 @@ tokenizer itself.
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 from itertools import repeat
 
@@ -18,9 +19,9 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-CACHE_CHUNKS = 400_000
-CACHE_IDS = 8_000_000
-_PLAIN = regex.compile(r"[!-~¡-¬®-ÿ]+")
+CACHE_CHUNKS = 1_000_000
+CACHE_IDS = 16_000_000
+_PLAIN = re.compile(r"[!-~¡-¬®-ÿ]+")
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
@@ -31,6 +32,15 @@ def _byte_names() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _lowered(text: str) -> str:
+    """Latin-1 texts in lower case, as the normaliser has them; fewer chunks differ then."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class Encoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -54,6 +64,9 @@ class Encoder:
         ranks.setdefault(b" ", len(ids))
         ids.append(-1)
         self.ids = np.array(ids, dtype=np.int64)
+        self.ends = np.zeros(len(ids), dtype=bool)
+        for key, rank in ranks.items():
+            self.ends[rank] = key.endswith(b" ")
         self.merge = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
         self._clear()
 
@@ -64,29 +77,46 @@ class Encoder:
         self.starts[0] = self.used = 0
 
     def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if _PLAIN.fullmatch(c)]
-        other = [c for c in chunks if c and not _PLAIN.fullmatch(c)]
-        found: dict[str, np.ndarray] = {"": np.zeros(0, np.int64)} if "" in chunks else {}
-        for c in plain:
-            found[c] = self.ids[self.merge.encode_ordinary(" ".join(_PIECE.findall(c.lower())) + " ")]
-        for c, e in zip(other, self.exact.encode_batch_fast(other, add_special_tokens=False)):
-            found[c] = np.array(e.ids, dtype=np.int64)
-        for c, ids in found.items():
-            n = len(self.known)
-            if self.used + len(ids) > len(self.pool):
-                self.pool = np.resize(self.pool, max(2 * len(self.pool), self.used + len(ids)))
-            if n + 2 > len(self.starts):
-                self.starts = np.resize(self.starts, 2 * len(self.starts))
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.known[c] = n
-            self.starts[n + 1] = self.used
+        plain, pieces, counts, other = [], [], [], []
+        for c in chunks:
+            if not _PLAIN.fullmatch(c):
+                other.append(c)
+                continue
+            # Letters alone, or with one sign after them, need no splitting.
+            if c.isalpha():
+                own = [c.lower()]
+            elif c[:-1].isalpha() and c[-1] in ".,!?;:|":
+                own = [c[:-1].lower(), c[-1]]
+            else:
+                own = _PIECE.findall(c.lower())
+            plain.append(c)
+            pieces += own
+            counts.append(len(own))
+        if plain:
+            # All pieces at once; a piece ends with a token that ends a word.
+            ranks = np.array(self.merge.encode_ordinary(" ".join(pieces) + " "), dtype=np.int64)
+            last = np.flatnonzero(self.ends[ranks])[np.cumsum(counts) - 1]
+            self._keep(plain, self.ids[ranks], np.diff(np.concatenate(([-1], last))))
+        if other:
+            each = [e.ids for e in self.exact.encode_batch_fast(other, add_special_tokens=False)]
+            self._keep(other, np.array([i for ids in each for i in ids], dtype=np.int64), np.array([len(ids) for ids in each]))
+
+    def _keep(self, chunks: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        n = len(self.known)
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.resize(self.pool, max(2 * len(self.pool), self.used + len(ids)))
+        if n + len(chunks) + 1 > len(self.starts):
+            self.starts = np.resize(self.starts, max(2 * len(self.starts), n + len(chunks) + 1))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.starts[n + 1 : n + len(chunks) + 1] = self.used + np.cumsum(counts)
+        self.used += len(ids)
+        self.known.update(zip(chunks, range(n, n + len(chunks))))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
         if len(self.known) > CACHE_CHUNKS or self.used > CACHE_IDS:
             self._clear()
-        each = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        each = [_lowered(t or "").replace("\n", " ").split(" ") for t in texts]
         chunks = [c for cs in each for c in cs]
         index = np.array(list(map(self.known.get, chunks, repeat(-1))), dtype=np.int64)
         missing = np.flatnonzero(index < 0)
