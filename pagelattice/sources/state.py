@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagelattice import schemas
+from pagelattice.session import delete_path
+
+#: Complete snapshots that stay: the last one and the one its readers may still be on.
+KEPT_RUNS = 2
 
 
 def _runs(spark: SparkSession, path: str, complete: bool) -> list[int]:
@@ -43,8 +47,10 @@ def next_run(spark: SparkSession, path: str) -> int:
 
 
 def save_state(state: DataFrame, path: str) -> int:
-    """Write the whole state as the next run and return its number."""
+    """Write the whole state as the next run, delete runs that are no longer read, return its number."""
     number = next_run(state.sparkSession, path)
     columns = schemas.STATE.names
     state.select(*columns).write.mode("errorifexists").parquet(f"{path}/run={number}")
+    for old in _runs(state.sparkSession, path, complete=True)[:-KEPT_RUNS]:
+        delete_path(state.sparkSession, f"{path}/run={old}")
     return number

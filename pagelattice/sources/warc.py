@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import sys
 import uuid
 from collections.abc import Iterator
@@ -169,7 +170,12 @@ def write_warc(
     Payloads stay in the partitions they were read in; give ``parts`` only to force a number of
     files, which moves every payload once.
     """
-    register(response_rows.sparkSession)
+    spark = response_rows.sparkSession
+    register(spark)
+    # One store for all tasks: a path without a scheme belongs to the default file system.
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path = re.sub(r"^file:/+", "file:///", system.makeQualified(folder).toString())
     rows = response_rows.repartition(parts) if parts else response_rows
     mode = "overwrite" if overwrite else "append"
     rows.write.format("warc").mode(mode).option("path", path).save()

@@ -48,16 +48,28 @@ def stream_findings(captures: DataFrame, out: str, checkpoint: str) -> Streaming
 
 
 def stream_dedupe(captures: DataFrame, out: str, checkpoint: str, within: tuple[str, str] | None = None) -> StreamingQuery:
-    """First capture per page key.
+    """First capture per page key, the one of lowest ``page_id`` within a batch.
 
-    ``within`` = (time column, delay) lets Spark forget keys once the watermark has passed;
-    without it the state holds every key ever seen, one narrow row each.
+    ``within`` = (time column, delay) lets Spark forget keys once the watermark has passed.
+    Without it each batch is a folder ``batch=N`` of the output: keys are combined before their
+    shuffle and held against the keys written before, on narrow rows; page text stays in place. A
+    batch that is replayed writes its folder anew.
     """
     keyed = captures.withColumn("key", urls.captured_key(F.col("url")))
     if within:
         column, delay = within
         kept = keyed.withWatermark(column, delay).dropDuplicatesWithinWatermark(["key"])
-    else:
-        kept = keyed.dropDuplicates(["key"])
-    writer = kept.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-    return writer.outputMode("append").trigger(availableNow=True).start(out)
+        writer = kept.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        return writer.outputMode("append").trigger(availableNow=True).start(out)
+
+    def step(batch: DataFrame, number: int) -> None:
+        first = batch.groupBy("key").agg(F.min("page_id").alias("page_id"))
+        if number:
+            layout = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in batch.schema)}, batch bigint"
+            written = batch.sparkSession.read.schema(layout).parquet(out).where(F.col("batch") < number)
+            first = first.join(written.select("key"), "key", "left_anti")
+        kept = batch.join(first.select("page_id"), "page_id", "left_semi").select(*batch.columns)
+        kept.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    writer = keyed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
