@@ -176,8 +176,7 @@ def unvisited(spark, sf):
 @query
 def resolve_asset_paths(spark, sf):
     page = d.rich_pages_v(spark, sf)
-    refs = extract.asset_refs(page).join(page.select("page_id", urls.local_path(F.col("url")).alias("page_path")), "page_id")
-    refs = cut_lineage(refs)
+    refs = cut_lineage(extract.asset_refs(page, keep={"page_path": urls.local_path(F.col("url"))}))
     return joins.resolve_asset_paths(refs, joins.asset_paths(d.page_assets_v(spark, sf))).select(
         "page_id", "kind", "ref", "new_ref"
     )
