@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagelattice.session import scratch_path
+from pagelattice.session import delete_path, scratch_path
 
 #: Rows of a narrow look-up side up to which it is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -32,10 +32,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
         for path in self.paths:
-            folder = jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            delete_path(self.spark, path)
         self.paths = []
 
 
