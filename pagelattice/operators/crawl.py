@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from pagelattice.functions import urls
 from pagelattice.operators.robots import allowed_by, rules_by_host
 from pagelattice.operators.skew import heavy_keys, repeated, salted, skew_join
-from pagelattice.session import cut_lineage, laid_out_by
+from pagelattice.session import LaidOut, cut_lineage, laid_out_by
 
 
 def page_edges(links: DataFrame) -> DataFrame:
@@ -48,19 +46,25 @@ def crawl_frontier(
             verdict = joined.select("url", allowed_by(F.col("rules"), F.col("url")).alias("allowed"))
         return verdict.select("url", F.lit(depth).alias("depth"), "allowed")
 
-    levels = [cut_lineage(judged(seeds, 0))]
-    # The edges are laid out by source once; every level then moves only its own frontier.
-    with laid_out_by(salted(stored, "src", heavy), "src", "_salt") as graph:
-        while max_depth is None or len(levels) <= max_depth:
-            frontier = levels[-1].where("allowed").select(F.col("url").alias("src"))
-            starts = repeated(frontier, "src", heavy)
-            reached = graph.join(starts, ["src", "_salt"]).select(F.col("dst").alias("url")).distinct()
-            seen = reduce(DataFrame.unionByName, levels).select("url")
-            level = cut_lineage(judged(reached.join(seen, "url", "left_anti"), len(levels)))
-            if level.isEmpty():
-                break
-            levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
+    # Edges are laid out by source and the URLs met by URL, each once: a level shuffles its own
+    # frontier and what it reaches, and its plan is as long as that of the first.
+    level, depth, met = cut_lineage(judged(seeds, 0)), 0, LaidOut(edges.sparkSession, "url")
+    try:
+        met.add(level)
+        with laid_out_by(salted(stored, "src", heavy), "src", "_salt") as graph:
+            while max_depth is None or depth < max_depth:
+                depth += 1
+                frontier = level.where("allowed").select(F.col("url").alias("src"))
+                starts = repeated(frontier, "src", heavy)
+                reached = graph.join(starts, ["src", "_salt"]).select(F.col("dst").alias("url"))
+                unmet = reached.distinct().join(met.rows().select("url"), "url", "left_anti")
+                level = cut_lineage(judged(unmet, depth))
+                if level.isEmpty():
+                    break
+                met.add(level)
+        return cut_lineage(met.rows())
+    finally:
+        met.drop()
 
 
 def crawl_order(

@@ -68,21 +68,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-@contextmanager
-def laid_out_by(df: DataFrame, *keys: str) -> Iterator[DataFrame]:
-    """The rows as a table bucketed on ``keys`` in the shared folder.
+class LaidOut:
+    """A table bucketed on ``keys`` in the shared folder, to which rows may be added.
 
-    Joins on the keys read it in place, however often: the rows are shuffled once. Table and files
-    go when the block ends.
+    Joins on the keys read it in place, however often: each row is shuffled once, when it is added.
     """
-    spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"laid_out_{uuid.uuid4().hex}"
-    path = scratch_path(spark, "laid-out")
-    writer = df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys)
-    writer.option("path", path).saveAsTable(name)
+
+    def __init__(self, spark: SparkSession, *keys: str):
+        self.spark, self.keys = spark, keys
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = f"laid_out_{uuid.uuid4().hex}"
+        self.path = scratch_path(spark, "laid-out")
+
+    def add(self, df: DataFrame) -> None:
+        writer = df.repartition(self.buckets, *self.keys).write.format("parquet").bucketBy(self.buckets, *self.keys)
+        writer.mode("append").option("path", self.path).saveAsTable(self.name)
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete_path(self.spark, self.path)
+
+
+@contextmanager
+def laid_out_by(df: DataFrame, *keys: str) -> Iterator[DataFrame]:
+    """The rows laid out by ``keys``; table and files go when the block ends."""
+    table = LaidOut(df.sparkSession, *keys)
     try:
-        yield spark.table(name)
+        table.add(df)
+        yield table.rows()
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        delete_path(spark, path)
+        table.drop()
