@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from pagelattice.llm.common import Scratch, small
 from pagelattice.llm.grams import gram_hits, words
 
 
@@ -60,6 +61,8 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, id
     hit = contamination(docs, benchmark, window, id_col, text_col).where("n_hit > 0").select(
         F.col("id").alias("_hit_id"), F.col("mark").alias("_hit_mark")
     ).distinct()
+    # Stored, so that its rows can be counted before it is broadcast; the texts then stay in place.
+    hit = small(Scratch(docs.sparkSession).store(hit, "contaminated", keep=True))
     same = F.col(id_col).eqNullSafe(F.col("_hit_id")) & (F.xxhash64(text_col, F.octet_length(text_col)) == F.col("_hit_mark"))
     return docs.join(hit, same, "left_anti")
 

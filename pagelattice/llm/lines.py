@@ -9,7 +9,7 @@ words or more, as written, also begins and ends a chunk. Chunks average three se
 Chunks of at least ``least_words`` words are counted by hash over the whole corpus. All but the first
 occurrence, by (id, place), are candidates. Their bytes are compared with those of the first before
 they are removed; one that differs stays. Only narrow rows are grouped by hash, combined before the
-shuffle; texts are laid out once, by id, with the places asked for.
+shuffle; texts are joined by id with the places asked for, once to compare and once to cut.
 
 A null text stays null, an empty one empty. A text all of whose chunks were seen before becomes
 empty; no row is dropped. Rows equal in id and text are one text and are changed alike. Rows of
@@ -192,9 +192,7 @@ def drop_repeated_chunks(
             F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("drop"), F.col("place"))).alias("drops")
         )
         asked = tables.store(asked, "asked")
-        # The arrays of a look-up side count by their entries.
-        n_asked = n_repeated + later.count()
-        wanted = keyed.join(small(asked, n_asked), (keyed["id"].eqNullSafe(asked["id"])) & (keyed["mark"] == asked["mark"]))
+        wanted = keyed.join(asked, (keyed["id"].eqNullSafe(asked["id"])) & (keyed["mark"] == asked["mark"]))
         texts = wanted.select(keyed["id"], keyed["mark"], "text", "places").mapInArrow(_texts(long_line), f"{_KEY}, place int, hash bigint, bytes binary")
         texts = tables.store(texts.distinct(), "chunk_texts")
         first_texts = texts.join(small(firsts.select("hash", F.col("id").alias("f_id"), F.col("mark").alias("f_mark"), F.col("place").alias("f_place")), n_repeated), "hash").where(
@@ -213,7 +211,7 @@ def drop_repeated_chunks(
         drops = tables.store(drops, "drops", keep=True)
     found = drops.select(F.col("id").alias("_line_id"), F.col("mark").alias("_line_mark"), F.col("drops").alias("_line_places"))
     same = F.col(id_col).cast("bigint").eqNullSafe(F.col("_line_id")) & (mark == F.col("_line_mark"))
-    joined = docs.withColumn("_line_text", F.col(text_col)).join(small(found, n_asked), same, "left").select(
+    joined = docs.withColumn("_line_text", F.col(text_col)).join(found, same, "left").select(
         *[c for c in docs.columns if c != text_col], "_line_text", F.coalesce("_line_places", F.expr("cast(array() as array<int>)")).alias("_line_places")
     )
     fields = ", ".join(f"`{f.name}` {'bigint' if f.name == '_line_places' else f.dataType.simpleString()}" for f in joined.schema)
