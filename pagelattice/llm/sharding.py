@@ -24,7 +24,7 @@ from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagelattice.llm.common import Scratch, small
+from pagelattice.llm.common import small
 from pagelattice.session import scratch_path
 
 RING_BITS = 14
@@ -55,6 +55,8 @@ def fill(counts: dict[int, int], shards: int, bits: int = RING_BITS, bounds: lis
     cells = [c for c, _ in nodes]
     total = sum(counts.values())
     room = list(bounds) if bounds else [total // shards + (s < total % shards) for s in range(shards)]
+    if sum(room) < total:
+        raise ValueError(f"bounds hold {sum(room)} of {total} rows")
     out = []
     for cell in sorted(counts):
         node, left, skipped = bisect_left(cells, cell), counts[cell], 0
@@ -69,7 +71,7 @@ def fill(counts: dict[int, int], shards: int, bits: int = RING_BITS, bounds: lis
     return out
 
 
-def assign(docs: DataFrame, shards: int, key_col: str = "doc_id", bits: int = RING_BITS, keep: Scratch | None = None) -> DataFrame:
+def assign(docs: DataFrame, shards: int, key_col: str = "doc_id", bits: int = RING_BITS) -> DataFrame:
     """``docs`` with ``shard`` and ``slot`` (gapless from 0 within the shard).
 
     Rows are numbered once and stored in the shared folder, so that a lost executor cannot deal
