@@ -240,7 +240,7 @@ def test_counterfactual_penalty_silences_mentions(spark):
     for penalty in (0.0, 20.0):
         vocabulary, weights, _ = toxicity.train(labelled, labelled, penalty=penalty)
         weight[penalty] = weights[np.searchsorted(vocabulary, women)]
-    assert weight[0.0] > 1 and abs(weight[20.0]) < 0.25 * weight[0.0]
+    assert weight[0.0] > 0.5 and abs(weight[20.0]) < 0.25 * weight[0.0]
 
 
 def test_held_out_labels_do_not_matter(spark):
