@@ -1,21 +1,25 @@
-"""Content-defined chunks of lines, removed where they repeat anywhere in the corpus.
+"""Chunks of lines and sentences, removed where they repeat anywhere in the corpus.
 
-Lines are the texts between newlines, cut further after sentence ends, so that a passage pasted into
-a line is seen. A rolling hash over two neighbouring line hashes is taken at every line; a chunk
-begins where it peaks above both neighbours. Whether a chunk begins at a line depends on four lines
-around it alone, so lines put in or left out shift nothing further away. A line of ``long_line``
-words or more, as written, also begins and ends a chunk. Chunks average three sentences.
+Units are the texts between newlines, cut further after sentence ends, so that a passage pasted into
+a line is seen. A chunk is the shortest run of units from a unit on, or back from a unit, that has
+``least_words`` words: a unit of so many words is a chunk by itself, a shorter one is joined to those
+after it and to those before it. Which chunks a run of units holds depends on that run alone, so a
+passage of whole units with ``least_words`` words or more is covered by chunks of its own, all of it,
+wherever it stands.
 
-Chunks of at least ``least_words`` words are counted by hash over the whole corpus. All but the first
+Chunks are counted by hash over the whole corpus. All but the first
 occurrence, by (id, place), are candidates. Their bytes are compared with those of the first before
-they are removed; one that differs stays. Only narrow rows are grouped by hash, combined before the
-shuffle; texts are joined by id with the places asked for, once to compare and once to cut.
+they are removed; one that differs stays. The earliest occurrence of a unit is in no later chunk, so no
+unit is lost altogether; a short unit over and over in one text shrinks to its first. Only hashes are
+counted, combined before the shuffle; texts are joined by id with the places asked for, once to
+compare and once to cut.
 
 A null text stays null, an empty one empty. A text all of whose chunks were seen before becomes
 empty; no row is dropped. Rows equal in id and text are one text and are changed alike. Rows of
 one id with different texts are different texts. Extra columns pass through, but for one
-named as the count; names that begin
-with ``_line`` are reserved. An empty table gives an empty result.
+named as the count, which tells the units removed; names that begin
+with ``_line`` are reserved. An empty table gives an empty result. ``long_line`` changes nothing: lines
+of any length begin and end units.
 """
 
 from __future__ import annotations
@@ -33,9 +37,9 @@ _KEY = "id bigint, mark bigint"
 
 
 class Chunks:
-    """Chunks of a slice of texts: row, number within the row, bytes, word count and hash."""
+    """Chunks of a slice of texts: row, number within the row, units, bytes, word count and hash."""
 
-    def __init__(self, raw: np.ndarray, bounds: np.ndarray, long_line: int):
+    def __init__(self, raw: np.ndarray, bounds: np.ndarray, long_line: int = LONG_LINE, least_words: int = LEAST_WORDS):
         words = arrays.Runs(raw, bounds, arrays.INK, lower=False)
         data, n = words.data, len(words.data)
         self.data, self.bounds = data, words.bounds
@@ -46,10 +50,7 @@ class Chunks:
         begins = np.zeros(n + 1, dtype=bool)
         begins[1:] = ends
         begins[words.bounds] = True
-        line_start = np.zeros(n + 1, dtype=bool)
-        line_start[1:] = newline
-        line_start[words.bounds] = True
-        begins[n] = line_start[n] = False
+        begins[n] = False
         # Units with a word; a blank stretch belongs to what stands before it.
         at = np.flatnonzero(begins)
         first = np.searchsorted(words.start, at)
@@ -58,33 +59,24 @@ class Chunks:
         unit, count, first = at[filled], counts[filled], first[filled]
         row = np.searchsorted(words.bounds, unit, side="right") - 1
         last_word = first + count - 1
-        hashes = arrays.span_hashes(data, words.start[first], words.end[last_word]) if len(unit) else np.zeros(0, np.uint64)
-        # Rolling hash of a line and the one before; 0 at a text's first line.
-        roll = np.zeros(len(unit) + 2, dtype=np.uint64)
-        inner = row[1:] == row[:-1]
-        roll[2:-1] = np.where(inner, arrays.mix(hashes[:-1] * np.uint64(0xFF51AFD7ED558CCD) + hashes[1:]), np.uint64(0))
-        peak = (roll[1:-1] > roll[:-2]) & (roll[1:-1] > roll[2:])
-        opens = peak if len(unit) else np.zeros(0, bool)
-        new_row = np.ones(len(unit), dtype=bool)
-        new_row[1:] = ~inner
-        # Lines as written that are long.
-        lines = np.flatnonzero(line_start)
-        line_words = np.diff(np.append(np.searchsorted(words.start, lines), len(words.start)))
-        of_line = np.searchsorted(lines, words.start[first], side="right") - 1 if len(unit) else np.zeros(0, np.int64)
-        long_ = line_words[of_line] >= long_line if len(unit) else np.zeros(0, bool)
-        new_line = np.ones(len(unit), dtype=bool)
-        new_line[1:] = of_line[1:] != of_line[:-1]
-        after_long = np.zeros(len(unit), dtype=bool)
-        after_long[1:] = long_[:-1]
-        opens = opens | new_row | (new_line & (long_ | after_long))
-        head = np.flatnonzero(opens)
-        tail = np.append(head[1:], len(unit))[: len(head)] - 1
+        # Shortest runs with enough words, from each unit on and back from each unit, within a text.
+        least = max(least_words, 1)
+        upto = np.append(first, len(words.start))
+        each = np.arange(len(unit))
+        row_low, row_high = np.searchsorted(row, row), np.searchsorted(row, row, side="right")
+        tail = np.searchsorted(upto, first + least) - 1
+        head = np.searchsorted(upto, last_word + 1 - least, side="right") - 1
+        on, back = tail < row_high, head >= row_low
+        # Both of one first unit: the shorter stands before; ends never fall.
+        low, high = np.concatenate((each[on], head[back])), np.concatenate((tail[on], each[back]))
+        code = np.unique(low * (least + 1) + (high - low))
+        head, tail = code // (least + 1), code // (least + 1) + code % (least + 1)
         self.row = row[head]
+        self.low, self.high = head - row_low[head], tail + 1 - row_low[head]
         self.start, self.end = words.start[first[head]], words.end[last_word[tail]]
         self.cut_from = unit[head]
-        nxt = np.append(self.cut_from[1:], n)[: len(head)]
-        same = np.append(self.row[1:] == self.row[:-1], False)[: len(head)]
-        self.cut_to = np.where(same, nxt, words.bounds[self.row + 1])
+        nxt = np.append(unit, n)[tail + 1]
+        self.cut_to = np.where(tail + 1 < row_high[tail], nxt, words.bounds[self.row + 1])
         self.words = last_word[tail] + 1 - first[head]
         self.hash = arrays.span_hashes(data, self.start, self.end)
         place = np.arange(len(head))
@@ -97,18 +89,17 @@ def _places(least_words: int, long_line: int):
         for batch in batches:
             raw, bounds = arrays.flat(batch.column("text"))
             for low, high in arrays.slices(bounds):
-                found = Chunks(raw, bounds[low : high + 1], long_line)
-                keep = np.flatnonzero(found.words >= least_words)
-                rows = pa.array(found.row[keep] + low)
+                found = Chunks(raw, bounds[low : high + 1], long_line, least_words)
+                rows = pa.array(found.row + low)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(rows), batch.column("mark").take(rows), pa.array(found.place[keep].astype(np.int32)), pa.array(found.hash[keep].view(np.int64))],
+                    [batch.column("id").take(rows), batch.column("mark").take(rows), pa.array(found.place.astype(np.int32)), pa.array(found.hash.view(np.int64))],
                     names=["id", "mark", "place", "hash"],
                 )
 
     return run
 
 
-def _texts(long_line: int):
+def _texts(least_words: int, long_line: int):
     """Bytes of the chunks at the places asked for."""
 
     def run(batches):
@@ -116,7 +107,7 @@ def _texts(long_line: int):
             raw, bounds = arrays.flat(batch.column("text"))
             asked = batch.column("places")
             for low, high in arrays.slices(bounds):
-                found = Chunks(raw, bounds[low : high + 1], long_line)
+                found = Chunks(raw, bounds[low : high + 1], long_line, least_words)
                 first = np.searchsorted(found.row, np.arange(high - low))
                 ids, marks, places, hashes, texts = [], [], [], [], []
                 for r in range(high - low):
@@ -135,7 +126,7 @@ def _texts(long_line: int):
     return run
 
 
-def _cut(long_line: int):
+def _cut(least_words: int, long_line: int):
     """Texts without the chunks at the places asked for."""
 
     def run(batches):
@@ -149,19 +140,21 @@ def _cut(long_line: int):
                     out.extend(column[low:high].to_pylist())
                     removed.extend([0] * (high - low))
                     continue
-                found = Chunks(raw, bounds[low : high + 1], long_line)
+                found = Chunks(raw, bounds[low : high + 1], long_line, least_words)
                 first = np.searchsorted(found.row, np.arange(high - low))
                 for r, places in enumerate(asked):
-                    text = column[low + r].as_py()
+                    text, units = column[low + r].as_py(), 0
                     if places and text is not None:
-                        keep, at = [], found.bounds[r]
+                        keep, at, done = [], found.bounds[r], 0
                         for c in sorted(first[r] + p for p in places):
                             keep.append(found.data[at : found.cut_from[c]].tobytes())
                             at = found.cut_to[c]
+                            units += int(found.high[c] - max(found.low[c], done))
+                            done = found.high[c]
                         keep.append(found.data[at : found.bounds[r + 1]].tobytes())
                         text = b"".join(keep).decode()
                     out.append(text)
-                    removed.append(len(places or ()))
+                    removed.append(units)
             index = batch.schema.get_field_index("_line_text")
             batch = batch.set_column(index, "_line_text", pa.array(out, pa.string()))
             index = batch.schema.get_field_index("_line_places")
@@ -173,7 +166,7 @@ def _cut(long_line: int):
 def drop_repeated_chunks(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, long_line: int = LONG_LINE, count_col: str = "n_removed"
 ) -> DataFrame:
-    """``docs`` with repeated chunks cut from their texts, and the number cut in ``count_col``."""
+    """``docs`` with repeated chunks cut from their texts, and the number of units cut in ``count_col``."""
     spark = docs.sparkSession
     ship(spark)
     mark = F.xxhash64(text_col, F.octet_length(text_col))
@@ -181,10 +174,11 @@ def drop_repeated_chunks(
     with scratch(spark) as tables:
         places = tables.store(keyed.mapInArrow(_places(least_words, long_line), f"{_KEY}, place int, hash bigint"), "chunks")
         here = F.struct("id", "mark", "place")
-        repeated = places.groupBy("hash").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        repeated = tables.store(repeated, "repeated")
-        n_repeated = repeated.count()
-        later = places.join(small(repeated, n_repeated), "hash").where(~here.eqNullSafe(F.col("first"))).select("id", "mark", "place", "hash")
+        hashes = tables.store(places.groupBy("hash").count().where("count > 1").select("hash"), "hashes")
+        n_repeated = hashes.count()
+        again = tables.store(places.join(small(hashes, n_repeated), "hash"), "again")
+        repeated = tables.store(again.groupBy("hash").agg(F.min(here).alias("first")), "repeated")
+        later = again.join(small(repeated, n_repeated), "hash").where(~here.eqNullSafe(F.col("first"))).select("id", "mark", "place", "hash")
         later = tables.store(later.distinct(), "later")
         firsts = repeated.select("first.*", "hash")
         asked = later.withColumn("drop", F.lit(True)).unionAll(firsts.withColumn("drop", F.lit(False)))
@@ -193,7 +187,7 @@ def drop_repeated_chunks(
         )
         asked = tables.store(asked, "asked")
         wanted = keyed.join(asked, (keyed["id"].eqNullSafe(asked["id"])) & (keyed["mark"] == asked["mark"]))
-        texts = wanted.select(keyed["id"], keyed["mark"], "text", "places").mapInArrow(_texts(long_line), f"{_KEY}, place int, hash bigint, bytes binary")
+        texts = wanted.select(keyed["id"], keyed["mark"], "text", "places").mapInArrow(_texts(least_words, long_line), f"{_KEY}, place int, hash bigint, bytes binary")
         texts = tables.store(texts.distinct(), "chunk_texts")
         first_texts = texts.join(small(firsts.select("hash", F.col("id").alias("f_id"), F.col("mark").alias("f_mark"), F.col("place").alias("f_place")), n_repeated), "hash").where(
             F.col("id").eqNullSafe(F.col("f_id")) & (F.col("mark") == F.col("f_mark")) & (F.col("place") == F.col("f_place"))
@@ -215,6 +209,6 @@ def drop_repeated_chunks(
         *[c for c in docs.columns if c != text_col], "_line_text", F.coalesce("_line_places", F.expr("cast(array() as array<int>)")).alias("_line_places")
     )
     fields = ", ".join(f"`{f.name}` {'bigint' if f.name == '_line_places' else f.dataType.simpleString()}" for f in joined.schema)
-    done = joined.mapInArrow(_cut(long_line), fields)
+    done = joined.mapInArrow(_cut(least_words, long_line), fields)
     names = [c for c in docs.columns if c != count_col]
     return done.select(*[F.col("_line_text").alias(c) if c == text_col else F.col(c) for c in names], F.col("_line_places").alias(count_col))

@@ -587,6 +587,49 @@ def test_chunks_with_one_hash_and_different_bytes_stay(spark, monkeypatch):
     assert {r["doc_id"]: r["text"] for r in lines.drop_repeated_chunks(same).collect()} == dict(rows)
 
 
+def planted(spark, seed, shapes, join, around, trials=60):
+    """Share of passages, each in two unrelated documents, that are whole in the first and gone from the second."""
+    rng, rows, passages = random.Random(seed), [], []
+    line = lambda: " ".join(sentence(rng, rng.randint(4, 14)) for _ in range(rng.randint(1, 4)))
+    for i in range(trials):
+        parts = [sentence(rng, n) for n in shapes[i % len(shapes)]]
+        passages.append(parts)
+        for half in (0, 1):
+            before, after = (around.join(line() for _ in range(3)) for _ in range(2))
+            rows.append((i + half * trials, before + around + join.join(parts) + around + after))
+    got = {r["doc_id"]: r["text"] for r in lines.drop_repeated_chunks(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i] == rows[2 * i][1] for i in range(trials))
+    unrelated = [rows[2 * i + 1][1].replace(join.join(p), "") for i, p in enumerate(passages)]
+    strip = lambda t: t.replace("\n", "").replace(" ", "")
+    return np.mean([strip(got[i + trials]) == strip(unrelated[i]) for i in range(trials)])
+
+
+def test_long_lines_go_wherever_they_stand(spark):
+    assert planted(spark, 21, [[20] * 3, [14] * 4, [10] * 6], " ", "\n") == 1.0
+
+
+def test_passages_inside_a_line_and_over_short_lines_go(spark):
+    shapes = [[20] * 3, [14] * 4, [10] * 6]
+    assert planted(spark, 22, shapes, " ", " ") == 1.0
+    assert planted(spark, 23, shapes, "\n", "\n") == 1.0
+
+
+def test_short_sentences_go_with_their_passage(spark):
+    shapes = [[3, 20, 2, 20, 7], [6] * 10, [1, 1, 50, 1], [7, 1, 7, 30, 2, 2]]
+    assert planted(spark, 24, shapes, " ", "\n") == planted(spark, 25, shapes, "\n", "\n") == planted(spark, 26, shapes, " ", " ") == 1.0
+
+
+def test_every_unit_stays_once(spark):
+    """Short lines over and over: chunks overlap their own first, but no line is lost altogether."""
+    rng = random.Random(27)
+    units = ["la la la.", "do.", "re mi fa sol la ti do re mi.", "so so."]
+    rows = [(i, "\n".join(rng.choices(units, k=rng.randint(1, 40)))) for i in range(30)]
+    got = lines.drop_repeated_chunks(spark.createDataFrame(rows, DOCS)).collect()
+    assert {u for _, t in rows for u in t.split("\n")} == {u for r in got for u in r["text"].split("\n") if u}
+    before = dict(rows)
+    assert all(len([u for u in r["text"].split("\n") if u]) == len(before[r["doc_id"]].split("\n")) - r["n_removed"] for r in got)
+
+
 # --- queries and pipeline --------------------------------------------------------------------
 
 
