@@ -100,7 +100,7 @@ def _places(least_words: int, long_line: int):
 
 
 def _texts(least_words: int, long_line: int):
-    """Bytes of the chunks at the places asked for."""
+    """Bytes of the chunks at the places asked for, and whether they are the first."""
 
     def run(batches):
         for batch in batches:
@@ -109,18 +109,20 @@ def _texts(least_words: int, long_line: int):
             for low, high in arrays.slices(bounds):
                 found = Chunks(raw, bounds[low : high + 1], long_line, least_words)
                 first = np.searchsorted(found.row, np.arange(high - low))
-                ids, marks, places, hashes, texts = [], [], [], [], []
+                ids, marks, places, hashes, firsts, texts = [], [], [], [], [], []
                 for r in range(high - low):
-                    for place in asked[low + r].as_py():
+                    for code in asked[low + r].as_py():
+                        place = code >> 1
                         c = first[r] + place
                         ids.append(batch.column("id")[low + r])
                         marks.append(batch.column("mark")[low + r])
                         places.append(place)
                         hashes.append(found.hash[c])
+                        firsts.append(not code & 1)
                         texts.append(found.data[found.start[c] : found.end[c]].tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x.as_py() for x in ids], pa.int64()), pa.array([x.as_py() for x in marks], pa.int64()), pa.array(places, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(texts, pa.binary())],
-                    names=["id", "mark", "place", "hash", "bytes"],
+                    [pa.array([x.as_py() for x in ids], pa.int64()), pa.array([x.as_py() for x in marks], pa.int64()), pa.array(places, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(firsts, pa.bool_()), pa.array(texts, pa.binary())],
+                    names=["id", "mark", "place", "hash", "first", "bytes"],
                 )
 
     return run
@@ -172,28 +174,27 @@ def drop_repeated_chunks(
     mark = F.xxhash64(text_col, F.octet_length(text_col))
     keyed = docs.select(F.col(id_col).cast("bigint").alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
     with scratch(spark) as tables:
-        places = tables.store(keyed.mapInArrow(_places(least_words, long_line), f"{_KEY}, place int, hash bigint"), "chunks")
-        here = F.struct("id", "mark", "place")
-        hashes = tables.store(places.groupBy("hash").count().where("count > 1").select("hash"), "hashes")
-        n_repeated = hashes.count()
-        again = tables.store(places.join(small(hashes, n_repeated), "hash"), "again")
-        repeated = tables.store(again.groupBy("hash").agg(F.min(here).alias("first")), "repeated")
-        later = again.join(small(repeated, n_repeated), "hash").where(~here.eqNullSafe(F.col("first"))).select("id", "mark", "place", "hash")
-        later = tables.store(later.distinct(), "later")
-        firsts = repeated.select("first.*", "hash")
-        asked = later.withColumn("drop", F.lit(True)).unionAll(firsts.withColumn("drop", F.lit(False)))
-        asked = asked.groupBy("id", "mark").agg(
-            F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("drop"), F.col("place"))).alias("drops")
-        )
-        asked = tables.store(asked, "asked")
+        with scratch(spark) as early:
+            places = early.store(keyed.mapInArrow(_places(least_words, long_line), f"{_KEY}, place int, hash bigint"), "chunks")
+            here = F.struct("id", "mark", "place")
+            hashes = early.store(places.groupBy("hash").count().where("count > 1").select("hash"), "hashes")
+            n_repeated = hashes.count()
+            again = early.store(places.join(small(hashes, n_repeated), "hash"), "again")
+            repeated = early.store(again.groupBy("hash").agg(F.min(here).alias("first")), "repeated")
+            # A place asked for is twice its number, and one more if it is to be dropped.
+            asked = again.join(small(repeated, n_repeated), "hash").select(
+                "id", "mark", (F.col("place").cast("bigint") * 2 + F.when(here.eqNullSafe(F.col("first")), 0).otherwise(1)).alias("code")
+            )
+            # Dealt by text first: the sets are then made in one step, from narrow rows.
+            asked = asked.repartition("id", "mark").groupBy("id", "mark").agg(F.collect_set("code").alias("places"))
+            asked = tables.store(asked.withColumn("drops", F.expr("transform(filter(places, c -> c % 2 = 1), c -> cast(c div 2 as int))")), "asked")
         wanted = keyed.join(asked, (keyed["id"].eqNullSafe(asked["id"])) & (keyed["mark"] == asked["mark"]))
-        texts = wanted.select(keyed["id"], keyed["mark"], "text", "places").mapInArrow(_texts(least_words, long_line), f"{_KEY}, place int, hash bigint, bytes binary")
-        texts = tables.store(texts.distinct(), "chunk_texts")
-        first_texts = texts.join(small(firsts.select("hash", F.col("id").alias("f_id"), F.col("mark").alias("f_mark"), F.col("place").alias("f_place")), n_repeated), "hash").where(
-            F.col("id").eqNullSafe(F.col("f_id")) & (F.col("mark") == F.col("f_mark")) & (F.col("place") == F.col("f_place"))
-        ).select("hash", F.col("bytes").alias("f_bytes"))
-        first_texts = tables.store(first_texts, "first_texts")
-        differing = texts.join(first_texts, "hash").where("bytes <> f_bytes").select("id", "mark", "place")
+        texts = wanted.select(keyed["id"], keyed["mark"], "text", "places").mapInArrow(_texts(least_words, long_line), f"{_KEY}, place int, hash bigint, first boolean, bytes binary")
+        texts = tables.store(texts, "chunk_texts")
+        # Equal rows give a first chunk several times.
+        first_texts = texts.where("first").groupBy("hash").agg(F.min("bytes").alias("f_bytes"))
+        first_texts = small(tables.store(first_texts, "first_texts"), n_repeated)
+        differing = texts.where("not first").join(first_texts, "hash").where("bytes <> f_bytes").select("id", "mark", "place").distinct()
         differing = tables.store(differing, "differing")
         drops = asked.where("size(drops) > 0").select("id", "mark", "drops")
         if not differing.isEmpty():
