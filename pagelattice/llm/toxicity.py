@@ -3,7 +3,8 @@
 The score is a logistic function of the words and word beginnings present in the whole text: inflected
 and compound forms share their beginning. Training minimises the log
 loss of labelled texts, a quadratic penalty on the weights, and ``COUNTERFACTUAL`` times the mean
-squared change of the score's argument when identity terms are swapped for others: a text that
+squared change of the score's argument when identity terms are swapped for others, with all their
+beginnings: a text that
 mentions a group must score like the same text about another group, so mentions by themselves
 stop counting.
 
@@ -104,37 +105,79 @@ def _features(vocabulary: np.ndarray):
 
 
 def _rows(vocabulary: np.ndarray):
-    find = _features(vocabulary)
+    find, swap = _features(vocabulary), _swap_rows(IDENTITY_TERMS, vocabulary)
 
     def run(batches):
         for batch in batches:
+            swaps = swap([batch])
             for low, high, row, hashes in _present(batch):
                 r, f = find(row, hashes)
                 cuts = np.searchsorted(r, np.arange(high - low + 1))
                 lists = [f[cuts[i] : cuts[i + 1]].astype(np.int32).tobytes() for i in range(high - low)]
-                yield pa.RecordBatch.from_arrays([batch.column("toxic")[low:high], pa.array(lists, pa.binary())], names=["toxic", "features"])
+                _, _, other, named = next(swaps)
+                swapped = [o.tobytes() if m else None for o, m in zip(other, named)]
+                yield pa.RecordBatch.from_arrays([batch.column("toxic")[low:high], pa.array(lists, pa.binary()), pa.array(swapped, pa.binary())], names=["toxic", "features", "swapped"])
+
+    return run
+
+
+def _forms(terms: list[str]) -> list[np.ndarray]:
+    """Per term the hashes of all features a word of it has: itself and its beginnings."""
+    forms = [np.zeros(0, np.uint64)] * len(terms)
+    for _, _, row, hashes in _present(pa.RecordBatch.from_arrays([pa.array(terms, pa.string())], names=["text"])):
+        forms = [hashes[row == i] for i in range(len(terms))]
+    return forms
+
+
+def _swap_rows(terms: list[list[str]], vocabulary: np.ndarray):
+    """Per batch of texts that hold identity terms: features before and after the swap."""
+    find, words = _features(vocabulary), [w for g in terms for w in g]
+    own = np.concatenate([_term_hashes([w]) for w in words])
+    order = np.argsort(own)
+    forms = _forms(words)
+    partner = np.concatenate([np.roll(np.arange(len(g)), -1) + sum(len(h) for h in terms[:k]) for k, g in enumerate(terms)])
+    size = np.array([len(f) for f in forms])
+    offset, flat_forms = np.concatenate(([0], np.cumsum(size)))[:-1], np.concatenate(forms)
+
+    def run(batches):
+        for batch in batches:
+            raw, bounds = arrays.flat(batch.column("text"))
+            for low, high in arrays.slices(bounds):
+                runs = arrays.Runs(raw, bounds[low : high + 1], arrays.ALNUM)
+                hashes = runs.hashes()
+                at = order[np.minimum(np.searchsorted(own, hashes, sorter=order), len(own) - 1)]
+                term = own[at] == hashes
+                rows, found = [runs.row[~term]], [hashes[~term]]
+                for length in BEGINNINGS:
+                    longer = np.flatnonzero(~term & (runs.end - runs.start > length))
+                    rows.append(runs.row[longer])
+                    found.append(arrays.mix(arrays.span_hashes(runs.data, runs.start[longer], runs.start[longer] + length)))
+                new = partner[at[term]]
+                index = np.repeat(offset[new] - np.concatenate(([0], np.cumsum(size[new])))[:-1], size[new]) + np.arange(size[new].sum())
+                rows.append(np.repeat(runs.row[term], size[new]))
+                found.append(flat_forms[index])
+                r, f = find(np.concatenate(rows), np.concatenate(found))
+                cuts = np.searchsorted(r, np.arange(high - low + 1))
+                yield low, high, [f[cuts[i] : cuts[i + 1]].astype(np.int32) for i in range(high - low)], np.bincount(runs.row[term], minlength=high - low) > 0
 
     return run
 
 
-def swap_differences(rows: list[np.ndarray], groups: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def swap_differences(rows: list[np.ndarray], swapped: list[np.ndarray | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Sparse (pair, feature, +-1) of each row minus the row with its identity terms swapped."""
-    partner = {int(f): int(g[(i + 1) % len(g)]) for g in groups for i, f in enumerate(g) if len(g) > 1}
     pair, feature, sign, pairs = [], [], [], 0
-    for row in rows:
-        own = {int(f) for f in row if int(f) in partner}
-        if not own:
+    for row, other in zip(rows, swapped):
+        if other is None:
             continue
-        new = {partner[f] for f in own}
-        for f in own - new:
-            pair.append(pairs), feature.append(f), sign.append(1.0)
-        for f in new - own:
-            pair.append(pairs), feature.append(f), sign.append(-1.0)
+        lost, new = np.setdiff1d(row, other), np.setdiff1d(other, row)
+        pair += [pairs] * (len(lost) + len(new))
+        feature += [*lost, *new]
+        sign += [1.0] * len(lost) + [-1.0] * len(new)
         pairs += 1
     return np.array(pair, np.int64), np.array(feature, np.int64), np.array(sign), pairs
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, size: int, groups: list[np.ndarray], penalty: float = COUNTERFACTUAL, ridge: float = RIDGE, steps: int = STEPS):
+def fit(rows: list[np.ndarray], toxic: np.ndarray, size: int, swapped: list[np.ndarray | None], penalty: float = COUNTERFACTUAL, ridge: float = RIDGE, steps: int = STEPS):
     """Weights and bias by Adam over the whole bounded sample."""
     n = len(rows)
     ridge = ridge / max(n, 1)
@@ -144,7 +187,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, size: int, groups: list[np.nd
         return weights, np.log((share + 1e-6) / (1 - share + 1e-6))
     lengths = np.array([len(r) for r in rows])
     row, feature = np.repeat(np.arange(n), lengths), np.concatenate(rows).astype(np.int64)
-    pair, term, sign, pairs = swap_differences(rows, groups)
+    pair, term, sign, pairs = swap_differences(rows, swapped)
     bias, moment, square = np.log(share / (1 - share)), np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
         score = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights[feature], n) + bias, -40, 40)))
@@ -184,10 +227,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             best = uneven.orderBy(F.desc("z"), "word").limit(WORDS).select("word").collect()
             chosen = np.array([r[0] for r in best], dtype=np.int64).view(np.uint64)
         vocabulary = np.unique(np.concatenate([chosen, *terms]))
-        rows = drawn.mapInArrow(_rows(vocabulary), "toxic int, features binary").collect()
-    groups = [np.searchsorted(vocabulary, g) for g in terms]
+        rows = drawn.mapInArrow(_rows(vocabulary), "toxic int, features binary, swapped binary").collect()
     features = [np.frombuffer(r[1], np.int32) for r in rows]
-    weights, bias = fit(features, np.array([r[0] for r in rows], dtype=float), len(vocabulary), groups, penalty)
+    swapped = [None if r[2] is None else np.frombuffer(r[2], np.int32) for r in rows]
+    weights, bias = fit(features, np.array([r[0] for r in rows], dtype=float), len(vocabulary), swapped, penalty)
     return vocabulary, weights, bias
 
 

@@ -243,6 +243,20 @@ def test_counterfactual_penalty_silences_mentions(spark):
     assert weight[0.0] > 0.5 and abs(weight[20.0]) < 0.25 * weight[0.0]
 
 
+def test_swapped_texts_score_alike(spark):
+    """Beginnings of identity terms are swapped with them: 'wome' cannot say what 'women' may not."""
+    labelled = made_labels(spark)
+    before = labelled.where(F.col("text").rlike(r"\bwomen\b")).select("doc_id", "text")
+    after = before.withColumn("text", F.regexp_replace("text", r"\bwomen\b", "men"))
+    change = {}
+    for penalty in (0.0, 20.0):
+        model = toxicity.train(labelled, labelled, penalty=penalty)
+        logit = F.log(F.col("score") / (1 - F.col("score")))
+        a, b = ({r[0]: r[1] for r in toxicity.score(t, model).select("doc_id", logit).collect()} for t in (before, after))
+        change[penalty] = np.mean([abs(a[k] - b[k]) for k in a])
+    assert len(a) > 100 and change[0.0] > 1 and change[20.0] < 0.1 * change[0.0], change
+
+
 def test_held_out_labels_do_not_matter(spark):
     labelled = made_labels(spark)
     turned = labelled.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
