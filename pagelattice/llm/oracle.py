@@ -92,9 +92,35 @@ SELECT p.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text
 FROM p LEFT JOIN x ON p.conv_id = x.conv_id GROUP BY p.conv_id
 """
 
+_AUDIT = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_INK}') AS w FROM documents),
+f AS (SELECT d.doc_id, part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad,
+  concat(CASE WHEN len(w) < 200 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END,
+    CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END,
+    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails
+  FROM d LEFT JOIN labels AS l ON d.doc_id = l.doc_id),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE bad) AS bad FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || e.x || g.x AS filter_order FROM l AS a, l AS b, l AS c, l AS e, l AS g
+  WHERE len(list_distinct([a.x, b.x, c.x, e.x, g.x])) = 5),
+r AS (SELECT part, fails, n, good, bad, filter_order,
+  coalesce(list_min(list_transform(string_split(nullif(fails, ''), ''), lambda q: instr(filter_order, q))), 6) AS leaves FROM m, o),
+v AS (SELECT part, substr(filter_order, leaves, 1) AS x, sum(n) AS shapley FROM r WHERE leaves < 6 GROUP BY ALL),
+c AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, CAST(step AS INTEGER), 1) AS x,
+    coalesce(sum(n) FILTER (WHERE leaves > step), 0) AS kept, coalesce(sum(n) FILTER (WHERE leaves = step), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE leaves < step AND contains(fails, substr(filter_order, CAST(step AS INTEGER), 1))), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE fails = substr(filter_order, CAST(step AS INTEGER), 1)), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE leaves = step), 0) AS good_lost, coalesce(sum(bad) FILTER (WHERE leaves = step), 0) AS toxic_lost
+  FROM r, (SELECT unnest(range(1, 6)) AS step) GROUP BY ALL)
+SELECT c.part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(coalesce(shapley, 0) AS BIGINT) AS shapley
+FROM c LEFT JOIN v ON c.part = v.part AND c.x = v.x
+"""
+
 ORACLE: dict[str, str] = {
     "op2_decontamination": _DECONTAMINATION,
     "op7_near_duplicates": _NEAR_DUPLICATES,
     "op8_url_rules": _URL_RULES,
     "op9_chat_windows": _CHAT,
+    "op13_filter_audit": _AUDIT,
 }

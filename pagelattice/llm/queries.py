@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagelattice.llm import chat, decontaminate, licenses, lines, neardup, packing, repetition, sharding, toxicity, url_rules
+from pagelattice.llm import chat, decontaminate, filter_audit, licenses, lines, neardup, packing, repetition, runs, sharding, toxicity, url_rules, weighted
 from pagelattice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,38 @@ def op9_chat_windows(spark, sf):
 @query
 def op10_line_chunks(spark, sf):
     return lines.drop_repeated_chunks(table(spark, sf, "documents"))
+
+
+@query
+def op11_fingerprints(spark, sf):
+    return weighted.edit_likeness(table(spark, sf, "documents"))
+
+
+@query
+def op12_periodic_runs(spark, sf):
+    found = runs.collapse_runs(with_periods(table(spark, sf, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    found = found.withColumn("longest", longest)
+    each = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    length, period = F.col("longest.length"), -F.col("longest.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("longest.start")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.array_join(each, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``, in which the words of every tenth document, by a hash of the id, repeat from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    docs = docs.withColumn("a", F.expr("if(size(words) > 0, g % size(words), null)"))
+    docs = docs.withColumn("p", F.expr("1 + (size(words) - a) div (3 + g % 8)"))
+    again = F.expr("array_join(transform(sequence(0, size(words) - 1), i -> words[cast(if(i < a, i, a + (i - a) % p) as int)]), ' ')")
+    return docs.select("doc_id", F.when(F.col("a").isNotNull(), again).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_filter_audit(spark, sf):
+    return filter_audit.filter_audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
