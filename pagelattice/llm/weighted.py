@@ -43,7 +43,7 @@ _DIGITS = 4
 
 def _hashes(text: Column, tag: int) -> Column:
     """A hash of each word, with ``tag`` as its lowest bit."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
+    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
     return F.transform(words, lambda w: F.shiftleft(F.xxhash64(w), 1).bitwiseOR(F.lit(tag).cast("bigint")))
 
 
@@ -65,17 +65,18 @@ def with_terms(df: DataFrame, texts: list[Column], name: str) -> DataFrame:
 
 
 def _uniform(hashed: Column, part: int) -> Column:
-    """A number within (0, 1) from some bits of a hash."""
-    bits = F.shiftrightunsigned(hashed, part * _PART_BITS).bitwiseAND((1 << _PART_BITS) - 1)
-    return (bits + 0.5) / float(1 << _PART_BITS)
+    """A number within (0, 2 ** 21) from 21 bits of a hash."""
+    return F.shiftrightunsigned(hashed, part * _PART_BITS).bitwiseAND((1 << _PART_BITS) - 1) + 0.5
 
 
 def _sample(number: Column, term: Column, log_weight: Column) -> Column:
     """ln a of a word for a sample; null for no word, which has no weight."""
     one, two = F.xxhash64(term, 2 * number), F.xxhash64(term, 2 * number + 1)
-    r = -F.log(_uniform(one, 0) * _uniform(one, 1))
-    c = -F.log(_uniform(two, 0) * _uniform(two, 1))
-    b = _uniform(one, 2)
+    # Products with powers of two, since a division has to look for zeros.
+    scale = 2.0**-_PART_BITS
+    r = -F.log(_uniform(one, 0) * _uniform(one, 1) * (scale * scale))
+    c = -F.log(_uniform(two, 0) * _uniform(two, 1) * (scale * scale))
+    b = _uniform(one, 2) * scale
     return F.log(c) - r * (F.floor(log_weight / r + b) - b + 1.0)
 
 
@@ -175,13 +176,15 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = with_next(docs, id_col, text_col)
     rows = rows.withColumn("edited", F.when(F.col("border"), F.lit("")).otherwise(edited(F.col("text"), F.col("next_text"))))
-    rows = rows.select("part", "nth", "id", "copies", "border", F.char_length("text").cast("bigint").alias("n_chars"), F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("sha"), "text", "edited")
+    rows = rows.select("part", "nth", "id", "copies", "border", F.char_length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), "text", "edited")
+    # The digest as numbers: keys of fixed width are cheap to group by.
+    rows = rows.withColumns({f"sha_{i}": F.conv(F.substring("sha", 16 * i + 1, 16), 16, -10).cast("bigint") for i in range(4)})
     rows = with_terms(rows, [F.col("text"), F.col("edited")], "terms")
-    about = ["part", "nth", "id", "copies", "border", "n_chars", "sha"]
+    about = ["part", "nth", "id", "copies", "border", "n_chars", *[f"sha_{i}" for i in range(4)]]
     one = signatures(rows, about, "terms", ["fingerprint", "edited_fingerprint"], samples)
     beside = one.withColumn("next_fingerprint", F.lead("fingerprint").over(Window.partitionBy("part").orderBy("nth"))).where(~F.col("border"))
     return beside.select(
-        F.col("id").alias(id_col), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        F.col("id").alias(id_col), "n_chars", F.lower(F.concat(*[F.lpad(F.hex(f"sha_{i}"), 16, "0") for i in range(4)])).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint"), samples).alias("near_next"),
         F.explode_outer(F.expr("sequence(1L, copies)")).alias("_copy"),
