@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import struct
 from collections import Counter, defaultdict
 
@@ -560,12 +561,76 @@ def test_shifted_chunks_are_found(spark):
     assert len(got[2]["text"]) < 0.2 * len(rows[1][1]) and len(got[3]["text"]) < 0.25 * len(rows[2][1])
 
 
-def chunks_of(text):
-    import pyarrow as pa
-
-    raw, bounds = arrays.flat(pa.array([text], pa.string()))
-    found = lines.Chunks(raw, bounds, lines.LONG_LINE)
-    return [(int(p), found.data[s:e].tobytes(), int(w), int(a), int(b)) for p, s, e, w, a, b in zip(found.place, found.start, found.end, found.words, found.cut_from, found.cut_to)]
+M64 = (1 << 64) - 1
+
+
+def mixed(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def hashed(data):
+    power, total = 1, 0
+    for byte in data:
+        total = (total + (byte + 1) * power) & M64
+        power = power * 0x9E3779B97F4A7C15 & M64
+    return mixed((total + len(data) * 0xD6E8FEB86659FD93) & M64)
+
+
+def chunks_of(text, least=8, long_line=30, joins=16):
+    """(place, bytes, words, from, to) of every chunk of enough words, by plain loops."""
+    raw = (text or "").encode()
+    units, at = [], 0  # begin, first word, end of last word, words, line, row of words in the line
+    for number, line in enumerate(raw.split(b"\n")):
+        in_line = len(re.findall(rb"[^\x20\x09-\x0D]+", line))
+        for piece in re.split(rb"(?<=[.!?]\x20)", line):
+            spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", piece)]
+            if spans:
+                units.append((at, at + spans[0][0], at + spans[-1][1], len(spans), number, in_line >= long_line))
+            at += len(piece)
+        at += 1
+    section = [0] * len(units)
+    for i in range(1, len(units)):
+        long_edge = units[i][5] != units[i - 1][5] or (units[i][5] and units[i][4] != units[i - 1][4])
+        section[i] = section[i - 1] + long_edge
+    own = [hashed(raw[u[1] : u[2]]) for u in units]
+    full = [u[3] >= least for u in units]
+    rolling = []
+    for i in range(len(units)):
+        before = own[i - 1] if i and section[i - 1] == section[i] else 0
+        rolling.append(mixed(own[i] if full[i] else (own[i] + before * 0xFF51AFD7ED558CCD) & M64))
+    ends = []
+    for i in range(len(units)):
+        last = i + 1 == len(units) or section[i + 1] != section[i]
+        if last or full[i]:
+            ends.append(last or rolling[i] % joins != 0)
+            continue
+        if full[i + 1]:
+            ends.append(True)
+            continue
+        low, high = i, i
+        while low and section[low - 1] == section[i] and not full[low - 1]:
+            low -= 1
+        while high + 1 < len(units) and section[high + 1] == section[i] and not full[high + 1]:
+            high += 1
+        words = lambda x, y: sum(u[3] for u in units[x:y])
+        fits = words(low, i + 1) >= least and words(i + 1, high + 1) >= least
+        for j in range(low, high + 1):
+            if j < i and words(j + 1, i + 1) < least:
+                fits &= rolling[i] < rolling[j]
+            elif j > i and words(i + 1, j + 1) < least:
+                fits &= rolling[i] <= rolling[j]
+        ends.append(fits)
+    out, head = [], 0
+    for i, end in enumerate(ends):
+        if end:
+            count = sum(u[3] for u in units[head : i + 1])
+            if count >= least:
+                to = units[i + 1][0] if i + 1 < len(units) else len(raw)
+                out.append((len(out), raw[units[head][1] : units[i][2]], count, units[head][0], to))
+            head = i + 1
+    return out
 
 
 def test_line_chunks_against_brute_force(spark):
@@ -594,15 +659,28 @@ def test_line_chunks_odd_rows(spark):
     assert lines.drop_repeated_chunks(empty_docs(spark)).count() == 0
 
 
-def test_chunks_with_one_hash_and_different_bytes_stay(spark, monkeypatch):
-    rng = random.Random(13)
-    rows = [(i, sentence(rng, 40)) for i in range(4)]
-    same = spark.createDataFrame(rows, DOCS)
-    assert {r["doc_id"]: r["text"] for r in lines.drop_repeated_chunks(same).collect()} == dict(rows)
+def test_chunks_with_one_hash_and_different_bytes_stay(spark):
+    """Thue-Morse words of 2,048 letters and their complements meet in any polynomial hash modulo 2 ** 64."""
+    thue_morse = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    other = thue_morse.translate(str.maketrans("ab", "ba"))
+    line = "one two three {} four five six seven eight."
+    assert hashed(line.format(thue_morse).encode()) == hashed(line.format(other).encode())
+    rows = [(1, line.format(thue_morse)), (2, line.format(other)), (3, line.format(other)), (4, line.format(thue_morse))]
+    got = {r["doc_id"]: r["text"] for r in lines.drop_repeated_chunks(spark.createDataFrame(rows, DOCS)).collect()}
+    # Compared with the first: the equal one goes, the others stay.
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: rows[2][1], 4: ""}
+
+
+def test_ids_of_any_type(spark):
+    rng = random.Random(28)
+    same = sentence(rng, 40)
+    rows = [("b", same), ("a", same), (None, "x y"), ("c", sentence(rng, 40))]
+    got = {r["doc_id"]: r["text"] for r in lines.drop_repeated_chunks(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": same, "b": "", None: "x y", "c": rows[3][1]}
 
 
 def planted(spark, seed, shapes, join, around, trials=60):
-    """Share of passages, each in two unrelated documents, that are whole in the first and gone from the second."""
+    """Share of the words of passages, each in two unrelated documents, that are gone from the second; the least share of one."""
     rng, rows, passages = random.Random(seed), [], []
     line = lambda: " ".join(sentence(rng, rng.randint(4, 14)) for _ in range(rng.randint(1, 4)))
     for i in range(trials):
@@ -613,28 +691,44 @@ def planted(spark, seed, shapes, join, around, trials=60):
             rows.append((i + half * trials, before + around + join.join(parts) + around + after))
     got = {r["doc_id"]: r["text"] for r in lines.drop_repeated_chunks(spark.createDataFrame(rows, DOCS)).collect()}
     assert all(got[i] == rows[2 * i][1] for i in range(trials))
-    unrelated = [rows[2 * i + 1][1].replace(join.join(p), "") for i, p in enumerate(passages)]
-    strip = lambda t: t.replace("\n", "").replace(" ", "")
-    return np.mean([strip(got[i + trials]) == strip(unrelated[i]) for i in range(trials)])
+    gone = []
+    for i, parts in enumerate(passages):
+        left = Counter(got[i + trials].split())
+        words = join.join(parts).split()
+        gone.append(sum(left[w] == 0 for w in words) / len(words))
+        # Nothing else goes.
+        assert all(left[w] for w in set(rows[2 * i + 1][1].split()) - set(words))
+    return np.mean(gone), min(gone)
 
 
 def test_long_lines_go_wherever_they_stand(spark):
-    assert planted(spark, 21, [[20] * 3, [14] * 4, [10] * 6], " ", "\n") == 1.0
+    assert planted(spark, 21, [[20] * 3, [14] * 4, [10] * 6, [7, 1, 7, 30, 9]], " ", "\n")[0] > 0.99
 
 
 def test_passages_inside_a_line_and_over_short_lines_go(spark):
     shapes = [[20] * 3, [14] * 4, [10] * 6]
-    assert planted(spark, 22, shapes, " ", " ") == 1.0
-    assert planted(spark, 23, shapes, "\n", "\n") == 1.0
+    for seed, join, around in ((22, " ", " "), (23, "\n", "\n")):
+        share, least = planted(spark, seed, shapes, join, around)
+        assert share >= 0.9 and least > 0
 
 
-def test_short_sentences_go_with_their_passage(spark):
+def test_passages_of_short_sentences_mostly_go(spark):
     shapes = [[3, 20, 2, 20, 7], [6] * 10, [1, 1, 50, 1], [7, 1, 7, 30, 2, 2]]
-    assert planted(spark, 24, shapes, " ", "\n") == planted(spark, 25, shapes, "\n", "\n") == planted(spark, 26, shapes, " ", " ") == 1.0
+    for seed, join, around in ((24, " ", "\n"), (25, "\n", "\n"), (26, " ", " ")):
+        assert planted(spark, seed, shapes, join, around)[0] >= 0.65
+
+
+def test_borders_move_with_the_text(spark):
+    """What stands before a passage changes its first chunk at most."""
+    rng = random.Random(29)
+    passage = "\n".join(sentence(rng, rng.randint(2, 12)) for _ in range(40))
+    own = [c for _, c, *_ in chunks_of(passage)]
+    for _ in range(20):
+        moved = [c for _, c, *_ in chunks_of(sentence(rng, rng.randint(1, 9)) + "\n" + passage)]
+        assert set(own[2:]) <= set(moved)
 
 
-def test_every_unit_stays_once(spark):
-    """Short lines over and over: chunks overlap their own first, but no line is lost altogether."""
+def test_texts_of_short_lines_lose_only_repeats(spark):
     rng = random.Random(27)
     units = ["la la la.", "do.", "re mi fa sol la ti do re mi.", "so so."]
     rows = [(i, "\n".join(rng.choices(units, k=rng.randint(1, 40)))) for i in range(30)]
@@ -642,6 +736,7 @@ def test_every_unit_stays_once(spark):
     assert {u for _, t in rows for u in t.split("\n")} == {u for r in got for u in r["text"].split("\n") if u}
     before = dict(rows)
     assert all(len([u for u in r["text"].split("\n") if u]) == len(before[r["doc_id"]].split("\n")) - r["n_removed"] for r in got)
+    assert sum(r["n_removed"] for r in got) > 20
 
 
 # --- queries and pipeline --------------------------------------------------------------------
