@@ -1,6 +1,6 @@
 """Whole batches of texts as arrays: words, lines and their hashes, without a Python loop per word.
 
-Used inside Arrow tasks. A batch is cut into slices of a few megabytes, always of whole texts, so
+Used inside Arrow tasks. A batch is cut into slices of half a megabyte, always of whole texts, so
 memory follows the slice and the longest text. A null text counts as empty.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers = np.ones(1, dtype=np.uint64)

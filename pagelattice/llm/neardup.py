@@ -10,9 +10,11 @@
    miss probability goes. Survivors are confirmed on their full shingle sets; links are joined into
    components.
 4. Buckets that still hold several components are searched for links between these, so that a hub
-   hides none: members are packed into blocks of bounded size, signatures of two blocks are compared
-   as arrays, in the task, and only pairs that pass the bounds leave it, each from the first
-   band it shares. Their confirmed links complete the components.
+   hides none, each pair in the first band it shares. Small buckets (``SMALL``) give their plausible pairs, at most
+   ``SMALL`` for a member, to the same confirmation. Large ones are cut into blocks of bounded bytes, members
+   with their full sets; a task meets two blocks, confirms on the sets what the bounds leave, and
+   gives out only links that join components it has not joined yet, fewer than it has members. So rows
+   stay in proportion to members even where thousands of texts lie just under the threshold.
 5. Each text gets the smallest id of its component.
 
 Banding misses a pair exactly at 0.85 with probability 4e-7 (25 bands of 5), at 0.80 with 5e-8
@@ -20,7 +22,10 @@ Banding misses a pair exactly at 0.85 with probability 4e-7 (25 bands of 5), at
 
 Null, empty and word-less texts have no shingles and no link; their component is their own id. A text
 of fewer words than a shingle is one shingle. Repeated rows fall into one class. A row without id
-is linked only through an equal text that has one. An empty table gives an empty result.
+is linked only through an equal text that has one. Ids may be of any type that can be compared; rows of
+one id with different texts are different texts. Ties between hubs and between ids of one component go to the
+smallest. Extra columns are not read. An empty table gives an empty result. A task holds a slice of texts or
+two blocks, or the longest text.
 """
 
 from __future__ import annotations
@@ -34,12 +39,18 @@ from pyspark.sql import DataFrame, functions as F
 from pagelattice.llm import arrays
 from pagelattice.llm.common import Scratch, scratch, ship, small
 from pagelattice.llm.components import components
+from pagelattice.session import cut_lineage
 
 HASHES = 384
 BATCH = 32
 MISS = 1e-5
-#: Members of a bucket that are compared as one array.
-BLOCK = 512
+#: Members of a bucket that give their pairs to the common confirmation.
+SMALL = 16
+#: Members, and bytes of their sets, that a block of a larger bucket has about.
+BLOCK = 2048
+BLOCK_BYTES = 1 << 23
+#: Rows of small buckets that a task looks at together.
+GROUP = 4096
 _SEEDS = np.random.default_rng(20).integers(1, 1 << 32, size=(2, HASHES), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
@@ -103,7 +114,7 @@ def _keys(values: np.ndarray, starts: np.ndarray) -> list[bytes]:
 
 
 def _scan(size: int, bands: int, rows: int):
-    """Arrow task: (``id``, ``text``) to set size, set digest, band keys and signature."""
+    """Arrow task: (``id``, ``mark``, ``text``) to set size, set digest, band keys and signature."""
 
     def run(batches):
         for batch in batches:
@@ -120,8 +131,8 @@ def _scan(size: int, bands: int, rows: int):
                     columns[1][full] = [x.tobytes() for x in keys]
                     columns[2][full] = [x.tobytes() for x in signature]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id")[low:high], pa.array(counts), *[pa.array(c, pa.binary()) for c in columns]],
-                    names=["id", "n", "key", "bands", "sig"],
+                    [batch.column("id")[low:high], batch.column("mark")[low:high], pa.array(counts), *[pa.array(c, pa.binary()) for c in columns]],
+                    names=["id", "mark", "n", "key", "bands", "sig"],
                 )
 
     return run
@@ -171,35 +182,75 @@ def _plausible(percent: int, miss: float):
     return run
 
 
-def _between(percent: int, miss: float):
-    """Arrow task: of two blocks of a bucket, the plausible pairs of different components."""
+class _Members:
+    """Rows of buckets as arrays."""
+
+    def __init__(self, rows: pa.Table):
+        self.node, self.component, self.size = (rows.column(c).to_numpy() for c in ("node", "component", "n"))
+        self.sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+        self.bands = np.frombuffer(b"".join(rows.column("bands").to_pylist()), np.uint64).reshape(len(self.node), -1)
+
+    def plausible(self, at: int, others: np.ndarray, band: int, percent: int, least: list[int]) -> np.ndarray:
+        """Those of ``others`` that may be linked to row ``at`` and share no band before ``band`` with it."""
+        fits = 100 * np.minimum(self.size[others], self.size[at]) >= percent * np.maximum(self.size[others], self.size[at])
+        others = others[fits]
+        others = _alive(self.sig, self.sig, np.full(len(others), at), others, least)[1]
+        return others[(self.bands[others] == self.bands[at]).argmax(axis=1) == band] if len(others) else others
+
+
+def _pairs(u: list, v: list) -> pa.Table:
+    u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
+    return pa.table({"u": np.maximum(u, v), "v": np.minimum(u, v)})
+
+
+def _among(percent: int, miss: float):
+    """Arrow group: members of whole small buckets to the plausible pairs of different components."""
     least = least_matches(percent / 100, miss)
 
-    def block(batch, row, side):
-        read = lambda name, kind: np.frombuffer(b"".join(batch.column(f"{name}_{side}")[row].as_py()), kind)
-        node, component, sizes = (np.array(batch.column(f"{name}_{side}")[row].as_py(), np.int64) for name in ("nodes", "components", "sizes"))
-        return node, component, read("sigs", np.uint8).reshape(len(node), HASHES), read("bands", np.uint64).reshape(len(node), -1), sizes
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("bucket")
+        members, bucket, band = _Members(rows), rows.column("bucket").to_numpy(), rows.column("band").to_numpy()
+        ends = np.searchsorted(bucket, bucket, side="right")
+        us, vs = [], []
+        for at in range(len(bucket)):
+            others = np.arange(at + 1, ends[at])
+            others = others[members.component[others] != members.component[at]]
+            if len(others):
+                others = members.plausible(at, others, int(band[at]), percent, least)
+                us.append(np.full(len(others), members.node[at]))
+                vs.append(members.node[others])
+        return _pairs(us, vs)
+
+    return run
 
-    def run(batches):
-        for batch in batches:
-            us, vs = [], []
-            for row in range(batch.num_rows):
-                node_a, comp_a, sig_a, bands_a, n_a = block(batch, row, "a")
-                node_b, comp_b, sig_b, bands_b, n_b = block(batch, row, "b")
-                band, same = batch.column("band")[row].as_py(), batch.column("same")[row].as_py()
-                for at in range(len(node_a)):
-                    fits = (comp_b != comp_a[at]) & (100 * np.minimum(n_b, n_a[at]) >= percent * np.maximum(n_b, n_a[at]))
-                    if same:
-                        fits[: at + 1] = False
-                    j = np.flatnonzero(fits)
-                    i = np.full(len(j), at)
-                    i, j = _alive(sig_a, sig_b, i, j, least)
-                    if len(j):
-                        j = j[(bands_b[j] == bands_a[at]).argmax(axis=1) == band]
-                        us.append(np.full(len(j), node_a[at]))
-                        vs.append(node_b[j])
-            u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+def _between(percent: int, miss: float):
+    """Arrow group: two blocks of a large bucket to links that join their components, confirmed on full sets."""
+    least = least_matches(percent / 100, miss)
+
+    def run(rows: pa.Table) -> pa.Table:
+        members, band = _Members(rows), rows.column("band")[0].as_py() if rows.num_rows else 0
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("set")]
+        block, same = rows.column("block").to_numpy(), rows.column("block_a")[0].as_py() == rows.column("block_b")[0].as_py()
+        joined, us, vs = members.component.copy(), [], []
+        for at in range(len(block)):
+            later = np.arange(at + 1, len(block))
+            others = later[(joined[later] != joined[at]) & (same | (block[later] != block[at]))]
+            if not len(others):
+                continue
+            others = members.plausible(at, others, band, percent, least)
+            if not len(others):
+                continue
+            held = np.concatenate([sets[j] for j in others])
+            found = sets[at][np.minimum(np.searchsorted(sets[at], held), len(sets[at]) - 1)] == held
+            starts = np.cumsum([0] + [len(sets[j]) for j in others[:-1]])
+            shared = np.add.reduceat(found, starts)
+            for j in others[100 * shared >= percent * (members.size[others] + members.size[at] - shared)]:
+                if joined[j] != joined[at]:
+                    us.append(members.node[[at]])
+                    vs.append(members.node[[j]])
+                    joined[joined == joined[j]] = joined[at]
+        return _pairs(us, vs)
 
     return run
 
@@ -220,34 +271,65 @@ def _confirmed(percent: int):
     return run
 
 
+def _sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, size: int, tables: Scratch) -> DataFrame:
+    """The stored full set of every class in ``nodes``: (``node``, ``set``)."""
+    wanted = tables.store(nodes.distinct().join(classes.select("node", "key", "rep"), "node"), "wanted")
+    texts = docs.select("id", "text").join(small(wanted.select(F.col("rep").alias("id")).distinct(), wanted.count()), "id", "left_semi")
+    kind = docs.schema["id"].dataType.simpleString()
+    sets = texts.mapInArrow(_sets(size), f"id {kind}, key binary, set binary")
+    sets = sets.join(wanted.withColumnRenamed("rep", "id"), ["id", "key"]).dropDuplicates(["node"]).select("node", "set")
+    return tables.store(sets, "sets")
+
+
 def _exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, tables: Scratch) -> DataFrame:
     """The stored pairs (``u``, ``v``) of classes that are links by their full sets."""
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    wanted = tables.store(nodes.join(classes.select("node", "key", "rep"), "node"), "wanted")
-    texts = docs.join(small(wanted.select(F.col("rep").alias("id")).distinct(), wanted.count()), "id", "left_semi")
-    sets = texts.mapInArrow(_sets(size), "id bigint, key binary, set binary")
-    sets = sets.join(wanted.withColumnRenamed("rep", "id"), ["id", "key"]).dropDuplicates(["node"]).select("node", "set")
-    sets = tables.store(sets, "sets")
+    sets = _sets_of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")), classes, docs, size, tables)
     side = lambda s: sets.select(F.col("node").alias(s), F.col("set").alias(f"set_{s}"))
     held = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "set_u", "set_v")
     return tables.store(held.mapInArrow(_confirmed(percent), "u bigint, v bigint"), "links")
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, miss: float = MISS
-) -> DataFrame:
-    """One row per row of ``docs``: id, ``n_shingles``, ``component_id``, ``kept``.
+def _split_buckets(met: DataFrame, whole: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, miss: float, tables: Scratch) -> DataFrame:
+    """Links between the components that buckets still hold: (``u``, ``v``)."""
+    named = met.join(whole.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left").select(
+        "bucket", "band", "size", "node", F.coalesce("component", "node").alias("component")
+    )
+    named = tables.store(named, "named_members")
+    split = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    # Stored, so that the join below may deal the members of one bucket over tasks.
+    open_ = tables.store(named.join(tables.store(split.select("bucket"), "split"), "bucket", "left_semi"), "open")
+    about = classes.select("node", "n", "bands", "sig")
+    few = open_.where(F.col("size") <= SMALL)
+    groups = 1 + few.count() // GROUP
+    few = few.join(about, "node").withColumn("dealt", F.pmod(F.xxhash64("bucket"), F.lit(groups)))
+    found = few.groupBy("dealt").applyInArrow(_among(percent, miss), "u bigint, v bigint")
+    links = _exact(tables.store(found.distinct(), "between"), classes, docs, size, percent, tables)
+    many = open_.where(F.col("size") > SMALL)
+    if many.isEmpty():
+        return links
+    bytes_ = many.join(classes.select("node", "n"), "node").groupBy("bucket").agg(F.sum(8 * F.col("n")).alias("bytes"), F.count("*").alias("members"))
+    blocks = bytes_.select("bucket", F.ceil(F.greatest(F.col("bytes") / BLOCK_BYTES, F.col("members") / BLOCK)).cast("int").alias("blocks"))
+    sets = _sets_of(many.select("node"), classes, docs, size, tables)
+    placed = many.join(tables.store(blocks, "blocks"), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        "bucket", "band", "node", "component", "block", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b")
+    )
+    held = placed.join(about, "node").join(sets, "node")
+    joined = held.groupBy("bucket", "block_a", "block_b").applyInArrow(_between(percent, miss), "u bigint, v bigint")
+    return links.unionByName(tables.store(joined, "joined"))
 
-    Texts are linked when 100 * shared shingles >= ``percent`` * all their shingles.
-    """
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, miss: float) -> DataFrame:
+    """Per row ``id``, ``mark`` of the text, ``n`` shingles, ``component`` (null without), least ``low`` (id, mark) of it."""
     spark = docs.sparkSession
     ship(spark)
     bands, rows = bands_of(percent)
-    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col, F.octet_length(text_col)).alias("mark"), F.col(text_col).alias("text"))
+    kind = docs.schema["id"].dataType.simpleString()
     with scratch(spark) as tables:
-        scanned = docs.mapInArrow(_scan(shingle, bands, rows), "id bigint, n bigint, key binary, bands binary, sig binary")
+        scanned = docs.mapInArrow(_scan(shingle, bands, rows), f"id {kind}, mark bigint, n bigint, key binary, bands binary, sig binary")
         scanned = tables.store(scanned, "signatures")
-        members = tables.store(scanned.select("id", "n", "key"), "members", keep=True)
+        members = scanned.select("id", "mark", "n", "key")
         classes = scanned.where("key is not null").groupBy("key").agg(
             F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")
         )
@@ -259,65 +341,60 @@ def near_duplicates(
         met = tables.store(banded.join(sizes, "bucket"), "met")
         scores = met.groupBy("node").agg(F.sum("size").alias("score"))
         met = tables.store(met.join(scores, "node"), "scored")
-        hubs = tables.store(met.groupBy("bucket").agg(F.max_by("node", "score").alias("hub")), "hubs")
+        hubs = tables.store(met.groupBy("bucket").agg(F.max_by("node", F.struct("score", -F.col("node"))).alias("hub")), "hubs")
         pairs = met.join(hubs, "bucket").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
         side = lambda s: classes.select(F.col("node").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("n").alias(f"n_{s}"))
         held = pairs.join(side("u"), "u").join(side("v"), "v").where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
         held = held.select("u", "v", "sig_u", "sig_v").mapInArrow(_plausible(percent, miss), "u bigint, v bigint")
         links = _exact(tables.store(held, "plausible"), classes, docs, shingle, percent, tables)
-        whole = components(links, tables)
-        # Buckets of several components.
-        named = met.join(whole.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left").select(
-            "bucket", "band", "size", "node", F.coalesce("component", "node").alias("component")
-        )
-        named = tables.store(named, "named_members")
-        split = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        open_ = named.join(tables.store(split.select("bucket"), "split"), "bucket", "left_semi")
-        open_ = open_.join(classes.select("node", "n", "bands", "sig"), "node").withColumn("block", F.expr(f"pmod(xxhash64(node), cast(ceil(size / {BLOCK}) as int))"))
-        blocks = open_.groupBy("bucket", "band", "block").agg(
-            F.array_sort(F.collect_list(F.struct("node", "component", "sig", "bands", "n"))).alias("all")
-        )
-        blocks = tables.store(
-            blocks.select("bucket", "band", "block", *[F.col(f"all.{c}").alias(d) for c, d in zip(("node", "component", "sig", "bands", "n"), ("nodes", "components", "sigs", "bands", "sizes"))]),
-            "blocks",
-        )
-        half = lambda s: blocks.select("bucket", F.col("block").alias(f"block_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("nodes", "components", "sigs", "bands", "sizes")])
-        both = half("a").join(half("b").join(blocks.select("bucket", "band").distinct(), "bucket"), "bucket").where("block_a <= block_b")
-        both = both.withColumn("same", F.expr("block_a = block_b"))
-        found = tables.store(both.mapInArrow(_between(percent, miss), "u bigint, v bigint").distinct(), "between")
-        more = _exact(found, classes, docs, shingle, percent, tables)
+        whole = tables.store(components(links, tables), "components")
+        more = _split_buckets(met, whole, classes, docs, shingle, percent, miss, tables)
         # The new links tie whole components together.
-        whole = tables.store(whole, "components")
-        place = lambda s: small(whole.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}")), n_whole)
         n_whole = whole.count()
+        place = lambda s: small(whole.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}")), n_whole)
         tied = more.join(place("u"), "u", "left").join(place("v"), "v", "left").select(F.coalesce("c_u", "u").alias("u"), F.coalesce("c_v", "v").alias("v"))
         tied = tables.store(components(tied, tables), "tied")
         higher = small(tied.select(F.col("node").alias("t_node"), F.col("component").alias("higher")))
         member_nodes = classes.select("key", "node").join(small(whole, n_whole), "node", "left").withColumn("component", F.coalesce("component", "node"))
         member_nodes = member_nodes.join(higher, F.col("component") == F.col("t_node"), "left").select("key", F.coalesce("higher", "component").alias("component"))
-        named = members.join(member_nodes, "key", "left").select("id", "n", "key", "component")
-        named = tables.store(named, "named", keep=True)
-        # Stored, so that the join below may split a large component over tasks.
-        lowest = named.where("component is not null").groupBy("component").agg(F.min("id").alias("low"))
-        lowest = tables.store(lowest, "lowest", keep=True)
-    return named.join(lowest, "component", "left").select(
+        named = tables.store(members.join(member_nodes, "key", "left").select("id", "mark", "n", "component"), "named")
+        # Both come back as a stored table, so that the join may split a large component over tasks.
+        lowest = named.where("component is not null and id is not null").groupBy("component").agg(F.min(F.struct("id", "mark")).alias("low"))
+        lowest = tables.store(lowest, "lowest")
+        return cut_lineage(named.join(lowest, "component", "left"))
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, miss: float = MISS
+) -> DataFrame:
+    """One row per row of ``docs``: id, ``n_shingles``, ``component_id``, ``kept``.
+
+    Texts are linked when 100 * shared shingles >= ``percent`` * all their shingles.
+    """
+    alone = F.col("component").isNull()
+    return _grouped(docs, id_col, text_col, shingle, percent, miss).select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("low")).alias("component_id"),
-        F.when(F.col("component").isNull(), F.lit(True)).otherwise(F.col("id").eqNullSafe(F.col("low"))).alias("kept"),
+        F.when(alone, F.col("id")).otherwise(F.col("low.id")).alias("component_id"),
+        (alone | F.col("id").eqNullSafe(F.col("low.id"))).alias("kept"),
     )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, the one of smallest id; all columns kept.
 
-    Rows that share an id and a text are one document, of which one row stays. Rows without id stay.
+    Rows are told apart by id and text, so a text goes for its own group alone. Rows that share both are one
+    document, of which one row stays. Rows without id stay. Names that begin with ``_near`` are reserved.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, percent, miss)
-    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).where("_gone is not null").distinct()
-    left = docs.join(small(gone), F.col(id_col).cast("bigint") == F.col("_gone"), "left_anti")
-    again = docs.groupBy(id_col).agg(F.count("*").alias("_n")).where(f"_n > 1 and {id_col} is not null").select(F.col(id_col).alias("_again"))
+    found = _grouped(docs, id_col, text_col, shingle, percent, miss)
+    # (id, mark) may stand in many rows; what goes is counted before it is broadcast.
+    gone = found.where("id is not null and component is not null and (id <> low.id or mark <> low.mark)")
+    gone = gone.select(F.col("id").alias("_near_id"), F.col("mark").alias("_near_mark")).distinct()
+    mark = F.xxhash64(text_col, F.octet_length(text_col))
+    left = docs.join(small(gone), (F.col(id_col) == F.col("_near_id")) & (mark == F.col("_near_mark")), "left_anti")
+    again = found.where("id is not null").groupBy("id", "mark").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("_near_id"), F.col("mark").alias("_near_mark"))
     if again.isEmpty():
         return left
-    twice = left.join(again, F.col(id_col) == F.col("_again"), "left_semi").dropDuplicates([id_col, text_col])
-    return left.join(again, F.col(id_col) == F.col("_again"), "left_anti").unionByName(twice)
+    same = (F.col(id_col) == F.col("_near_id")) & (mark == F.col("_near_mark"))
+    twice = left.join(again, same, "left_semi").withColumn("_near_mark", mark).dropDuplicates([id_col, "_near_mark"]).drop("_near_mark")
+    return left.join(again, same, "left_anti").unionByName(twice)

@@ -403,6 +403,61 @@ def test_near_duplicates(spark, size, percent):
     assert all(r["kept"] == (d == r["component_id"]) for d, r in got.items())
 
 
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """Every bucket cut into blocks of a few members gives the same groups."""
+    monkeypatch.setattr(neardup, "SMALL", 1)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    test_near_duplicates(spark, 3, 85)
+
+
+def family(rng, texts, words, changed):
+    """Texts that differ from one base, which is not among them, in some words each."""
+    base = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(words)]
+    out = []
+    for _ in range(texts):
+        own = list(base)
+        for at in rng.sample(range(words), changed):
+            own[at] = "".join(rng.choices("abcdefghij", k=6))
+        out.append(" ".join(own))
+    return out
+
+
+def test_pairs_follow_members_just_under_the_threshold(spark, monkeypatch):
+    handed = []
+    exact = neardup._exact
+    monkeypatch.setattr(neardup, "_exact", lambda pairs, *rest: handed.append(pairs.count()) or exact(pairs, *rest))
+    for size in (150, 600):
+        handed.clear()
+        rows = list(enumerate(family(random.Random(31), size, 300, 8)))
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, DOCS), shingle=3, percent=85).collect()}
+        if size == 150:
+            assert got == {d: c for d, (_, c) in brute.near_duplicates(rows, 3, 85).items()}
+        # Bands times the members of a small bucket, at most; far fewer in fact.
+        assert sum(handed) <= 40 * size, handed
+
+
+def test_recall_between_085_and_090(spark):
+    """Every link of exact pairs is found in families whose texts are 0.80 to 0.92 alike."""
+    rng, rows = random.Random(32), []
+    for changed in (2, 3, 4, 5, 6):
+        rows += family(rng, 25, 250, changed)
+    rows = list(enumerate(rows))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, DOCS), shingle=3, percent=85).collect()}
+    assert got == {d: c for d, (_, c) in brute.near_duplicates(rows, 3, 85).items()}
+
+
+def test_near_duplicates_go_by_text_and_id(spark):
+    """An id on two texts: the copy goes, the other text and its group keep one row."""
+    rng = random.Random(33)
+    base, other = family(rng, 2, 200, 1), family(rng, 2, 200, 1)
+    rows = [(3, base[0]), (5, base[1]), (5, other[0]), (9, other[1]), (9, other[1])]
+    left = neardup.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(tuple(r) for r in left) == sorted([(3, base[0]), (5, other[0])])
+    named = [("b", base[0]), ("a", base[1]), (None, base[0]), ("c", "x y z")]
+    left = neardup.drop_near_duplicates(spark.createDataFrame(named, "doc_id string, text string")).collect()
+    assert {r["doc_id"] for r in left} == {"a", None, "c"}
+
+
 def test_near_duplicates_odd_rows(spark):
     docs = odd_docs(spark)
     rows = neardup.near_duplicates(docs).collect()
