@@ -4,7 +4,8 @@ The vocabulary's normaliser and splitter treat white space as a border, so a tex
 its chunks between spaces and newlines. Chunks repeat a great deal; ids of the recent ones are kept
 per worker. Chunks of plain Latin characters are split and merged by a byte-pair encoder with the
 vocabulary's own merge order, where the end-of-word sign is a space; all others go to the
-tokenizer itself.
+tokenizer itself. The vocabulary's added tokens, such as an end-of-text sign, are looked for in the text as
+it stands, before anything else, as the tokenizer does; each has its own id.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from tokenizers import Tokenizer
 
 CACHE_CHUNKS = 1_000_000
 CACHE_IDS = 16_000_000
+#: Marks a chunk as an added token; no chunk cut from a text begins with it and holds one.
+_ADDED = "\ue000"
 _PLAIN = re.compile(r"[!-~¡-¬®-ÿ]+")
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -44,9 +47,12 @@ def _lowered(text: str) -> str:
 class Encoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            whole = json.load(file)
+        model = whole["model"]
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
+        self.added = {_ADDED + t["content"]: t["id"] for t in whole["added_tokens"]}
+        longest = sorted((t["content"] for t in whole["added_tokens"]), key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         names, end = _byte_names(), model["end_of_word_suffix"]
 
         def raw(token: str) -> bytes:
@@ -79,6 +85,9 @@ class Encoder:
     def _learn(self, chunks: list[str]) -> None:
         plain, pieces, counts, other = [], [], [], []
         for c in chunks:
+            if c in self.added:
+                self._keep([c], np.array([self.added[c]], dtype=np.int64), np.array([1]))
+                continue
             if not _PLAIN.fullmatch(c):
                 other.append(c)
                 continue
@@ -112,11 +121,19 @@ class Encoder:
         self.used += len(ids)
         self.known.update(zip(chunks, range(n, n + len(chunks))))
 
+    def _chunks(self, text: str) -> list[str]:
+        if self.cut is None or not self.cut.search(text):
+            return _lowered(text).replace("\n", " ").split(" ")
+        out = []
+        for i, part in enumerate(self.cut.split(text)):
+            out += [_ADDED + part] if i % 2 else self._chunks(part)
+        return out
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
         if len(self.known) > CACHE_CHUNKS or self.used > CACHE_IDS:
             self._clear()
-        each = [_lowered(t or "").replace("\n", " ").split(" ") for t in texts]
+        each = [self._chunks(t or "") for t in texts]
         chunks = [c for cs in each for c in cs]
         index = np.array(list(map(self.known.get, chunks, repeat(-1))), dtype=np.int64)
         missing = np.flatnonzero(index < 0)

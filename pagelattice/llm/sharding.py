@@ -1,7 +1,8 @@
 """Consistent-hash ring with virtual nodes and bounded loads.
 
-The ring has ``2 ** RING_BITS`` cells. Every shard owns ``VNODES`` cells, chosen by hash, and takes
-the keys of the cells between its own and the one before. Rows are counted per cell; a walk around
+The ring has ``2 ** RING_BITS`` cells. Every shard has ``VNODES`` virtual nodes on it, placed by hash, and takes
+the keys of the cells between each and the node before. A cell may hold nodes of several shards, in the
+order of the rest of their hashes, so every shard owns nodes however many there are. Rows are counted per cell; a walk around
 the ring fills each shard up to its bound, and keys over the bound continue clockwise to the next
 shard with room. With bounds of floor and ceiling of the mean, row counts differ by at most one.
 The counts are ``2 ** RING_BITS`` numbers whatever the input, so they alone visit the driver; they
@@ -34,13 +35,9 @@ PART_ROWS = 50_000
 
 
 def ring(shards: int, bits: int = RING_BITS, vnodes: int = VNODES) -> list[tuple[int, int]]:
-    """(cell, shard) of all virtual nodes in ring order. A cell claimed twice goes to the lower shard."""
-    owners: dict[int, int] = {}
-    for shard in range(shards):
-        for v in range(vnodes):
-            cell = int.from_bytes(hashlib.md5(f"{shard}/{v}".encode()).digest()[:4], "big") >> (32 - bits)
-            owners[cell] = min(shard, owners.get(cell, shard))
-    return sorted(owners.items())
+    """(cell, shard) of all virtual nodes in ring order."""
+    places = sorted((int.from_bytes(hashlib.md5(f"{shard}/{v}".encode()).digest()[:8], "big"), shard) for shard in range(shards) for v in range(vnodes))
+    return [(place >> (64 - bits), shard) for place, shard in places]
 
 
 def cell_of(key: Column, bits: int = RING_BITS) -> Column:
@@ -58,16 +55,27 @@ def fill(counts: dict[int, int], shards: int, bits: int = RING_BITS, bounds: lis
     if sum(room) < total:
         raise ValueError(f"bounds hold {sum(room)} of {total} rows")
     out = []
+    # The next node of a shard with room, from each node on; full shards are passed over once.
+    following = list(range(1, len(nodes))) + [0]
+
+    def open_node(node: int) -> int:
+        passed = []
+        while not room[nodes[node][1]]:
+            passed.append(node)
+            node = following[node]
+        for at in passed:
+            following[at] = node
+        return node
+
     for cell in sorted(counts):
-        node, left, skipped = bisect_left(cells, cell), counts[cell], 0
+        node, left, skipped = bisect_left(cells, cell) % len(nodes), counts[cell], 0
         while left:
-            shard = nodes[node % len(nodes)][1]
+            node = open_node(node)
+            shard = nodes[node][1]
             take = min(left, room[shard])
-            if take:
-                out.append((cell, skipped, shard, take))
-                room[shard] -= take
-                left, skipped = left - take, skipped + take
-            node += 1
+            out.append((cell, skipped, shard, take))
+            room[shard] -= take
+            left, skipped = left - take, skipped + take
     return out
 
 

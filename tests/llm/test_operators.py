@@ -62,7 +62,6 @@ def test_span_hashes_tell_equal_bytes():
 
 def exact_ids(text):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text or "", add_special_tokens=False).ids + [packing.END_ID]
 
 
@@ -113,9 +112,8 @@ def test_encoder_is_the_tokenizer():
     random.seed(3)
     signs = "abcXYZéßÑæ'sStT1239.,!?-_<>|&;:\u00aa\u00b5\u00ad\u0130ΣσςЖ中\u0301\u200b\u00a0\t😀"
     samples = ["".join(random.choices(signs + "  \n", k=random.randint(0, 60))) for _ in range(3000)]
-    samples += ["<|endoftext|>", "<|startoftext|> a</w>", "don't we'll I'VE", "ﬁ ﬃ Å Å"]
+    samples += ["<|endoftext|>", "a <|endoftext|> b", "É<|endoftext|>b<|startoftext|><|startoftext|>'s", "<|ENDOFTEXT|> <|endóftext|>", "\ue000<|endoftext|>", "\ue000", "<|startoftext|> a</w>", "don't we'll I'VE", "ﬁ ﬃ Å Å"]
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     ids, counts = bpe.Encoder(public_tokenizers.path("word_bpe_49k.json")).encode(samples)
     cuts = np.cumsum(counts)[:-1]
     for text, own in zip(samples, np.split(ids, cuts)):
@@ -135,6 +133,13 @@ def test_differencing_is_balanced_and_whole():
     assert sorted(s for s, _ in packing.differencing([8, 7, 6, 5, 4], 2)) == [14, 16]
 
 
+def test_added_tokens_have_their_own_ids(spark):
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "<|startoftext|>")], DOCS)
+    rows = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    ids = {r["doc_id"]: struct.unpack(f"<{r['length']}I", r["ids"]) for r in rows}
+    assert ids == {1: (320, 49407, 321, 2), 2: (49406, 2)}
+
+
 # --- decontamination -------------------------------------------------------------------------
 
 
@@ -345,6 +350,17 @@ def test_ring_moves_little(spark):
     assert moved < 0.35
 
 
+def test_ring_of_thousands_of_shards():
+    rng = random.Random(41)
+    counts = {cell: rng.randint(0, 300) for cell in range(1 << sharding.RING_BITS)}
+    for shards in (600, 3000):
+        assert {s for _, s in sharding.ring(shards)} == set(range(shards))
+        taken = Counter()
+        for _, _, shard, n in sharding.fill(counts, shards):
+            taken[shard] += n
+        assert sum(taken.values()) == sum(counts.values()) and max(taken.values()) - min(taken.values()) <= 1
+
+
 def test_ring_against_walk(spark):
     """A key goes to the first shard with room from its cell on, cells in ring order."""
     rows, shards = placed(spark, 3000, 5), 5
