@@ -136,7 +136,7 @@ def _written(spark, work, visited, met, held, new_held, captured, robots_text, s
         warc.write_warc(responses, f"{out}/warc/run={run}", overwrite=True)
     if state is not None:
         # The state comes last: a run that failed half-way is simply done again.
-        state_io.save_state(snapshots.upsert_state(state, captured), state_path)
+        state_io.save_state(captured, state_path)
         written["state"] = state_io.load_state(spark, state_path)
     if options.recon:
         written["summary"] = reports.findings_summary(written["findings"])

@@ -6,14 +6,19 @@ Every job reads new parquet files of captures and stops when it has caught up
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pagelattice import schemas
 from pagelattice.functions import urls
 from pagelattice.operators import scan, snapshots
+from pagelattice.session import cut_lineage
 from pagelattice.sources import state as state_io
 
+_KEYS = T.StructType([T.StructField("key", T.StringType()), T.StructField("batch", T.LongType())])
+
 
 def read_captures(spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
     """Stream of page captures. ``files_per_batch`` bounds a micro-batch, not the result."""
@@ -24,17 +29,21 @@ def read_captures(spark: SparkSession, folder: str, pattern: str = "*.parquet",
 
 
 def stream_state(captures: DataFrame, state_path: str, checkpoint: str, ts: Column | None = None) -> StreamingQuery:
-    """Each batch: keep new and changed captures and write the next whole state.
+    """Each batch: append its new and changed captures to the state.
 
-    A batch that is replayed after a failure finds its captures unchanged and writes the same
-    state again.
+    Only the buckets of the state that the batch falls into are read, and only the rows that changed are
+    written. A batch that is replayed after its rows were saved is known by its number and adds nothing.
     """
     stamp = F.current_timestamp() if ts is None else ts
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
 
-    def step(batch: DataFrame, _: int) -> None:
-        known = state_io.load_state(batch.sparkSession, state_path)
-        fresh = snapshots.changed_captures(snapshots.page_captures(batch, stamp), known)
-        state_io.save_state(snapshots.upsert_state(known, fresh), state_path)
+    def step(batch: DataFrame, number: int) -> None:
+        log = state_io.state_log(batch.sparkSession, state_path)
+        tag = f"{stream}.{number}"
+        if log.saved(tag):
+            return
+        captured = cut_lineage(snapshots.latest_per_url(snapshots.page_captures(batch, stamp)))
+        log.append(snapshots.changed_captures(captured, log.rows_for(captured)), tag)
 
     writer = captures.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
@@ -51,9 +60,9 @@ def stream_dedupe(captures: DataFrame, out: str, checkpoint: str, within: tuple[
     """First capture per page key, the one of lowest ``page_id`` within a batch.
 
     ``within`` = (time column, delay) lets Spark forget keys once the watermark has passed.
-    Without it each batch is a folder ``batch=N`` of the output: keys are combined before their
-    shuffle and held against the keys written before, on narrow rows; page text stays in place. A
-    batch that is replayed writes its folder anew.
+    Without it each batch is a folder ``batch=N`` of the output, and its keys are a delta of a key log
+    beside them, ``_keys``: keys are combined before their shuffle and held against the buckets of the log that they fall into, on narrow
+    rows; page text stays in place. A batch that is replayed writes its folder anew; its own keys are known by its number.
     """
     keyed = captures.withColumn("key", urls.captured_key(F.col("url")))
     if within:
@@ -63,13 +72,15 @@ def stream_dedupe(captures: DataFrame, out: str, checkpoint: str, within: tuple[
         return writer.outputMode("append").trigger(availableNow=True).start(out)
 
     def step(batch: DataFrame, number: int) -> None:
-        first = batch.groupBy("key").agg(F.min("page_id").alias("page_id"))
-        if number:
-            layout = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in batch.schema)}, batch bigint"
-            written = batch.sparkSession.read.schema(layout).parquet(out).where(F.col("batch") < number)
-            first = first.join(written.select("key"), "key", "left_anti")
-        kept = batch.join(first.select("page_id"), "page_id", "left_semi").select(*batch.columns)
+        log = state_io.BucketLog(batch.sparkSession, f"{out}/_keys", _KEYS, "key")
+        batch = batch.withColumn("_row", F.monotonically_increasing_id())
+        first = cut_lineage(batch.groupBy("key").agg(F.min(F.struct("page_id", "_row")).alias("first")))
+        known = log.rows_for(first).where(F.col("batch") < number)
+        fresh = cut_lineage(first.join(known.select("key"), "key", "left_anti"))
+        kept = batch.join(fresh.select(F.col("first._row").alias("_row")), "_row", "left_semi").drop("_row")
         kept.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if not log.saved(str(number)):
+            log.append(fresh.select("key", F.lit(number).cast("bigint").alias("batch")), str(number))
 
     writer = keyed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

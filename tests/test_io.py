@@ -4,6 +4,7 @@ import base64
 import glob
 import gzip
 import hashlib
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -87,6 +88,43 @@ def test_stream_state_equals_batch_and_resumes(spark, tmp_path):
     assert len(after) == 41 and after["http://h0.x/p0?v=0"] == hashlib.md5(b"changed").hexdigest()
 
 
+def test_replayed_batches_add_nothing(spark, tmp_path):
+    """The same batch number of the same stream is one save, and one folder of kept captures."""
+    folder, path, offsets, kept = landed(spark, tmp_path), tmp_path / "state", tmp_path / "offsets", tmp_path / "kept"
+    for start, checkpoint in ((lambda at: jobs.stream_state(jobs.read_captures(spark, folder), str(path), at, F.expr(STAMP)), offsets), (lambda at: jobs.stream_dedupe(jobs.read_captures(spark, folder), str(kept), at), tmp_path / "o2")):
+        start(str(checkpoint)).awaitTermination()
+        done = [f for f in (path, kept) if f.exists()]
+        before = [sorted(str(x) for f in done for x in f.rglob("delta=*"))]
+        shutil.rmtree(checkpoint / "commits")  # as if the run had died before it told Spark
+        start(str(checkpoint)).awaitTermination()
+        assert [sorted(str(x) for f in done for x in f.rglob("delta=*"))] == before
+    keys = [r.key for r in spark.read.parquet(str(kept)).collect()]
+    assert len(keys) == len(set(keys)) == len({r.k for r in captures(spark).select(urls.captured_key(F.col("url")).alias("k")).collect()})
+
+
+def test_state_batches_read_and_write_with_the_batch(spark, tmp_path):
+    """A state 100 times the batch: few buckets are opened, and no more than the batch is written."""
+    path, folder = str(tmp_path / "state"), str(tmp_path / "in")
+    known = spark.range(500).select(F.concat(F.lit("http://h.x/p"), "id").alias("url"), F.lit("old").alias("html"), F.col("id").alias("page_id"))
+    state_io.save_state(snapshots.page_captures(known, F.expr(STAMP)), path, buckets=64)
+    before = {f: f.stat().st_size for f in (tmp_path / "state").rglob("*.parquet")}
+    for i in range(3):
+        known.where(f"page_id between {5 * i} and {5 * i + 4}").withColumn("html", F.lit("new")).select("page_id", "url", "html").write.mode("append").parquet(folder)
+        jobs.stream_state(jobs.read_captures(spark, folder), path, str(tmp_path / "offsets"), F.expr(STAMP)).awaitTermination()
+        now = {f: f.stat().st_size for f in (tmp_path / "state").rglob("*.parquet")}
+        assert before.items() <= now.items() and len(now) - len(before) <= 5
+        before = now
+    etags = [r.etag for r in state_io.load_state(spark, path).collect()]
+    assert len(etags) == 500 and etags.count(hashlib.md5(b"new").hexdigest()) == 15
+
+
+def test_repeated_page_ids_of_a_batch_are_one_capture(spark, tmp_path):
+    folder, kept = str(tmp_path / "in"), str(tmp_path / "kept")
+    spark.createDataFrame([(1, "http://h/a", "x")] * 3 + [(1, "http://h/b", "y")], "page_id bigint, url string, html string").write.parquet(folder)
+    jobs.stream_dedupe(jobs.read_captures(spark, folder), kept, str(tmp_path / "o")).awaitTermination()
+    assert sorted(r.url for r in spark.read.parquet(kept).collect()) == ["http://h/a", "http://h/b"]
+
+
 def test_stream_findings_and_dedupe_equal_batch(spark, tmp_path):
     folder = landed(spark, tmp_path)
     out, kept = str(tmp_path / "found"), str(tmp_path / "kept")

@@ -122,16 +122,70 @@ def test_upsert_keeps_the_last_write(spark):
     assert {r.url: r.etag for r in snapshots.upsert_state(state, now).collect()} == {"a": "2", "b": "1", "c": "1", "d": "2"}
 
 
-def test_state_snapshots_swap_whole(spark, tmp_path):
+def test_state_log_counts_complete_saves(spark, tmp_path):
     path = str(tmp_path / "state")
     assert state_io.load_state(spark, path).count() == 0
     first = state_rows(spark, [("a", "1", None, "t", "p", OLD)])
-    assert state_io.save_state(first, path) == 0
-    assert state_io.save_state(snapshots.upsert_state(state_io.load_state(spark, path), state_rows(spark, [("b", "1", None, "t", "p", NEW)])), path) == 1
-    (tmp_path / "state" / "run=7").mkdir()
+    assert state_io.save_state(first, path, buckets=4) == 0
+    assert state_io.save_state(state_rows(spark, [("b", "1", None, "t", "p", NEW)]), path) == 1
+    # A save that never ended.
+    (tmp_path / "state" / "buckets=4" / "delta=7" / "bucket=0").mkdir(parents=True)
     loaded = state_io.load_state(spark, path)
     assert loaded.schema == schemas.STATE and sorted(r.url for r in loaded.collect()) == ["a", "b"]
-    assert state_io.save_state(loaded, path) == 8
+    assert state_io.save_state(state_rows(spark, [("a", "2", None, "t", "p", NEW), ("b", "0", None, "t", "p", OLD)]), path) == 8
+    assert {r.url: r.etag for r in state_io.load_state(spark, path).collect()} == {"a": "2", "b": "1"}
+
+
+def files(folder):
+    return {str(f.relative_to(folder)): f.stat().st_size for f in folder.rglob("*.parquet")}
+
+
+def many_rows(spark, n, etag, ts, every=1):
+    return spark.range(0, n, every).select(F.concat(F.lit("http://h/"), "id").alias("url"), F.lit(etag).alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.lit("t").alias("content_type"), F.lit("p").alias("local_path"), F.lit(ts).cast("timestamp").alias("ts"))
+
+
+def test_a_save_writes_its_own_rows_alone(spark, tmp_path):
+    path, folder = str(tmp_path / "state"), tmp_path / "state"
+    state_io.save_state(many_rows(spark, 20_000, "1", OLD), path, buckets=64)
+    before = files(folder)
+    assert len(before) == 64
+    state_io.save_state(many_rows(spark, 20_000, "2", NEW, every=5000), path)
+    added = {f: n for f, n in files(folder).items() if f not in before}
+    assert before.items() <= files(folder).items()
+    assert 1 <= len(added) <= 4 and sum(added.values()) < sum(before.values()) / 10
+    # A reader of these rows opens their buckets alone.
+    log = state_io.state_log(spark, path)
+    known = log.rows_for(many_rows(spark, 20_000, "2", NEW, every=5000))
+    assert len(known.inputFiles()) <= 8
+    assert {r.url for r in known.where("etag = '2'").collect()} == {f"http://h/{i}" for i in range(0, 20_000, 5000)}
+    assert state_io.load_state(spark, path).groupBy("etag").count().orderBy("etag").collect()[0][1] == 20_000 - 4
+
+
+def test_compaction_keeps_the_state_and_bounds_the_files(spark, tmp_path, monkeypatch):
+    path, want, most = str(tmp_path / "state"), {}, 0
+    for i in range(14):
+        rows = [(f"u{j}", f"{i}", None, "t", "p", f"2024-01-{i + 1:02d} 00:00:00") for j in range(i % 3, 30, 3)]
+        log = state_io.BucketLog(spark, path, schemas.STATE, "url", ("ts",), buckets=4, compact_at=3)
+        log.append(state_rows(spark, rows))
+        want |= {u: e for u, e, *_ in rows}
+        assert {r.url: r.etag for r in log.rows().collect()} == want
+        most = max(most, len(log._stored(None).inputFiles()))
+    assert most <= 4 * 4 and len(files(tmp_path / "state")) <= 4 * 12
+
+
+def test_a_crash_in_a_compaction_leaves_the_state(spark, tmp_path):
+    path = str(tmp_path / "state")
+    log = state_io.BucketLog(spark, path, schemas.STATE, "url", ("ts",), buckets=2)
+    for i in range(3):
+        log.append(state_rows(spark, [(f"u{i}", "1", None, "t", "p", OLD)]))
+    # Parts of a base without _SUCCESS.
+    log._write(log._stored(None).limit(1), "base=2")
+    (tmp_path / "state" / "buckets=2" / "base=2" / "_SUCCESS").unlink()
+    assert sorted(r.url for r in log.rows().collect()) == ["u0", "u1", "u2"]
+    log.compact()
+    assert sorted(r.url for r in log.rows().collect()) == ["u0", "u1", "u2"]
+    assert log._layout()[1] == [] and log.append(state_rows(spark, [("u0", "2", None, "t", "p", NEW)])) == 3
+    assert {r.url: r.etag for r in log.rows().collect()} == {"u0": "2", "u1": "1", "u2": "1"}
 
 
 def test_first_n_and_sitemap(spark):
