@@ -86,14 +86,9 @@ def _reveal(style: Column) -> Column:
     return F.regexp_replace(opaque, r"transform\s*:\s*scale\([0-9.]+\)", "transform:scale(1)")
 
 
-def _may_have_style(token: Column, name: Column) -> Column:
-    """A cheap test that spares most tokens the attribute pattern."""
-    return ~name.isin("", "script", "style") & F.contains(F.lower(token), F.lit("style"))
-
-
 def reveal_hidden_rule(token: Column, name: Column) -> Column:
     return F.when(
-        _may_have_style(token, name), _with_attribute(token, "style", _reveal)
+        extract.may_have_style(token, name), _with_attribute(token, "style", _reveal)
     ).otherwise(token)
 
 
@@ -203,7 +198,7 @@ def _srcset_rule(token: Column, name: Column) -> Column:
 
 def _inline_style_rule(token: Column, name: Column) -> Column:
     return F.when(
-        _may_have_style(token, name),
+        extract.may_have_style(token, name),
         _with_attribute(token, "style", lambda s: _replaced(s, extract.css_urls(s))),
     ).otherwise(token)
 

@@ -154,6 +154,38 @@ def test_unclosed_markup_takes_linear_time(spark, opening):
     assert time.time() - start < 60
 
 
+def test_css_urls_are_those_of_the_plain_pattern(spark, column):
+    import random
+    import re
+
+    from pagelattice.functions import fixed
+    from pagelattice.operators import extract
+
+    rng = random.Random(3)
+    parts = ["url(", "url(", '"', "'", ")", " ", "a", "b/c", "\n", "(", "ur", "l("]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(4000)]
+    texts += ["url(aurl('x')", "url(\"url('x')", 'url("")', "url(a url(b)", "url('a\")", "url(aurl(b)c)"]
+    got = column("v string", [(t,) for t in texts], extract.css_urls(F.col("v")))
+    assert got == [re.findall(fixed.CSS_URL_PATTERN, t) for t in texts]
+
+
+@pytest.mark.parametrize("opening", ["url(", "url('", "url(a ", "url(a'", "@import 'a "])
+def test_unclosed_references_take_linear_time(spark, opening):
+    """A megabyte within seconds, and twice as much within three times as long."""
+    import time
+
+    from pagelattice.operators import extract
+
+    took = []
+    for size in (1_000_000, 1_000_000, 2_000_000):
+        sheet = spark.createDataFrame([("http://h.x/a.css", opening * (size // len(opening)))], "url string, body string")
+        start = time.time()
+        extract.extract_css_urls(sheet).collect()
+        sheet.select(extract.css_imports(F.col("body"))).collect()
+        took.append(time.time() - start)
+    assert took[1] < 5 and took[2] < 3 * took[1] + 1
+
+
 def test_reveal_style_place(spark):
     from pagelattice.functions import fixed
     from pagelattice.operators import rewrite
