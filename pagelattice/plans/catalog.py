@@ -597,11 +597,9 @@ def crawl_order_with_rules(spark, sf):
 
 @query
 def crawl_sites(spark, sf):
-    """All captured sites traversed together from their captured pages."""
-    page = d.pages(spark, sf)
-    links = extract.extract_links(page)
-    seeds = page.select(urls.captured_key(F.col("url")).alias("url"))
-    order = crawl.crawl_order(crawl.page_edges(links), seeds, d.robots_rules_v(spark, sf))
+    """All captured sites traversed together, each from one page."""
+    links = extract.extract_links(d.pages(spark, sf))
+    order = crawl.crawl_order(crawl.page_edges(links), _host_seeds(spark, sf), d.robots_rules_v(spark, sf))
     return order.withColumn("depth", F.col("depth").cast("bigint"))
 
 
@@ -642,18 +640,38 @@ def stream_dedupe(spark, sf):
 # --- the whole run --------------------------------------------------------------------------
 
 
-def _mirror(spark, sf, **options):
-    """A run over all pages and assets, after one that left ``state_prev_v``."""
+def _host_seeds(spark, sf):
+    """One captured page of each host, from which its site is traversed."""
+    key = urls.captured_key(F.col("url"))
+    return d.pages(spark, sf).groupBy(F.regexp_extract("url", "^https?://([^/?#]*)", 1)).agg(F.min(key).alias("url")).select("url")
+
+
+def _mirror(spark, sf, pages=None, assets=None, **options):
+    """A run under the sites' robots files from one page of each, after one that left ``state_prev_v``."""
     from pagelattice.plans.mirror import Options, mirror
 
     out = scratch_path(spark, "mirror")
     state_io.save_state(d.state_prev_v(spark, sf), f"{out}/state")
-    robots_text = d.hosts_v(spark, sf).select("host", F.lit("").alias("body"))
-    pages, assets = d.pages(spark, sf), d.assets_v(spark, sf).select("url", "content_type", "body")
-    tables = mirror(pages, assets, robots_text, pages.select("url"), out, F.expr(CAPTURE_TIME), Options(**options))
+    pages = d.pages(spark, sf) if pages is None else pages
+    assets = d.assets_v(spark, sf).select("url", "content_type", "body") if assets is None else assets
+    tables = mirror(pages, assets, d.robots_txt_v(spark, sf), _host_seeds(spark, sf), out, F.expr(CAPTURE_TIME), Options(**options))
     return out, tables
 
 
+@query
+def mirror_pages(spark, sf):
+    """Pages that the run rewrote: those it reached and had not seen as they are now."""
+    assets = d.page_assets_v(spark, sf).select("url", F.lit("application/octet-stream").alias("content_type"), F.lit("").alias("body"))
+    return _digest(_mirror(spark, sf, d.rich_pages_v(spark, sf), assets)[1]["pages"], "html")
+
+
+@query
+def mirror_findings(spark, sf):
+    """Findings of the run in new and changed pages and assets."""
+    found = _mirror(spark, sf, recon=True)[1]["findings"]
+    return _digest(found.select("kind", "type", "value", "source"), "value")
+
+
 @query
 def mirror_state(spark, sf):
     """State after the run: pages and assets, those unchanged with their old time."""

@@ -269,6 +269,18 @@ _CSS_NEW = (
     " CASE WHEN doc_id % 2 = 0 THEN '../img/' || doc_id || '.png' ELSE chr(0) END, '../img/' || doc_id || '.png')"
 )
 
+# Pages that a run reaches from one page of each host under the hosts' robots files.
+_REACHED = r"""
+, e AS (SELECT DISTINCT regexp_replace(src, '[?#].*', '') AS src, dst FROM links_v),
+ok AS (SELECT u.url, NOT coalesce(usable AND (p LIKE '/fr%' OR (p LIKE '/en%' AND p NOT LIKE '/en/1%')), FALSE) AS allowed FROM (
+ SELECT url, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, regexp_extract(url, '^https?://[^/?#]*(.*)', 1) AS p FROM (
+  SELECT dst AS url FROM e UNION SELECT regexp_replace(url, '[?#].*', '') FROM pages)) AS u LEFT JOIN robots_v AS r ON u.host = r.host),
+walk AS (
+ SELECT min(regexp_replace(url, '[?#].*', '')) AS url FROM pages GROUP BY regexp_extract(url, '^https?://([^/?#]*)', 1)
+ UNION SELECT e.dst FROM walk w JOIN e ON e.src = w.url JOIN ok o ON o.url = w.url WHERE o.allowed),
+reached AS (SELECT p.* FROM pages p JOIN walk w ON w.url = regexp_replace(p.url, '[?#].*', '') JOIN ok o ON o.url = w.url WHERE o.allowed),
+fresh AS (SELECT r.* FROM reached r LEFT JOIN state_prev_v s ON s.url = r.url WHERE s.url IS NULL OR s.etag <> md5(r.html))"""
+
 ORACLE: dict[str, str] = {
     "scan_pages": f"SELECT page_id, url, {_digest('html', 'html')} FROM pages",
     "scan_only_html": _with(
@@ -564,20 +576,30 @@ ok AS (SELECT url, NOT ((p LIKE '/fr%' AND p NOT LIKE '/fr/8%') OR p LIKE '/en/1
  SELECT url, regexp_extract(url, '^https?://[^/?#]*(.*)', 1) AS p FROM (
   SELECT dst AS url FROM e UNION SELECT regexp_replace(url, '[?#].*', '') FROM pages))),
 walk AS (
- SELECT DISTINCT regexp_replace(url, '[?#].*', '') AS url, CAST(0 AS BIGINT) AS depth FROM pages
+ SELECT min(regexp_replace(url, '[?#].*', '')) AS url, CAST(0 AS BIGINT) AS depth FROM pages GROUP BY regexp_extract(url, '^https?://([^/?#]*)', 1)
  UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.url JOIN ok o ON o.url = w.url
  WHERE w.depth < (SELECT count(*) FROM pages) AND o.allowed)
 SELECT walk.url, min(depth) AS depth FROM walk JOIN ok ON ok.url = walk.url WHERE ok.allowed GROUP BY walk.url""",
         "links_v",
     ),
     "mirror_state": _with(
-        "SELECT url, md5(html) AS etag, 'text/html' AS content_type, CASE WHEN page_id % 5 = 0 OR page_id % 3 = 0"
-        " THEN '2024-02-01 00:00:00' ELSE '2024-01-01 00:00:00' END AS ts FROM pages"
+        _REACHED + " SELECT url, md5(html) AS etag, 'text/html' AS content_type, '2024-02-01 00:00:00' AS ts FROM fresh"
+        " UNION ALL SELECT url, etag, content_type, '2024-01-01 00:00:00' FROM state_prev_v WHERE url NOT IN (SELECT url FROM fresh)"
         " UNION ALL SELECT url, md5(body), content_type, '2024-02-01 00:00:00' FROM assets_v",
-        "assets_v",
+        "assets_v", "links_v", "robots_v", "state_prev_v",
     ),
     "mirror_archive": _with(
-        "SELECT url AS target_uri FROM pages WHERE page_id % 5 = 0 OR page_id % 3 = 0 UNION ALL SELECT url FROM assets_v",
-        "assets_v",
+        _REACHED + " SELECT url AS target_uri FROM fresh UNION ALL SELECT url FROM assets_v",
+        "assets_v", "links_v", "robots_v", "state_prev_v",
     ),
 }
+
+ORACLE["mirror_pages"] = _with(
+    _REACHED + _PAGE_ASSETS + f" SELECT page_id, url, local_path, {_digest('h', 'html')} FROM (SELECT page_id, url, local_path,"
+    f" {_nest(_NO_SCRIPTS, _NO_PRELOAD, _ASSETS, _NO_ATTRIBUTES, _REVEAL, _LINKS, _APPEND)} AS h FROM ready) WHERE url IN (SELECT url FROM reached)",
+    "rich_pages_v", "up_v", "held_v", "links_v", "robots_v", "state_prev_v",
+)
+ORACLE["mirror_findings"] = _with(
+    _REACHED + ORACLE["all_findings"][ORACLE["all_findings"].index(_ALL_TEXTS.strip()):] + " WHERE source IN (SELECT url FROM fresh UNION ALL SELECT url FROM assets_v)",
+    *_ALL_VIEWS, "links_v", "robots_v", "state_prev_v",
+)
