@@ -9,7 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators are planned for. Broadcasts stay behind Catalyst's own size
-# check (autoBroadcastJoinThreshold): no operator forces one with a hint.
+# check (autoBroadcastJoinThreshold), but for the few heavy keys of skewed joins and for
+# look-up sides whose rows were counted first.
 RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
