@@ -813,7 +813,7 @@ def test_texts_of_short_lines_lose_only_repeats(spark):
 # --- queries and pipeline --------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("name", ["op2_decontamination", "op7_near_duplicates", "op8_url_rules", "op9_chat_windows"])
+@pytest.mark.parametrize("name", ["op2_decontamination", "op7_near_duplicates", "op8_url_rules", "op9_chat_windows", "op13_filter_audit"])
 def test_query_matches_sql(spark, name):
     from compare import compare, connect
 
