@@ -8,11 +8,12 @@ Windows: a turn's tokens are counted by a pattern, prefix sums of them lay the t
 on a line, and the line is cut at multiples of the room for targets. The turns that lie whole between
 two cuts form a window; a turn across a cut has a window of its own. Each window begins with the
 conversation's system turn, then repeats as many earlier turns as fit the history budget; both
-are masked where they are repeats. So every turn is a target exactly once, no turn is cut, and a window
-is within its budget unless a single turn is over it.
+are masked where they are repeats. So every turn is a target exactly once and no turn is cut. The targets of a
+window keep within the budget less ``HISTORY`` and ``SYSTEM`` unless a single turn is over that. A window passes the budget
+where such a turn comes with history, or where the system turn is over ``SYSTEM``: neither is shortened.
 
-Prefix sums run over blocks of turns first, then within the blocks, so a conversation of any length is
-spread over tasks. Turns are ordered by ``turn``, then role, then text; nulls come first. A null text
+Prefix sums run over blocks of turns by turn number first, then within the blocks, so a conversation of any
+length is spread over tasks as far as its turn numbers differ. Turns are ordered by ``turn``, then role, then text; nulls come first. A null text
 or role is empty. Repeated rows are turns of their own. A null conversation id is a conversation. An
 empty table gives an empty result. Other columns are not read.
 """
