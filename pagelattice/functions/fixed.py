@@ -1,4 +1,4 @@
-"""Fixed values the results depend on. They are matched exactly and must not be edited."""
+"""Fixed values the results depend on. They are matched exactly and must not be edited, but where marked as our own."""
 
 from __future__ import annotations
 
@@ -82,7 +82,8 @@ CSS_IMPORT_PATTERN = r"""@import\s+["']([^"']+)["']"""
 # Fixed value: marker of the image-resizing endpoint.
 IMAGE_PROXY = "/_next/image"
 
-# Fixed value: style rules appended to a rewritten page so that script-driven elements show.
+# Our own, shorter form, not matched to anything: style rules appended to a rewritten page so that
+# script-driven elements show. Kept here as results depend on it.
 REVEAL_STYLE = (
     '<style>[style*="opacity"] { opacity: 1 !important; } '
     ".transform-gpu { transform: scale(1) !important; } "
