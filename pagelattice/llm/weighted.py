@@ -41,26 +41,33 @@ _PART_BITS = 21
 _DIGITS = 4
 
 
-def _hashes(text: Column, tag: int) -> Column:
-    """A hash of each word, with ``tag`` as its lowest bit."""
+def _hashes(text: Column, sets: int) -> Column:
+    """A hash of each word, with ``sets`` as its lowest two bits."""
     words = F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
-    return F.transform(words, lambda w: F.shiftleft(F.xxhash64(w), 1).bitwiseOR(F.lit(tag).cast("bigint")))
+    return F.transform(words, lambda w: F.shiftleft(F.xxhash64(w), 2).bitwiseOR(F.lit(sets).cast("bigint")))
 
 
-def with_terms(df: DataFrame, texts: list[Column], name: str) -> DataFrame:
+def with_terms(df: DataFrame, pieces: list[tuple[Column, int]], name: str) -> DataFrame:
     """``df`` with ``name``: an array of one (``term``, ``weight_0``, ``weight_1``) for each distinct word.
 
-    The weights are the word's numbers in the first and in the second of one or two texts.
+    The weights are the word's numbers in two sets. Each of the ``pieces`` is a text and the sets that its
+    words are in: 1 the first, 2 the second, 3 both. So words that two texts share are counted once.
     """
     hashes, starts, runs, first = (f"_{name}_{x}" for x in ("hashes", "starts", "runs", "first"))
-    df = df.withColumn(hashes, F.sort_array(F.concat(*[_hashes(t, i) for i, t in enumerate(texts)])))
+    df = df.withColumn(hashes, F.sort_array(F.concat(*[_hashes(t, sets) for t, sets in pieces])))
     df = df.withColumn(starts, F.expr(f"filter(sequence(0, size({hashes})), i -> i < size({hashes}) and (i = 0 or {hashes}[i] <> {hashes}[i - 1]))"))
-    each = f"struct(shiftright({hashes}[s], 1) as term, {hashes}[s] & 1 as tag, coalesce(get({starts}, j + 1), size({hashes})) - s as n)"
+    each = f"struct(shiftright({hashes}[s], 2) as term, {hashes}[s] & 3 as sets, coalesce(get({starts}, j + 1), size({hashes})) - s as n)"
     df = df.withColumn(runs, F.expr(f"transform({starts}, (s, j) -> {each})"))
-    # A word of both texts is two runs, one after the other.
+    # The runs of a word, one for each of its kinds of pieces, follow one another.
     df = df.withColumn(first, F.expr(f"filter(sequence(0, size({runs})), i -> i < size({runs}) and (i = 0 or {runs}[i].term <> {runs}[i - 1].term))"))
-    second = f"if({runs}[i].tag = 1, {runs}[i].n, if(get({runs}, i + 1).term = {runs}[i].term, {runs}[i + 1].n, 0))"
-    terms = F.expr(f"transform({first}, i -> struct({runs}[i].term as term, if({runs}[i].tag = 0, {runs}[i].n, 0) as weight_0, {second} as weight_1))")
+    kinds = len({sets for _, sets in pieces})
+
+    def weight(bit: int) -> str:
+        here = [f"if({runs}[i].sets & {bit} <> 0, {runs}[i].n, 0)"]
+        here += [f"if(get({runs}, i + {k}).term = {runs}[i].term and get({runs}, i + {k}).sets & {bit} <> 0, get({runs}, i + {k}).n, 0)" for k in range(1, kinds)]
+        return " + ".join(here)
+
+    terms = F.expr(f"transform({first}, i -> struct({runs}[i].term as term, {weight(1)} as weight_0, {weight(2)} as weight_1))")
     return df.withColumn(name, terms).drop(hashes, starts, runs, first)
 
 
@@ -69,9 +76,9 @@ def _uniform(hashed: Column, part: int) -> Column:
     return F.shiftrightunsigned(hashed, part * _PART_BITS).bitwiseAND((1 << _PART_BITS) - 1) + 0.5
 
 
-def _sample(number: Column, term: Column, log_weight: Column) -> Column:
-    """ln a of a word for a sample; null for no word, which has no weight."""
-    one, two = F.xxhash64(term, 2 * number), F.xxhash64(term, 2 * number + 1)
+def _sample(k: int, seed: Column, log_weight: Column) -> Column:
+    """ln a of a word for sample ``k`` of its block; null for no word, which has no weight."""
+    one, two = F.xxhash64(seed.bitwiseXOR(2 * k)), F.xxhash64(seed.bitwiseXOR(2 * k + 1))
     # Products with powers of two, since a division has to look for zeros.
     scale = 2.0**-_PART_BITS
     r = -F.log(_uniform(one, 0) * _uniform(one, 1) * (scale * scale))
@@ -90,9 +97,9 @@ def signatures(df: DataFrame, keys: list[str], terms: str, names: list[str], sam
     each = df.select(*keys, terms, F.explode_outer(F.array(*[F.lit(b) for b in range(blocks)])).alias("_block")).select(*keys, "_block", F.explode_outer(terms).alias("_t"))
     # The logarithm of no weight is null, and so is the sample.
     weights = [F.log(F.col(f"_t.weight_{i}").cast("double")).alias(f"_log_{i}") for i in range(len(names))]
-    each = each.select(*keys, "_block", F.col("_t.term").alias("_term"), *weights)
-    number = F.col("_block") * AT_ONCE
-    drawn = [F.min(_sample(number + k, F.col("_term"), F.col(f"_log_{i}"))).alias(f"_{i}_{k}") for k in range(AT_ONCE) for i in range(len(names))]
+    # One hash of word and block; the samples of the block hash that one number, changed in its lowest bits.
+    each = each.select(*keys, "_block", F.xxhash64("_t.term", "_block").alias("_seed"), *weights)
+    drawn = [F.min(_sample(k, F.col("_seed"), F.col(f"_log_{i}"))).alias(f"_{i}_{k}") for k in range(AT_ONCE) for i in range(len(names))]
     least = each.groupBy(*keys, "_block").agg(*drawn)
 
     def digits(i: int) -> Column:
@@ -115,7 +122,7 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """(id, ``fingerprint``), one row per distinct id and text."""
     keyed = docs.select(F.col(id_col), F.xxhash64(text_col, F.octet_length(text_col)).alias("_mark"), F.col(text_col).alias("_text"))
-    keyed = with_terms(keyed, [F.col("_text")], "_terms")
+    keyed = with_terms(keyed, [(F.col("_text"), 1)], "_terms")
     return signatures(keyed, [id_col, "_mark"], "_terms", ["fingerprint"], samples).drop("_mark")
 
 
@@ -169,17 +176,29 @@ def edited(text: Column, other: Column) -> Column:
     return F.concat(text.substr(F.lit(1), size - cut), other.substr(F.lit(1), cut))
 
 
+def shared_pieces(text: Column, edit: Column) -> list[tuple[Column, int]]:
+    """``text`` and its edited text as pieces of words: those both begin with, the rest of each.
+
+    The common piece ends with the last gap of what the edit leaves of ``text``, so no word is cut.
+    """
+    size = F.char_length(text)
+    common = F.regexp_extract(text.substr(F.lit(1), size - F.floor(size / 4).cast("int")), r"(?s)^.*[\x20\x09-\x0D]", 0)
+    rest = lambda whole: F.substr(whole, F.char_length(common) + 1)
+    return [(common, 3), (rest(text), 1), (rest(edit), 2)]
+
+
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """Per row: id, ``n_chars``, ``edited_sha256``, both fingerprints, ``near_edited`` and ``near_next``.
 
     ``near_edited`` is the likeness to the text edited with the next one, ``near_next`` to that next text.
     """
     rows = with_next(docs, id_col, text_col)
-    rows = rows.withColumn("edited", F.when(F.col("border"), F.lit("")).otherwise(edited(F.col("text"), F.col("next_text"))))
+    # Border rows have no next text; what they are edited to is not used.
+    rows = rows.withColumn("edited", edited(F.col("text"), F.coalesce("next_text", F.lit(""))))
     rows = rows.select("part", "nth", "id", "copies", "border", F.char_length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), "text", "edited")
     # The digest as numbers: keys of fixed width are cheap to group by.
     rows = rows.withColumns({f"sha_{i}": F.conv(F.substring("sha", 16 * i + 1, 16), 16, -10).cast("bigint") for i in range(4)})
-    rows = with_terms(rows, [F.col("text"), F.col("edited")], "terms")
+    rows = with_terms(rows, shared_pieces(F.col("text"), F.col("edited")), "terms")
     about = ["part", "nth", "id", "copies", "border", "n_chars", *[f"sha_{i}" for i in range(4)]]
     one = signatures(rows, about, "terms", ["fingerprint", "edited_fingerprint"], samples)
     beside = one.withColumn("next_fingerprint", F.lead("fingerprint").over(Window.partitionBy("part").orderBy("nth"))).where(~F.col("border"))
