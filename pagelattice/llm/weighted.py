@@ -62,12 +62,15 @@ def with_terms(df: DataFrame, pieces: list[tuple[Column, int]], name: str) -> Da
     df = df.withColumn(first, F.expr(f"filter(sequence(0, size({runs})), i -> i < size({runs}) and (i = 0 or {runs}[i].term <> {runs}[i - 1].term))"))
     kinds = len({sets for _, sets in pieces})
 
-    def weight(bit: int) -> str:
-        here = [f"if({runs}[i].sets & {bit} <> 0, {runs}[i].n, 0)"]
-        here += [f"if(get({runs}, i + {k}).term = {runs}[i].term and get({runs}, i + {k}).sets & {bit} <> 0, get({runs}, i + {k}).n, 0)" for k in range(1, kinds)]
-        return " + ".join(here)
+    many = f"(coalesce(get({first}, j + 1), size({runs})) - i)"
 
-    terms = F.expr(f"transform({first}, i -> struct({runs}[i].term as term, {weight(1)} as weight_0, {weight(2)} as weight_1))")
+    def term(upto: int) -> str:
+        here = lambda k, bit: f"if({k} < {many} and get({runs}, i + {k}).sets & {bit} <> 0, get({runs}, i + {k}).n, 0)"
+        weight = lambda bit: " + ".join([f"if({runs}[i].sets & {bit} <> 0, {runs}[i].n, 0)", *[here(k, bit) for k in range(1, upto)]])
+        return f"struct({runs}[i].term as term, {weight(1)} as weight_0, {weight(2)} as weight_1)"
+
+    # Most words have one run.
+    terms = F.expr(f"transform({first}, (i, j) -> if({many} = 1, {term(1)}, {term(kinds)}))")
     return df.withColumn(name, terms).drop(hashes, starts, runs, first)
 
 
@@ -103,8 +106,10 @@ def signatures(df: DataFrame, keys: list[str], terms: str, names: list[str], sam
     least = each.groupBy(*keys, "_block").agg(*drawn)
 
     def digits(i: int) -> Column:
-        short = lambda a: F.lower(F.lpad(F.hex(F.xxhash64(a).bitwiseAND((1 << 4 * _DIGITS) - 1)), _DIGITS, "0"))
-        return F.array_join(F.transform(F.array(*[F.col(f"_{i}_{k}") for k in range(AT_ONCE)]), lambda a: F.when(a.isNull(), F.lit("")).otherwise(short(a))), "")
+        hashed = [F.xxhash64(f"_{i}_{k}").bitwiseAND((1 << 4 * _DIGITS) - 1) for k in range(AT_ONCE)]
+        # Four samples are one number of 16 digits; a row without words has none.
+        four = lambda k: F.shiftleft(hashed[k], 48).bitwiseOR(F.shiftleft(hashed[k + 1], 32)).bitwiseOR(F.shiftleft(hashed[k + 2], 16)).bitwiseOR(hashed[k + 3])
+        return F.when(F.col(f"_{i}_0").isNull(), F.lit("")).otherwise(F.lower(F.concat(*[F.lpad(F.hex(four(k)), 16, "0") for k in range(0, AT_ONCE, 4)])))
 
     parts = least.select(*keys, "_block", *[digits(i).alias(f"_part_{i}") for i in range(len(names))])
     whole = lambda i: F.concat(*[F.max(F.when(F.col("_block") == b, F.col(f"_part_{i}"))) for b in range(blocks)])
@@ -114,8 +119,8 @@ def signatures(df: DataFrame, keys: list[str], terms: str, names: list[str], sam
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     """The share of equal samples of two fingerprints, 0 to 1."""
     size = samples * _DIGITS
-    both = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: (a.substr(k * _DIGITS + 1, F.lit(_DIGITS)) == b.substr(k * _DIGITS + 1, F.lit(_DIGITS))).cast("int"))
-    equal = F.aggregate(both, F.lit(0), lambda n, x: n + x) / float(samples)
+    each = lambda text: F.regexp_extract_all(text, F.lit(f".{{{_DIGITS}}}"), F.lit(0))
+    equal = F.size(F.array_remove(F.zip_with(each(a), each(b), lambda x, y: x == y), False)) / float(samples)
     return F.when(a == b, F.lit(1.0)).when((F.length(a) == size) & (F.length(b) == size), equal).otherwise(F.lit(0.0))
 
 
