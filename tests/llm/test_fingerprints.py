@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 from itertools import permutations
@@ -269,3 +270,16 @@ def test_removal_steps_are_the_first_failing_filter():
     for mask in range(32):
         for o, order in enumerate(orders):
             assert steps[mask, o] == next((i for i, f in enumerate(order) if mask >> f & 1), 5)
+
+
+def test_shared_pieces_hold_the_words_of_both_texts(spark):
+    texts = ["", " ", "a", "a b", "abcdefgh", "a b c d e f g h", "a  b\n\nc\td " * 9, "x" * 5000, "ä ö ü " * 50 + "end", " lead and trail "]
+    rows = spark.createDataFrame([(i, t, o) for i, t in enumerate(texts) for o in ["", "q r", "no-gap", " é é " * 40]], "id int, text string, other string")
+    rows = rows.withColumn("edit", weighted.edited(F.col("text"), F.col("other")))
+    terms = weighted.with_terms(rows, weighted.shared_pieces(F.col("text"), F.col("edit")), "terms")
+    for r in terms.collect():
+        for place, text in enumerate((r["text"], r["edit"])):
+            counts = Counter(re.findall(r"[^\x20\x09-\x0D]+", text))
+            found = sorted(t[f"weight_{place}"] for t in r["terms"] if t[f"weight_{place}"])
+            assert found == sorted(counts.values())
+        assert len({t["term"] for t in r["terms"]}) == len(r["terms"])
