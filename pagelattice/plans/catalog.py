@@ -79,12 +79,10 @@ def save_and_load_state(spark, sf):
 
 @query
 def write_warc(spark, sf):
-    """Archive all pages, then read the record headers back from the written parts."""
+    """Archive all pages, then read the records with their payloads back from the archive."""
     path = scratch_path(spark, "warc")
     warc.write_warc(warc.responses(d.pages(spark, sf)), path)
-    lines = spark.read.option("pathGlobFilter", "*.warc.gz").text(path)
-    field = F.regexp_extract("value", r"^WARC-Target-URI: (.*)", 1)
-    return lines.select(field.alias("target_uri")).where(F.col("target_uri") != "")
+    return warc.warc_records(warc.read_warc(spark, path))
 
 
 @query
@@ -680,8 +678,6 @@ def mirror_state(spark, sf):
 
 @query
 def mirror_archive(spark, sf):
-    """Addresses in the archive of the run: new and changed pages and assets."""
+    """Records in the archive of the run: new and changed pages and assets, read back with their payloads."""
     out, _ = _mirror(spark, sf, export_warc=True)
-    lines = spark.read.option("pathGlobFilter", "*.warc.gz").option("recursiveFileLookup", "true").text(f"{out}/warc")
-    field = F.regexp_extract("value", r"^WARC-Target-URI: (.*)", 1)
-    return lines.select(field.alias("target_uri")).where(F.col("target_uri") != "")
+    return warc.warc_records(warc.read_warc(spark, f"{out}/warc/run=1")).drop("warc_type", "status_line")

@@ -281,6 +281,12 @@ walk AS (
 reached AS (SELECT p.* FROM pages p JOIN walk w ON w.url = regexp_replace(p.url, '[?#].*', '') JOIN ok o ON o.url = w.url WHERE o.allowed),
 fresh AS (SELECT r.* FROM reached r LEFT JOIN state_prev_v s ON s.url = r.url WHERE s.url IS NULL OR s.etag <> md5(r.html))"""
 
+def _payload(text):
+    return f"CAST(strlen({text}) AS BIGINT) AS payload_bytes, sha256({text}) AS payload_sha256"
+
+
+_RECORDS = f"SELECT url AS target_uri, 'response' AS warc_type, '200 OK' AS status_line, {_payload('html')} FROM pages"
+
 ORACLE: dict[str, str] = {
     "scan_pages": f"SELECT page_id, url, {_digest('html', 'html')} FROM pages",
     "scan_only_html": _with(
@@ -289,9 +295,8 @@ ORACLE: dict[str, str] = {
         "assets_v",
     ),
     "save_and_load_state": _with(f"SELECT {_STATE} FROM state_prev_v", "state_prev_v"),
-    "write_warc": "SELECT url AS target_uri FROM pages",
-    "warc_records": "SELECT url AS target_uri, 'response' AS warc_type, '200 OK' AS status_line,"
-    " CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_sha256 FROM pages",
+    "write_warc": _RECORDS,
+    "warc_records": _RECORDS,
     "filter_asset_types": _with(
         "SELECT asset_id, url, 'css' AS category FROM assets_v WHERE asset_id % 6 IN (0, 5)",
         "assets_v",
@@ -589,7 +594,8 @@ SELECT walk.url, min(depth) AS depth FROM walk JOIN ok ON ok.url = walk.url WHER
         "assets_v", "links_v", "robots_v", "state_prev_v",
     ),
     "mirror_archive": _with(
-        _REACHED + " SELECT url AS target_uri FROM fresh UNION ALL SELECT url FROM assets_v",
+        _REACHED + f" SELECT url AS target_uri, {_payload('html')} FROM pages WHERE url IN (SELECT url FROM fresh)"
+        f" UNION ALL SELECT url, {_payload('body')} FROM assets_v",
         "assets_v", "links_v", "robots_v", "state_prev_v",
     ),
 }

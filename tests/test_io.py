@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagelattice.functions import urls
@@ -68,6 +69,65 @@ def test_warc_uses_recorded_headers_and_appends(spark, tmp_path):
     assert (record.status_line, record.payload_bytes) == ("404 Not Found", 2)
 
 
+def sent(df):
+    return sorted((r.target_uri, r.status_line, r.headers, bytes(r.payload), r.warc_date) for r in df.collect())
+
+
+def test_warc_reads_back_whole_records(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [
+            ("http://h/x", 404, "Not Found", {"Server": "s: t", "Via": "a"}, bytearray(b"\xff\x00\r\n\r\nWARC/1.0\r\n")),
+            ("http://h/é", 200, "OK", {"Content-Type": "text/html"}, bytearray()),
+            ("http://h/long", 200, "OK", {"Content-Type": "a/b"}, bytearray(bytes(range(256)) * 80_000)),
+        ],
+        "url string, status int, reason string, headers map<string,string>, html binary",
+    )
+    out, wanted = str(tmp_path / "warc"), warc.responses(rows)
+    warc.write_warc(wanted, out)
+    assert sent(warc.read_warc(spark, out)) == sent(wanted)
+    warc.write_warc(warc.responses(captures(spark, 0)), str(tmp_path / "none"))
+    assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_warc_sections_of_a_part_are_read_apart(spark, tmp_path):
+    wanted, out = warc.responses(captures(spark)), str(tmp_path / "warc")
+    warc.write_warc(wanted, out, parts=1, split=1000)
+    read = warc.read_warc(spark, out)
+    assert read.rdd.getNumPartitions() > 4
+    assert sent(read) == sent(wanted)
+
+
+def test_warc_reads_only_what_a_manifest_names(spark, tmp_path):
+    wanted, out = warc.responses(captures(spark, 8)), str(tmp_path / "warc")
+    warc.write_warc(wanted, out, parts=2)
+    part = glob.glob(f"{out}/part-*.warc.gz")[0]
+    # What a task that ran twice leaves, and the hidden manifest of a write that did not end.
+    shutil.copy(part, f"{out}/part-stray.warc.gz")
+    shutil.copy(glob.glob(f"{out}/_manifests/*.json")[0], f"{out}/_manifests/.unfinished")
+    assert sent(warc.read_warc(spark, out)) == sent(wanted)
+    warc.write_warc(wanted, out)
+    assert sent(warc.read_warc(spark, out)) == sorted(sent(wanted) * 2)
+    warc.write_warc(wanted.limit(1), out, overwrite=True)
+    assert warc.read_warc(spark, out).count() == 1 and len(glob.glob(f"{out}/*.warc.gz")) == 1
+
+
+def test_warc_of_other_tools_is_read_file_by_file(spark, tmp_path):
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    block = b"HTTP/1.1 200 OK\r\nA: 1\r\na: 2\r\n\r\nbody"
+    record = b"WARC/1.1\r\nwarc-type: response\r\nWARC-Target-URI: http://h/\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block)
+    folder = tmp_path / "other"
+    folder.mkdir()
+    # All records in one member, as some tools compress them.
+    (folder / "a.warc.gz").write_bytes(gzip.compress(info + record + record))
+    (folder / "b.warc.gz").write_bytes(gzip.compress(record))
+    rows = warc.read_warc(spark, str(folder)).collect()
+    assert [(r.target_uri, bytes(r.payload), r.warc_date) for r in rows] == [("http://h/", b"body", None)] * 3
+    whole = (folder / "b.warc.gz").read_bytes()
+    (folder / "b.warc.gz").write_bytes(whole[: len(whole) // 2])
+    with pytest.raises(Exception, match="end-of-stream|ends early"):
+        warc.read_warc(spark, str(folder)).collect()
+
+
 def landed(spark, tmp_path, name="in"):
     folder = str(tmp_path / name)
     captures(spark).write.parquet(folder)
