@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pagelattice.functions import urls
-from pagelattice.operators.robots import allowed_by, rules_by_host
+from pagelattice.operators.robots import RuleIndex
 from pagelattice.operators.skew import heavy_keys, repeated, salted, skew_join
 from pagelattice.session import LaidOut, cut_lineage, laid_out_by
 
@@ -30,20 +30,15 @@ def crawl_frontier(
     """
     stored = cut_lineage(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
     heavy = heavy_keys(stored, "src")
-    by_host = cut_lineage(rules_by_host(rules)) if rules is not None else None
+    index = RuleIndex(rules) if rules is not None else None
     hot_hosts = None
-    if by_host is not None:
+    if index is not None:
         hot_hosts = heavy_keys(stored.select(urls.authority(F.col("dst")).alias("host")), "host")
 
     def judged(candidates: DataFrame, depth: int) -> DataFrame:
         """Distinct URLs with the verdict of their host's rules; each URL is judged once."""
         rows = candidates.select("url").distinct()
-        if by_host is None:
-            verdict = rows.withColumn("allowed", F.lit(True))
-        else:
-            keyed = rows.withColumn("host", urls.authority(F.col("url")))
-            joined = skew_join(keyed, by_host, "host", "left", hot_hosts)
-            verdict = joined.select("url", allowed_by(F.col("rules"), F.col("url")).alias("allowed"))
+        verdict = rows.withColumn("allowed", F.lit(True)) if index is None else index.verdicts(rows, hot_hosts)
         return verdict.select("url", F.lit(depth).alias("depth"), "allowed")
 
     # Edges are laid out by source and the URLs met by URL, each once: a level shuffles its own

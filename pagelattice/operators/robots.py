@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pagelattice.functions import text as tx, urls
 from pagelattice.functions.binding import let
 from pagelattice.operators.skew import Heavy, skew_join
+from pagelattice.session import cut_lineage
 
 # All that ends a line of text, not only of files.
 _LINE_BREAK = r"\r\n|[\r\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -89,10 +90,60 @@ def parse_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
     )
 
 
-def rules_by_host(rules: DataFrame) -> DataFrame:
-    """One row per host with its rules in file order; bounded by one robots file."""
-    entry = F.struct("rule_order", "allow", "path")
-    return rules.groupBy("host").agg(F.array_sort(F.collect_list(entry)).alias("rules"))
+#: Rules of a host up to which each URL tests them one after another; beyond, its prefixes are looked up.
+FEW_RULES = 100
+
+
+class RuleIndex:
+    """Rules laid out for look-ups, built once: one row per host, and rule paths of hosts with many.
+
+    A host with up to ``few`` rules keeps them as one array in file order. A host with more keeps the
+    distinct lengths of its paths: a URL can match no other prefix of its own, so it gives one row
+    per length, whatever the number of rules. Both are bounded by one robots file.
+    """
+
+    def __init__(self, rules: DataFrame, few: int = FEW_RULES):
+        entry = F.struct("rule_order", "allow", "path")
+        stored = cut_lineage(rules.groupBy("host").agg(F.array_sort(F.collect_list(entry)).alias("rules")))
+        many = F.size("rules") > few
+        lengths = F.array_distinct(F.transform("rules", lambda r: F.char_length(r["path"])))
+        self.hosts = stored.select(
+            "host", F.when(~many, F.col("rules")).alias("rules"), F.when(many, lengths).alias("lengths")
+        )
+        long = stored.where(many)
+        self.any_long = not long.isEmpty()
+        paths = long.select("host", F.explode("rules").alias("r")).groupBy("host", F.col("r.path").alias("path"))
+        self.paths = paths.agg(F.min(F.struct("r.rule_order", "r.allow")).alias("rule")).select(
+            _probe(F.col("host"), F.col("path")).alias("probe"), F.col("host").alias("_host"), "path", "rule"
+        )
+
+    def verdicts(self, rows: DataFrame, heavy: Heavy | None = None) -> DataFrame:
+        """``rows`` (with ``url``) plus ``allowed``."""
+        keyed = rows.withColumn("host", urls.authority(F.col("url")))
+        met = skew_join(keyed, self.hosts, "host", "left", heavy)
+        judged = met.withColumn("allowed", allowed_by(F.col("rules"), F.col("url"))).drop("rules", "host")
+        if not self.any_long:
+            return judged.drop("lengths")
+        asked = met.where(F.col("lengths").isNotNull()).select("url", "host", "lengths").dropDuplicates(["url"])
+        refused = self._refused(asked.withColumn("target", _target(F.col("url"))))
+        # An address that stands in many rows is a heavy key; only refused ones take part.
+        return skew_join(judged, refused, "url", "left").withColumn(
+            "allowed", F.col("allowed") & F.col("_refused").isNull()
+        ).drop("lengths", "_refused")
+
+    def _refused(self, asked: DataFrame) -> DataFrame:
+        """URLs whose first matching rule refuses them, found by their prefixes: (url, ``_refused``)."""
+        fitting = F.filter("lengths", lambda n: n <= F.char_length("target"))
+        prefixes = asked.select("url", "host", F.explode(F.transform(fitting, lambda n: F.left("target", n))).alias("prefix"))
+        probes = prefixes.withColumn("probe", _probe(F.col("host"), F.col("prefix")))
+        # The prefix "/" of a large host is one key of very many rows.
+        found = skew_join(probes, self.paths, "probe", "inner").where("host = _host and prefix = path")
+        first = found.groupBy("url").agg(F.min("rule").alias("rule"))
+        return first.where(~F.col("rule.allow")).select("url", F.lit(True).alias("_refused"))
+
+
+def _probe(host: Column, path: Column) -> Column:
+    return F.xxhash64(host, path)
 
 
 def _target(url: Column) -> Column:
@@ -111,11 +162,10 @@ def allowed_by(rules: Column, url: Column) -> Column:
 
 
 def robots_allowed(df: DataFrame, rules: DataFrame, heavy: Heavy | None = None) -> DataFrame:
-    """``df`` (with ``url``) plus ``allowed``. Each URL meets its host's rules in one row, so no
-    URL-rule pairs are formed; hosts with very many URLs are spread over tasks."""
-    keyed = df.withColumn("host", urls.authority(F.col("url")))
-    joined = skew_join(keyed, rules_by_host(rules), "host", "left", heavy)
-    return joined.withColumn("allowed", allowed_by(F.col("rules"), F.col("url"))).drop("rules", "host")
+    """``df`` (with ``url``) plus ``allowed``. A URL meets the few rules of its host in one row, or
+    looks its prefixes up among many; no URL-rule pairs are formed. Hosts with very many URLs are
+    spread over tasks."""
+    return RuleIndex(rules).verdicts(df, heavy)
 
 
 def skipped_urls(df: DataFrame, rules: DataFrame, heavy: Heavy | None = None) -> DataFrame:

@@ -1,9 +1,11 @@
 """Robots rules against the standard library parser."""
 
 import itertools
+import time
 from urllib.robotparser import RobotFileParser
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagelattice.operators import robots
 
@@ -41,6 +43,30 @@ def test_verdicts_agree_with_the_standard_library(spark, agent):
     assert wrong == []
 
 
+@pytest.mark.parametrize("few", [0, 2])
+def test_prefix_look_up_gives_the_same_verdicts(spark, few):
+    files = spark.createDataFrame(list(FILES.items()), "host string, body string")
+    targets = [f"http://{h}{p}" for h, p in itertools.product([*FILES, "none.x"], PATHS)] + ["/relative", None]
+    rows = spark.createDataFrame([(u, i) for i, u in enumerate(targets * 2)], "url string, n int")
+    rules = robots.parse_rules(files)
+    plain = robots.RuleIndex(rules, few=1000).verdicts(rows).collect()
+    looked_up = robots.RuleIndex(rules, few=few).verdicts(rows).collect()
+    assert len(plain) == 2 * len(targets) and any(not r.allowed for r in plain)
+    assert {(r.n, r.url, r.allowed) for r in looked_up} == {(r.n, r.url, r.allowed) for r in plain}
+
+
+def test_a_host_with_very_many_rules(spark):
+    rules = spark.range(50_000).selectExpr(
+        "'big.x' AS host", "CAST(id AS int) AS rule_order", "id % 10 = 0 AS allow", "concat('/d', id, '/') AS path"
+    )
+    rows = spark.range(100_000).selectExpr("concat('http://big.x/d', id % 60000, '/p', id) AS url", "id")
+    start = time.time()
+    refused = robots.robots_allowed(rows, rules).where(~F.col("allowed")).agg(F.count("*"), F.sum("id")).first()
+    ids = [i for i in range(100_000) if i % 60000 < 50_000 and i % 60000 % 10]
+    assert tuple(refused) == (len(ids), sum(ids))
+    assert time.time() - start < 60
+
+
 def test_hosts_without_rules_are_open(spark):
     rows = spark.createDataFrame([("http://no.x/a",), ("/relative",)], "url string")
     rules = spark.createDataFrame([("h.x", 0, False, "/")], "host string, rule_order int, allow boolean, path string")
