@@ -13,6 +13,8 @@ from pagelattice.session import delete_path, scratch_path
 
 #: Rows of a narrow look-up side up to which it is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Bytes of words up to which a look-up side that holds words is broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 class Scratch:

@@ -1,8 +1,8 @@
 """Benchmark decontamination: windows of benchmark words looked up in whole training texts.
 
 All windows of ``window`` consecutive words of the benchmark items (a shorter item is one window)
-form a hash set, broadcast while its counted rows stay under the limit and joined by shuffle
-beyond. Every window of every text is looked up, hits are verified on the words, overlapping hits
+form a hash set, broadcast while its counted rows and bytes stay under the limits; beyond, the hashes
+alone are joined by shuffle. Every window of every text is looked up, hits are verified on the words, overlapping hits
 are merged into spans, and spans or whole documents are removed. Built-in functions only.
 
 Null texts and texts without words have no hit. Items without words give no window; an item without
@@ -12,10 +12,12 @@ give no hit. Extra columns pass through the removal untouched.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pagelattice.llm.common import Scratch, small
+from pagelattice.functions.binding import let
+from pagelattice.llm.common import small
 from pagelattice.llm.grams import gram_hits, words
+from pagelattice.session import cut_lineage
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = 10, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -32,7 +34,7 @@ def contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per row of ``docs``: ``id``, ``mark``, ``n_words``, ``spans`` of hit words, ``n_hit``, ``items``."""
-    grams = benchmark_windows(benchmark, window).cache()
+    grams = cut_lineage(benchmark_windows(benchmark, window))
     # At most ``window`` different lengths.
     sizes = sorted((r[0] for r in grams.select(F.size("gram")).distinct().collect()), reverse=True) or [window]
     hits = gram_hits(docs, id_col, text_col, grams, sizes)
@@ -41,12 +43,7 @@ def contamination(
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
         F.count(F.when(F.col("pos").isNull(), 1)).alias("copies"),
     )
-    spans = F.expr(
-        "aggregate(array_sort(hits), cast(array() as array<struct<start:int,end:int>>), (a, h) -> "
-        "if(size(a) > 0 and h.start <= element_at(a, -1).end, "
-        "concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(h.end, element_at(a, -1).end)))), "
-        "concat(a, array(h))))"
-    )
+    spans = let(F.expr("array_sort(array_distinct(flatten(transform(hits, h -> sequence(h.start, h.end - 1)))))"), _runs)
     total = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")
     return (
         merged.withColumn("spans", spans)
@@ -56,13 +53,20 @@ def contamination(
     )
 
 
+def _runs(at: Column) -> Column:
+    """Stretches of consecutive numbers in a sorted array, as (``start``, ``end``)."""
+    starts = F.filter(at, lambda n, i: F.coalesce(F.get(at, i - 1) < n - 1, F.lit(True)))
+    ends = F.filter(at, lambda n, i: F.coalesce(F.get(at, i + 1) > n + 1, F.lit(True)))
+    return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e + 1).alias("end")))
+
+
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a benchmark window."""
     hit = contamination(docs, benchmark, window, id_col, text_col).where("n_hit > 0").select(
         F.col("id").alias("_hit_id"), F.col("mark").alias("_hit_mark")
     ).distinct()
-    # Stored, so that its rows can be counted before it is broadcast; the texts then stay in place.
-    hit = small(Scratch(docs.sparkSession).store(hit, "contaminated", keep=True))
+    # Its rows are counted before it is broadcast; the texts then stay in place.
+    hit = small(cut_lineage(hit))
     same = F.col(id_col).eqNullSafe(F.col("_hit_id")) & (F.xxhash64(text_col, F.octet_length(text_col)) == F.col("_hit_mark"))
     return docs.join(hit, same, "left_anti")
 

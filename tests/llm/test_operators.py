@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pagelattice.llm import arrays, bpe, chat, components, decontaminate, licenses, lines, neardup, packing, repetition, sharding, toxicity, url_rules
+from pagelattice.llm import arrays, bpe, chat, components, decontaminate, grams, licenses, lines, neardup, packing, repetition, sharding, toxicity, url_rules
 from pagelattice.llm.common import scratch
 from pagelattice.llm.queries import QUERIES
 from tests.llm import brute
@@ -159,6 +160,60 @@ def test_contamination(spark):
         assert set(r["items"]) == items - {"None"}
 
 
+@pytest.mark.parametrize("limit", ["BROADCAST_ROWS", "BROADCAST_BYTES"])
+def test_look_up_without_broadcast(spark, monkeypatch, limit):
+    monkeypatch.setattr(grams, limit, 0)
+    test_contamination(spark)
+    test_contamination_repeats_and_empties(spark)
+    test_license_phrases(spark)
+
+
+@pytest.mark.parametrize("rows", [0, 500_000])
+def test_look_up_across_blocks(spark, monkeypatch, rows):
+    """Matches at the first and last words of blocks and over their borders, of several sizes."""
+    monkeypatch.setattr(grams, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(grams, "BLOCK", 7)
+    random.seed(3)
+    docs = [(i, " ".join(random.choices("abc", k=n))) for i, n in enumerate([0, 1, 6, 7, 8, 13, 14, 15, 21, 60, 200])]
+    bench = [(i, " ".join(random.choices("abc", k=k))) for i, k in enumerate([1, 3, 4, 5, 6, 10, 14])][1:]
+    frames = spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id long, text string")
+    got = {r["id"]: r for r in decontaminate.contamination(*frames, window=5).collect()}
+    for doc, (n, hit, items) in brute.contamination(docs, bench, 5).items():
+        assert (got[doc]["n_words"], got[doc]["n_hit"], sorted(got[doc]["items"])) == (n, len(hit), sorted(items))
+
+
+def test_look_up_without_broadcast_moves_no_words(spark, monkeypatch):
+    monkeypatch.setattr(grams, "BROADCAST_ROWS", 0)
+    seen = []
+    plain = grams.skew_join
+    monkeypatch.setattr(grams, "skew_join", lambda left, *rest: seen.append(left) or plain(left, *rest))
+    bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    decontaminate.contamination(documents(spark), bench)
+    assert seen[0].dtypes == [("id", "bigint"), ("mark", "bigint"), ("start", "int"), ("block_words", "int"), ("place", "int"), ("probe", "bigint")]
+
+
+def test_hot_passage_without_broadcast(spark, monkeypatch):
+    """A window in every text is one hash of very many rows."""
+    monkeypatch.setattr(grams, "BROADCAST_ROWS", 0)
+    shared = " ".join(f"w{i}" for i in range(12))
+    docs = spark.range(400).selectExpr("id AS doc_id", f"concat('own', id, ' {shared} end', id % 7) AS text")
+    bench = spark.createDataFrame([(1, shared), (2, "nothing of it")], "item_id long, text string")
+    rows = decontaminate.contamination(docs, bench).collect()
+    assert len(rows) == 400 and all((r["n_hit"], r["items"], len(r["spans"])) == (12, ["1"], 1) for r in rows)
+
+
+def test_spans_of_very_many_hits_are_linear(spark):
+    bench = spark.createDataFrame([(1, "hit me")], "item_id long, text string")
+    took = []
+    for n in (20_000, 80_000):
+        docs = spark.createDataFrame([(1, "hit me not " * n)], DOCS)
+        start = time.time()
+        (row,) = decontaminate.contamination(docs, bench).select("n_hit", F.size("spans")).collect()
+        took.append(time.time() - start)
+        assert tuple(row) == (2 * n, n)
+    assert took[1] < 6 * took[0] + 5
+
+
 def test_contamination_repeats_and_empties(spark):
     docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "x"), (None, None)], DOCS)
     bench = spark.createDataFrame([(5, "b c")], "item_id long, text string")
