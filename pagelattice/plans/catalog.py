@@ -607,7 +607,8 @@ def skipped_urls(spark, sf):
 
 
 def _stream(spark, sf):
-    return jobs.read_captures(spark, sf, "pages.parquet")
+    # As a glob, since the table is one file or a folder of them and a stream takes no plain path of a file.
+    return jobs.read_captures(spark, f"{sf}/{{pages.parquet}}", "*")
 
 
 @query

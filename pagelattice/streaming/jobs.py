@@ -21,7 +21,10 @@ _KEYS = T.StructType([T.StructField("key", T.StringType()), T.StructField("batch
 
 
 def read_captures(spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
-    """Stream of page captures. ``files_per_batch`` bounds a micro-batch, not the result."""
+    """Stream of page captures in a folder, or in all that a glob of files and folders meets.
+
+    ``pattern`` holds for the names of data files. ``files_per_batch`` bounds a micro-batch, not the result.
+    """
     reader = spark.readStream.schema(schemas.PAGES).option("pathGlobFilter", pattern)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
