@@ -20,8 +20,10 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-CACHE_CHUNKS = 1_000_000
-CACHE_IDS = 16_000_000
+#: Chunks, and ids of theirs, beyond which a worker begins anew: an executor has a worker per core, and they
+#: live on through the stages that follow. Most chunks come once, so a larger store spares little time.
+CACHE_CHUNKS = 250_000
+CACHE_IDS = 4_000_000
 #: Marks a chunk as an added token; no chunk cut from a text begins with it and holds one.
 _ADDED = "\ue000"
 _PLAIN = re.compile(r"[!-~¡-¬®-ÿ]+")

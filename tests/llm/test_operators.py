@@ -109,6 +109,18 @@ def test_pack_odd_rows(spark):
     assert packing.pack(empty_docs(spark), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def test_chunks_kept_by_a_worker_stay_few():
+    """Workers of all cores of an executor, and its heap, share 3,000 MB; ids do not depend on what is kept."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, encode = Tokenizer.from_file(path), bpe.Encoder(path)
+    for low in range(0, 400_000, 20_000):
+        texts = [" ".join(f"w{i:x} the" for i in range(low + j, low + j + 100)) for j in range(0, 20_000, 100)]
+        ids, counts = encode.encode(texts)
+        assert len(encode.known) < 300_000
+        expected = tokenizer.encode(texts[-1], add_special_tokens=False).ids
+        assert ids[-counts[-1] :].tolist() == expected
+
+
 def test_encoder_is_the_tokenizer():
     random.seed(3)
     signs = "abcXYZéßÑæ'sStT1239.,!?-_<>|&;:\u00aa\u00b5\u00ad\u0130ΣσςЖ中\u0301\u200b\u00a0\t😀"
